@@ -1,0 +1,4 @@
+"""The registered queries and their SQL counterparts, by area."""
+
+from . import sources  # noqa: F401
+from .base import ORACLE, QUERIES  # noqa: F401

@@ -19,9 +19,6 @@ def shared_folder(spark: SparkSession) -> str:
     )
     if configured:
         return configured
-    current = sc.getCheckpointDir()
-    if current:
-        return current.rsplit("/", 1)[0]
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return "file:" + tempfile.mkdtemp(prefix="sparkprofile-")

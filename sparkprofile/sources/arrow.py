@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 SUFFIXES = (".arrow", ".feather")
 
 
-def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
         if path.startswith("file:") and not path.startswith("file://"):
             path = "file://" + path[len("file:") :]
@@ -28,7 +28,7 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
 
 def list_files(path: str) -> list[str]:
     """Files of a file, folder or glob path, sorted."""
-    fs, local = _file_system(path)
+    fs, local = file_system(path)
     if any(ch in local for ch in "*?["):
         from fnmatch import fnmatch
 
@@ -62,7 +62,7 @@ class ArrowReader(DataSourceReader):
         self.schema = schema
 
     def partitions(self) -> list[BatchPartition]:
-        fs, _ = _file_system(self.path)
+        fs, _ = file_system(self.path)
         parts = []
         for file in list_files(self.path):
             with fs.open_input_file(file) as handle:
@@ -74,7 +74,7 @@ class ArrowReader(DataSourceReader):
         return parts
 
     def read(self, partition: BatchPartition) -> Iterator[pa.RecordBatch]:
-        fs, _ = _file_system(self.path)
+        fs, _ = file_system(self.path)
         names = self.schema.fieldNames()
         with fs.open_input_file(partition.file) as handle:
             if partition.batch is None:
@@ -94,7 +94,7 @@ class ArrowDataSource(DataSource):
 
     def schema(self):
         path = self.options["path"]
-        fs, _ = _file_system(path)
+        fs, _ = file_system(path)
         files = list_files(path)
         if not files:
             raise FileNotFoundError(path)
