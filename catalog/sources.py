@@ -251,11 +251,11 @@ def plot_tables(t):
     "row_search",
     """
 SELECT doc_id, lang, source FROM documents
-WHERE contains(lower(text), 'model') OR contains(lower(lang), 'model') OR contains(lower(source), 'model')
-   OR contains(CAST(doc_id AS VARCHAR), 'model') OR contains(CAST(n_chars AS VARCHAR), 'model')""",
+WHERE contains(lower(text), 'data') OR contains(lower(lang), 'data') OR contains(lower(source), 'data')
+   OR contains(CAST(doc_id AS VARCHAR), 'data') OR contains(CAST(n_chars AS VARCHAR), 'data')""",
 )
 def row_search(t):
-    return sp.row_search(t.documents, "Model").select("doc_id", "lang", "source")
+    return sp.row_search(t.documents, "Data").select("doc_id", "lang", "source")
 
 
 @query(
