@@ -1,4 +1,4 @@
 """The registered queries and their SQL counterparts, by area."""
 
-from . import missing, sources, statistics  # noqa: F401
+from . import correlations, distributions, missing, outliers, sources, statistics  # noqa: F401
 from .base import ORACLE, QUERIES  # noqa: F401

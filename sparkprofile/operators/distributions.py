@@ -141,39 +141,58 @@ def histogram_markers(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 # --- normality tests -------------------------------------------------------------------------
 
 
-def dagostino_columns(n: Column, g1: Column, g2: Column) -> tuple[Column, Column]:
-    """K^2 of D'Agostino and Pearson and its p-value from n and the population moments."""
-    n = n.cast("double")
-    y = g1 * F.sqrt(ratio((n + 1) * (n + 3), 6.0 * (n - 2)))
-    beta2 = ratio(
-        3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3), (n - 2) * (n + 5) * (n + 7) * (n + 9)
-    )
-    w2 = F.sqrt(2 * (beta2 - 1)) - 1
-    delta = F.lit(1.0) / F.sqrt(0.5 * F.log(w2))
-    alpha = F.sqrt(2.0 / (w2 - 1))
-    y = F.when(y == 0, F.lit(1.0)).otherwise(y)
-    z1 = delta * F.log(y / alpha + F.sqrt((y / alpha) * (y / alpha) + 1))
-    mean = ratio(3.0 * (n - 1), n + 1)
-    variance = ratio(24.0 * n * (n - 2) * (n - 3), (n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (g2 + 3 - mean) / F.sqrt(variance)
-    root_beta = (
-        ratio(6.0 * (n * n - 5 * n + 2), (n + 7) * (n + 9)) * F.sqrt(ratio(6.0 * (n + 3) * (n + 5), n * (n - 2) * (n - 3)))
-    )
-    a = 6.0 + 8.0 / root_beta * (2.0 / root_beta + F.sqrt(1 + 4.0 / (root_beta * root_beta)))
-    denominator = 1 + x * F.sqrt(2.0 / (a - 4.0))
-    cube = F.signum(denominator) * F.pow(F.abs(ratio(1 - 2.0 / a, denominator)), F.lit(1.0 / 3.0))
-    z2 = (1 - 2.0 / (9.0 * a) - cube) / F.sqrt(2.0 / (9.0 * a))
-    k2 = z1 * z1 + z2 * z2
-    return k2, F.exp(-k2 / 2.0)
+def with_dagostino(shape: DataFrame) -> DataFrame:
+    """``shape`` with ``dp_statistic`` and ``dp_p``: K^2 of D'Agostino and Pearson, from n and moments.
+
+    The steps are separate projections: each is used several times by the next, and Spark keeps
+    such projections apart instead of repeating their expressions.
+    """
+    n, g1, g2 = F.col("n").cast("double"), F.col("skewness"), F.col("kurtosis")
+    usable = (F.col("n") >= DAGOSTINO_MIN) & (F.col("sd_pop") > 0)
+    steps = [
+        {
+            # skewness: Johnson's S_U approximation
+            "_y": g1 * F.sqrt(ratio((n + 1) * (n + 3), 6.0 * (n - 2))),
+            "_b2": ratio(3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3), (n - 2) * (n + 5) * (n + 7) * (n + 9)),
+            # kurtosis: Anscombe and Glynn's cube-root transformation
+            "_x": ratio(
+                g2 + 3 - ratio(3.0 * (n - 1), n + 1),
+                F.sqrt(ratio(24.0 * n * (n - 2) * (n - 3), (n + 1) * (n + 1) * (n + 3) * (n + 5))),
+            ),
+            "_rb": ratio(6.0 * (n * n - 5 * n + 2), (n + 7) * (n + 9))
+            * F.sqrt(ratio(6.0 * (n + 3) * (n + 5), n * (n - 2) * (n - 3))),
+        },
+        {
+            "_w2": F.when(usable, F.sqrt(2 * (F.col("_b2") - 1)) - 1),
+            "_y": F.when(F.col("_y") == 0, F.lit(1.0)).otherwise(F.col("_y")),
+            "_a": 6.0 + ratio(F.lit(8.0), F.col("_rb")) * (ratio(F.lit(2.0), F.col("_rb")) + F.sqrt(1 + ratio(F.lit(4.0), F.col("_rb") * F.col("_rb")))),
+        },
+        {
+            "_ya": ratio(F.col("_y"), F.sqrt(ratio(F.lit(2.0), F.col("_w2") - 1))),
+            "_d": 1 + F.col("_x") * F.sqrt(ratio(F.lit(2.0), F.col("_a") - 4.0)),
+            "_c": ratio(F.lit(2.0), 9.0 * F.col("_a")),
+        },
+        {
+            "_z1": ratio(F.log(F.col("_ya") + F.sqrt(F.col("_ya") * F.col("_ya") + 1)), F.sqrt(0.5 * F.log("_w2"))),
+            "_cube": F.signum("_d") * F.pow(F.abs(ratio(1 - ratio(F.lit(2.0), F.col("_a")), F.col("_d"))), F.lit(1.0 / 3.0)),
+        },
+        {"_z2": ratio(1 - F.col("_c") - F.col("_cube"), F.sqrt("_c"))},
+        {"dp_statistic": F.when(usable, F.col("_z1") * F.col("_z1") + F.col("_z2") * F.col("_z2"))},
+        {"dp_p": F.exp(-F.col("dp_statistic") / 2.0)},
+    ]
+    out = shape
+    for step in steps:
+        out = out.withColumns(step)
+    return out.drop(*{name for step in steps for name in step if name.startswith("_")})
 
 
 def dagostino_pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, statistic, p_value, is_normal)``; at least eight values and some spread."""
     names = numeric_columns(df, columns)
-    shape = shape_ids(numeric_long(df, names)).where((F.col("n") >= DAGOSTINO_MIN) & (F.col("sd_pop") > 0))
-    k2, p = dagostino_columns(F.col("n"), F.col("skewness"), F.col("kurtosis"))
-    out = shape.select("column_id", k2.alias("statistic"), p.alias("p_value"))
-    return _named_tests(df, names, out)
+    tested = with_dagostino(shape_ids(numeric_long(df, names)))
+    return _named_tests(
+        df, names, tested.select("column_id", F.col("dp_statistic").alias("statistic"), F.col("dp_p").alias("p_value"))
+    )
 
 
 def _named_tests(df: DataFrame, names: Sequence[str], table: DataFrame, verdict: Column | None = None) -> DataFrame:
@@ -194,8 +213,8 @@ def _ranked(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
 def ks_ids(ranks: DataFrame, shape: DataFrame) -> DataFrame:
     """``(column_id, n, d)``: largest gap between the empirical and the fitted normal distribution."""
     joined = ranks.join(F.broadcast(shape.where(F.col("sd_pop") > 0)), "column_id")
-    cdf = normal_cdf((F.col("x") - F.col("mean")) / F.col("sd_pop"))
-    return _largest_gap(joined, cdf)
+    scored = joined.withColumn("z", (F.col("x") - F.col("mean")) / F.col("sd_pop"))
+    return _largest_gap(scored, normal_cdf(F.col("z")))
 
 
 def _largest_gap(ranked: DataFrame, cdf: Column) -> DataFrame:
@@ -216,13 +235,14 @@ def ks_normal(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def anderson_ids(ranks: DataFrame, shape: DataFrame) -> DataFrame:
     """``(column_id, statistic, critical_value)`` with the sample deviation, ties weighted."""
     n = F.col("n").cast("double")
-    z = (F.col("x") - F.col("mean")) / F.col("sd")
+    z = F.col("z")
     # sum of (2i - 1) over the tied positions lo+1 .. hi
     odd = F.col("hi").cast("double") * F.col("hi") - F.col("lo").cast("double") * F.col("lo")
     rest = 2.0 * n * F.col("count") - odd
     term = odd * log_normal_cdf(z) + rest * log_normal_cdf(-z)
     sums = (
         ranks.join(F.broadcast(shape.where(F.col("sd") > 0)), "column_id")
+        .withColumn("z", (F.col("x") - F.col("mean")) / F.col("sd"))
         .groupBy("column_id", "n")
         .agg(F.sum(term).alias("s"))
     )
@@ -287,12 +307,9 @@ def normality_ids(ranks: DataFrame, shape: DataFrame) -> DataFrame:
     s = shapiro_ids(ranks, shape).select(
         "column_id", F.col("statistic").alias("sw_statistic"), F.col("p_value").alias("sw_p")
     )
-    k2, p = dagostino_columns(F.col("n"), F.col("skewness"), F.col("kurtosis"))
-    usable = (F.col("n") >= DAGOSTINO_MIN) & (F.col("sd_pop") > 0)
     # at most one row per column on every side
     out = (
-        shape.withColumn("dp_statistic", F.when(usable, k2))
-        .withColumn("dp_p", F.when(usable, p))
+        with_dagostino(shape)
         .join(F.broadcast(d), "column_id", "left")
         .join(F.broadcast(a), "column_id", "left")
         .join(F.broadcast(s), "column_id", "left")

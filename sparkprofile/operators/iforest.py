@@ -35,17 +35,22 @@ def average_path(n: float) -> float:
 def draw_subsamples(data: DataFrame, features: Sequence[str], trees: int, size: int, seed: int) -> DataFrame:
     """``(tree, features...)``: ``size`` random rows per tree.
 
-    A pool of ``trees * size`` random rows is drawn once (a top-k, not a sort); every tree then
-    takes its rows from the pool.
+    ``trees * size`` random rows are drawn once (a top-k, not a sort) and dealt out in their random
+    order, ``size`` to each tree; a smaller table is dealt out again from its start.
     """
     pool = (
         data.select(*[col(c) for c in features], F.rand(seed).alias("draw"))
         .orderBy("draw")
         .limit(trees * size)
     )
-    each = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    order = W.partitionBy("tree").orderBy(F.xxhash64("draw", "tree", F.lit(seed)), "draw")
-    return each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= size).drop("place", "draw")
+    # the pool has at most trees * size rows, whatever the size of the table
+    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("draw")) - 1
+    total = F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))
+    dealt = pool.withColumns({"place": place, "total": total})
+    takers = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.col("place") - t * size, F.col("total")) < size
+    )
+    return dealt.select(*[col(c) for c in features], F.explode(takers).alias("tree"))
 
 
 def tree_grower(features: Sequence[str], seed: int):
@@ -61,7 +66,7 @@ def tree_grower(features: Sequence[str], seed: int):
 
         def add(part: np.ndarray, depth: int) -> int:
             index = len(nodes)
-            nodes.append([tree, index, -1, math.nan, -1, -1, depth + average_path(len(part))])
+            nodes.append([tree, index, -1, 0.0, -1, -1, depth + average_path(len(part))])
             low, high = part.min(axis=0), part.max(axis=0)
             usable = np.flatnonzero(high > low)
             if depth >= height or len(part) <= 1 or not len(usable):
