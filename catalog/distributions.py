@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 import sparkprofile as sp
+from sparkprofile.functions.normal import INV_A, INV_B, INV_C, INV_D, INV_E, INV_F
 
 from .base import LINEITEM_NUMBERS, SPARSE_SQL, long_sql, query, rounded
 
@@ -79,8 +78,8 @@ def histogram_markers(t):
 # The normal distribution in SQL: series near zero, continued fraction in the tail.
 def tail_sql(z: str) -> str:
     """P(Z > z) for z >= 0."""
-    series = f"{z} * list_reduce(list_transform(range(141, 1, -2), k -> k::DOUBLE), (acc, k) -> 1 + {z} * {z} / k * acc, 1.0::DOUBLE)"
-    fraction = f"list_reduce(list_transform(range(160, 0, -1), k -> k::DOUBLE), (acc, k) -> {z} + k / acc, {z} + 1.0::DOUBLE)"
+    series = f"{z} * list_reduce(list_transform(range(141, 1, -2), lambda k: k::DOUBLE), lambda acc, k: 1 + {z} * {z} / k * acc, 1.0::DOUBLE)"
+    fraction = f"list_reduce(list_transform(range(160, 0, -1), lambda k: k::DOUBLE), lambda acc, k: {z} + k / acc, {z} + 1.0::DOUBLE)"
     density = f"exp(-0.5 * {z} * {z}) / sqrt(2 * pi())"
     return f"CASE WHEN {z} < 2.5 THEN 0.5 - {density} * ({series}) ELSE {density} / ({fraction}) END"
 
@@ -147,9 +146,48 @@ def dagostino_pearson(t):
     return rounded(shapes(sp.dagostino_pearson, t), statistic=4)
 
 
-@query("shapiro_wilk")
+def horner_sql(coefficients: tuple[float, ...], x: str) -> str:
+    text = repr(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        text = f"({text} * {x} + {c!r})"
+    return text
+
+
+def quantile_sql(p: str) -> str:
+    """Standard normal quantile of the column ``p`` (AS 241)."""
+    near, far = f"(0.180625 - ({p} - 0.5) * ({p} - 0.5))", f"sqrt(-ln(least({p}, 1 - {p})))"
+    centre = f"({p} - 0.5) * {horner_sql(INV_A, near)} / {horner_sql(INV_B, near)}"
+    shoulder = f"{horner_sql(INV_C, f'({far} - 1.6)')} / {horner_sql(INV_D, f'({far} - 1.6)')}"
+    tail = f"{horner_sql(INV_E, f'({far} - 5)')} / {horner_sql(INV_F, f'({far} - 5)')}"
+    return (
+        f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN {centre} "
+        f"ELSE sign({p} - 0.5) * CASE WHEN {far} <= 5 THEN {shoulder} ELSE {tail} END END"
+    )
+
+
+@query(
+    "shapiro_wilk",
+    f"""
+WITH long AS ({long_sql("customer", ["c_custkey", "c_nationkey", "c_acctbal"])}
+     UNION ALL {long_sql("supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])}),
+u AS (SELECT "column", x, row_number() OVER (PARTITION BY "column" ORDER BY x) AS i, (count(*) OVER (PARTITION BY "column"))::DOUBLE AS n FROM long),
+p AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM u WHERE n BETWEEN 12 AND 5000),
+m AS (SELECT *, {quantile_sql("p")} AS m FROM p),
+g AS (SELECT "column", n, 1 / sqrt(n) AS u, sum(m * m) AS mm, sum(m * x) AS mx, -min(m) FILTER (i = 1) AS t1, -min(m) FILTER (i = 2) AS t2,
+             min(x) FILTER (i = 1) AS x1, min(x) FILTER (i = 2) AS x2, min(x) FILTER (i = n - 1) AS xm, min(x) FILTER (i = n) AS xn,
+             n * var_pop(x) AS ssq FROM m GROUP BY "column", n),
+a AS (SELECT *, t1 / sqrt(mm) + {horner_sql((0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056), "u")} AS a1,
+             t2 / sqrt(mm) + {horner_sql((0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633), "u")} AS a2 FROM g),
+w AS (SELECT *, (mm - 2 * t1 * t1 - 2 * t2 * t2) / (1 - 2 * a1 * a1 - 2 * a2 * a2) AS phi, ln(n) AS l FROM a),
+v AS (SELECT *, pow(a1 * (xn - x1) + a2 * (xm - x2) + (mx - t1 * (xn - x1) - t2 * (xm - x2)) / sqrt(phi), 2) / ssq AS w FROM w),
+z AS (SELECT *, (ln(1 - w) - {horner_sql((-1.5861, -0.31082, -0.083751, 0.0038915), "l")})
+                / exp({horner_sql((-0.4803, -0.082676, 0.0030302), "l")}) AS z FROM v),
+q AS (SELECT *, abs(z) AS a FROM z),
+e AS (SELECT *, CASE WHEN z > 0 THEN {tail_sql("a")} ELSE 1 - ({tail_sql("a")}) END AS pv FROM q)
+SELECT "column", round(w, 6) AS statistic, round(pv, 6) AS p_value, pv > 0.05 AS is_normal FROM e""",
+)
 def shapiro_wilk(t):
-    return sp.shapiro_wilk(t.customer).unionByName(sp.shapiro_wilk(t.supplier))
+    return rounded(sp.shapiro_wilk(t.customer).unionByName(sp.shapiro_wilk(t.supplier)))
 
 
 @query("normality_vote")
@@ -276,14 +314,25 @@ def box_stats(t):
     return rounded(shapes(sp.box_stats, t))
 
 
-@query("qq_points")
+QQ = f"""
+WITH u AS (SELECT value AS sample, row_number() OVER (ORDER BY value) AS i, (count(*) OVER ())::DOUBLE AS n FROM events),
+p AS (SELECT *, CASE WHEN i = n THEN pow(0.5::DOUBLE, 1 / n) WHEN i = 1 THEN 1 - pow(0.5::DOUBLE, 1 / n)
+                     ELSE (i - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM u),
+q AS (SELECT i AS position, {quantile_sql("p")} AS theoretical, sample FROM p)"""
+
+
+@query("qq_points", f"{QQ} SELECT position, round(theoretical, 6) AS theoretical, sample FROM q")
 def qq_points(t):
-    return sp.qq_points(t.events, "value")
+    return rounded(sp.qq_points(t.events, "value"))
 
 
-@query("qq_line")
+@query(
+    "qq_line",
+    f"""{QQ} SELECT round(regr_slope(sample, theoretical), 6) AS slope, round(regr_intercept(sample, theoretical), 6) AS intercept,
+                    round(corr(sample, theoretical), 6) AS r FROM q""",
+)
 def qq_line(t):
-    return sp.qq_line(sp.qq_points(t.events, "value"))
+    return rounded(sp.qq_line(sp.qq_points(t.events, "value")))
 
 
 @query("scatter_points")

@@ -1,21 +1,18 @@
 """The standard normal distribution as JVM column expressions.
 
-Spark has no ``erf``; Cody's rational Chebyshev approximations (Math. Comp. 23, 1969) give it to
-double precision from plain arithmetic, so the tests over a whole rank table stay inside
-whole-stage codegen.
+Spark has no ``erf`` and no normal quantile; published rational approximations give both to double
+precision from plain arithmetic, so the tests over a whole rank table stay inside whole-stage
+codegen.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
-# Cody's coefficients, lowest power first.
+# Cody's coefficients (Math. Comp. 23, 1969), lowest power first.
 # erf(x) = x * P1(x^2) / Q1(x^2)                       for |x| <= 0.46875
 ERF_P = (3209.37758913846947, 377.485237685302021, 113.864154151050156, 3.16112374387056560, 0.185777706184603153)
 ERF_Q = (2844.23683343917062, 1282.61652607737228, 244.024637934444173, 23.6012909523441209, 1.0)
@@ -74,11 +71,42 @@ def log_normal_cdf(z: Column) -> Column:
     ).otherwise(F.log(F.lit(0.5) * erfc(x)))
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Inverse of the standard normal distribution function."""
-    from statistics import NormalDist
+# Wichura's coefficients (Applied Statistics 37, 1988, algorithm AS 241), lowest power first.
+# Centre: q * A(r) / B(r) with q = p - 1/2, r = 0.180625 - q^2, for |q| <= 0.425
+INV_A = (
+    3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125,
+    45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727,
+)
+INV_B = (
+    1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077,
+    21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610,
+)
+# Shoulder: C(r) / D(r) with r = sqrt(-ln min(p, 1-p)) - 1.6, up to r = 5
+INV_C = (
+    1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504,
+    1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 7.74545014278341407640e-4,
+)
+INV_D = (
+    1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550,
+    0.148103976427480074590, 0.0151986665636164571966, 5.47593808499534494600e-4, 1.05075007164441684324e-9,
+)
+# Tail: E(r) / F(r) with r = sqrt(-ln min(p, 1-p)) - 5
+INV_E = (
+    6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230,
+    0.0265321895265761230930, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7,
+)
+INV_F = (
+    1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525,
+    7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15,
+)
+
 
-    inverse = np.frompyfunc(NormalDist().inv_cdf, 1, 1)
-    for p in batches:
-        yield pd.Series(inverse(p.to_numpy()).astype(float))
+def normal_quantile(p: Column) -> Column:
+    """Inverse of :func:`normal_cdf` for 0 < p < 1.  ``p`` should be a plain column: it is used often."""
+    q = p - 0.5
+    near = F.lit(0.180625) - q * q
+    far = F.sqrt(-F.log(F.least(p, 1.0 - p)))
+    centre = q * _poly(INV_A, near) / _poly(INV_B, near)
+    shoulder = _poly(INV_C, far - 1.6) / _poly(INV_D, far - 1.6)
+    tail = _poly(INV_E, far - 5.0) / _poly(INV_F, far - 5.0)
+    return F.when(F.abs(q) <= 0.425, centre).otherwise(F.signum(q) * F.when(far <= 5.0, shoulder).otherwise(tail))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import (
     NUMERIC, STRING, as_double, band, col, columns_of, numeric_columns, ratio, select_columns, stack, type_class,
 )
+from ..functions.session import shared_folder
 from ..functions.special import correlation_p_value
 from . import frequency as fq
 from .statistics import categorical_names
@@ -147,8 +149,12 @@ def attach_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     shuffle; rows already served, and nulls, are spread over salted keys that match nothing.
     """
     ranks = fq.column_ranks(df, columns).select(
-        "column_id", "x", "count", ((F.col("lo") + 1 + F.col("hi")) / F.lit(2.0)).alias("rank")
+        "x", "count", ((F.col("lo") + 1 + F.col("hi")) / F.lit(2.0)).alias("rank"), "column_id"
     )
+    # one folder per column: each lookup below reads its own part only
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/ranks-{uuid.uuid4().hex}"
+    ranks.write.partitionBy("column_id").parquet(folder)
+    ranks = df.sparkSession.read.schema("x double, count bigint, rank double, column_id int").parquet(folder)
     sizes = {
         r.column_id: (r.values, r.rows)
         for r in ranks.groupBy("column_id").agg(F.count(F.lit(1)).alias("values"), F.sum("count").alias("rows")).collect()

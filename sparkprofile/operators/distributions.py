@@ -15,7 +15,7 @@ from ..functions.columns import name_rows, numeric_columns, numeric_long, ratio,
 from ..functions.normal import log_normal_cdf, normal_cdf, normal_quantile
 from ..functions.special import gamma_cdf, gamma_shape_mle, ks_p_value, shapiro_test
 from . import frequency as fq
-from .quantiles import long_quantiles, row_bound
+from .quantiles import long_quantiles
 
 # Significance level, size limits of the tests, plot defaults, type rules.
 ALPHA = 0.05
@@ -70,7 +70,7 @@ def moments_pop(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def quartiles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, min, q25, median, q75, max, iqr)``."""
     names = numeric_columns(df, columns)
-    table = long_quantiles(numeric_long(df, names), (0.0, 0.25, 0.5, 0.75, 1.0), row_bound(df))
+    table = long_quantiles(numeric_long(df, names), (0.0, 0.25, 0.5, 0.75, 1.0))
     return name_rows(df, names, table).select(
         "column", F.col("q0").alias("min"), "q25", F.col("q50").alias("median"), "q75",
         F.col("q100").alias("max"), (F.col("q75") - F.col("q25")).alias("iqr"),
@@ -134,7 +134,7 @@ def histogram_markers(df: DataFrame, columns: Sequence[str] | None = None) -> Da
         F.count_if(F.col("x").isNotNull() & ~keep).alias("non_finite_count"),
         F.avg(F.when(keep, F.col("x"))).alias("mean"),
     )
-    middle = long_quantiles(long.where(keep), (0.5,), row_bound(df)).withColumnRenamed("q50", "median")
+    middle = long_quantiles(long.where(keep), (0.5,)).withColumnRenamed("q50", "median")
     return name_rows(df, names, marks, middle).drop("column_id")
 
 
@@ -210,67 +210,89 @@ def _ranked(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     return fq.column_ranks(df, names), shape_ids(numeric_long(df, names))
 
 
-def ks_ids(ranks: DataFrame, shape: DataFrame) -> DataFrame:
-    """``(column_id, n, d)``: largest gap between the empirical and the fitted normal distribution."""
-    joined = ranks.join(F.broadcast(shape.where(F.col("sd_pop") > 0)), "column_id")
-    scored = joined.withColumn("z", (F.col("x") - F.col("mean")) / F.col("sd_pop"))
-    return _largest_gap(scored, normal_cdf(F.col("z")))
+def _gaps(cdf: Column) -> Column:
+    """Distance of the empirical distribution function from ``cdf`` on both sides of its step."""
+    return F.greatest(F.col("hi") / F.col("n") - cdf, cdf - F.col("lo") / F.col("n"))
 
 
-def _largest_gap(ranked: DataFrame, cdf: Column) -> DataFrame:
-    rows = ranked.withColumn("cdf", cdf)
-    above = F.col("hi") / F.col("n") - F.col("cdf")
-    below = F.col("cdf") - F.col("lo") / F.col("n")
-    return rows.groupBy("column_id", "n").agg(F.max(F.greatest(above, below)).alias("d"))
+def order_statistics(ranks: DataFrame, shape: DataFrame) -> DataFrame:
+    """Everything read from the rank table, in one pass over it.
 
-
-def ks_normal(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column, statistic, p_value, is_normal)`` against the normal with the column's mean and deviation."""
-    names = numeric_columns(df, columns)
-    gaps = ks_ids(*_ranked(df, names))
-    out = gaps.select("column_id", F.col("d").alias("statistic"), ks_p_value("d", F.col("n").cast("double")).alias("p_value"))
-    return _named_tests(df, names, out)
-
-
-def anderson_ids(ranks: DataFrame, shape: DataFrame) -> DataFrame:
-    """``(column_id, statistic, critical_value)`` with the sample deviation, ties weighted."""
+    ``(column_id, unique_count, q25, q50, q75, ks_statistic, ks_p, ad_statistic, ad_critical)``.
+    """
     n = F.col("n").cast("double")
-    z = F.col("z")
-    # sum of (2i - 1) over the tied positions lo+1 .. hi
+    joined = ranks.join(F.broadcast(shape.select("column_id", "n", "mean", "sd", "sd_pop")), "column_id")
+    centred = F.col("x") - F.col("mean")
+    scored = joined.withColumns({"z": ratio(centred, F.col("sd_pop")), "zs": ratio(centred, F.col("sd"))})
+    scored = scored.withColumn("cdf", normal_cdf(F.col("z")))
+    # Anderson-Darling: sum of (2i - 1) over the tied positions lo+1 .. hi, sample deviation
     odd = F.col("hi").cast("double") * F.col("hi") - F.col("lo").cast("double") * F.col("lo")
     rest = 2.0 * n * F.col("count") - odd
-    term = odd * log_normal_cdf(z) + rest * log_normal_cdf(-z)
-    sums = (
-        ranks.join(F.broadcast(shape.where(F.col("sd") > 0)), "column_id")
-        .withColumn("z", (F.col("x") - F.col("mean")) / F.col("sd"))
-        .groupBy("column_id", "n")
-        .agg(F.sum(term).alias("s"))
+    term = odd * log_normal_cdf(F.col("zs")) + rest * log_normal_cdf(-F.col("zs"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col("x")))
+
+    levels = (0.25, 0.5, 0.75)
+    picks = []
+    for i, p in enumerate(levels):
+        position = F.lit(p) * (F.col("n") - 1)
+        picks += [at(F.floor(position)).alias(f"first{i}"), at(F.ceil(position)).alias(f"second{i}")]
+    found = scored.groupBy("column_id", "n").agg(
+        F.count(F.lit(1)).alias("unique_count"),
+        F.max(F.when(F.col("z").isNotNull(), _gaps(F.col("cdf")))).alias("ks_statistic"),
+        F.sum(F.when(F.col("zs").isNotNull(), term)).alias("s"),
+        *picks,
     )
-    return sums.select(
+    quartile = []
+    for i, p in enumerate(levels):
+        position = F.lit(p) * (F.col("n") - 1)
+        a, b = F.col(f"first{i}"), F.col(f"second{i}")
+        quartile.append((a + (b - a) * (position - F.floor(position))).alias(f"q{int(p * 100)}"))
+    return found.select(
         "column_id",
-        (-n - F.col("s") / n).alias("statistic"),
-        (0.752 / (1.0 + 0.75 / n + 2.25 / (n * n))).alias("critical_value"),
+        "unique_count",
+        *quartile,
+        "ks_statistic",
+        ks_p_value("ks_statistic", n).alias("ks_p"),
+        (-n - F.col("s") / n).alias("ad_statistic"),
+        F.when(F.col("s").isNotNull(), 0.752 / (1.0 + 0.75 / n + 2.25 / (n * n))).alias("ad_critical"),
+    )
+
+
+def ks_normal(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(column, statistic, p_value, is_normal)`` against the normal with the column's mean and deviation."""
+    names = numeric_columns(df, columns)
+    found = order_statistics(*_ranked(df, names))
+    return _named_tests(
+        df, names, found.select("column_id", F.col("ks_statistic").alias("statistic"), F.col("ks_p").alias("p_value"))
     )
 
 
 def anderson_darling(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, statistic, critical_value, is_normal)`` at the five percent level."""
     names = numeric_columns(df, columns)
-    table = anderson_ids(*_ranked(df, names))
+    found = order_statistics(*_ranked(df, names))
+    table = found.select(
+        "column_id", F.col("ad_statistic").alias("statistic"), F.col("ad_critical").alias("critical_value")
+    )
     return _named_tests(df, names, table, F.col("statistic") < F.col("critical_value"))
 
 
-def shapiro_ids(ranks: DataFrame, shape: DataFrame) -> DataFrame:
+def shapiro_ids(ordered: DataFrame, shape: DataFrame) -> DataFrame:
     """``(column_id, statistic, p_value)`` for columns of 3 to 5000 values.
 
-    The cap is the test's own; columns within it expand to at most 5000 rows each.
+    The cap is the test's own.  Larger columns are dropped before anything is ranked, so the work
+    is at most 5000 rows per column.
     """
     small = shape.where((F.col("n") >= 3) & (F.col("n") <= SHAPIRO_MAX) & (F.col("sd_pop") > 0))
     n = F.col("n").cast("double")
+    ranks = fq.rank_rows(ordered.join(F.broadcast(small.select("column_id")), "column_id", "left_semi"))
     scored = (
         ranks.join(F.broadcast(small), "column_id")
         .select("column_id", "x", "n", "sd_pop", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("i"))
-        .withColumn("m", normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25)))
+        .withColumn("p", (F.col("i") - 0.375) / (F.col("n") + 0.25))
+        .withColumn("m", normal_quantile(F.col("p")))
     )
 
     def at(position: Column, value: str) -> Column:
@@ -293,25 +315,21 @@ def shapiro_ids(ranks: DataFrame, shape: DataFrame) -> DataFrame:
 def shapiro_wilk(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, statistic, p_value, is_normal)`` for columns of 3 to 5000 values."""
     names = numeric_columns(df, columns)
-    return _named_tests(df, names, shapiro_ids(*_ranked(df, names)))
+    ordered = fq.ordered_frequency(fq.numeric_frequency(df, names))
+    return _named_tests(df, names, shapiro_ids(ordered, shape_ids(numeric_long(df, names))))
 
 
-def normality_ids(ranks: DataFrame, shape: DataFrame) -> DataFrame:
-    """All four tests of every column with the vote; tests that do not apply are null."""
-    d = ks_ids(ranks, shape).select(
-        "column_id", F.col("d").alias("ks_statistic"), ks_p_value("d", F.col("n").cast("double")).alias("ks_p")
-    )
-    a = anderson_ids(ranks, shape).select(
-        "column_id", F.col("statistic").alias("ad_statistic"), F.col("critical_value").alias("ad_critical")
-    )
-    s = shapiro_ids(ranks, shape).select(
+def normality_ids(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Shape, order statistics and all four tests with the vote; tests that do not apply are null."""
+    ordered = fq.ordered_frequency(fq.numeric_frequency(df, names))
+    shape = shape_ids(numeric_long(df, names))
+    s = shapiro_ids(ordered, shape).select(
         "column_id", F.col("statistic").alias("sw_statistic"), F.col("p_value").alias("sw_p")
     )
     # at most one row per column on every side
     out = (
         with_dagostino(shape)
-        .join(F.broadcast(d), "column_id", "left")
-        .join(F.broadcast(a), "column_id", "left")
+        .join(F.broadcast(order_statistics(fq.rank_rows(ordered), shape)), "column_id", "left")
         .join(F.broadcast(s), "column_id", "left")
     )
     votes = [
@@ -336,9 +354,8 @@ def normality_ids(ranks: DataFrame, shape: DataFrame) -> DataFrame:
 def normality_vote(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column: the four tests, votes, verdict, and the reason when data is too scarce."""
     names = numeric_columns(df, columns)
-    ranks, shape = _ranked(df, names)
     few = F.coalesce(F.col("n"), F.lit(0)) < 3
-    return name_rows(df, names, normality_ids(ranks, shape)).select(
+    return name_rows(df, names, normality_ids(df, names)).select(
         "column",
         *[F.col(c) for c in NORMALITY_COLUMNS],
         F.coalesce("normal_votes", F.lit(0)).alias("normal_votes"),
@@ -374,15 +391,14 @@ def type_rules(n: Column, is_normal: Column, skew: Column, kurt: Column, unique:
 def analyze_distributions(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per numeric column: tests, vote, type, moments, quartiles, ``kde_available``.
 
-    The frequency table is built once; ranks, distinct counts and quartiles are all read from it.
+    The frequency table is built once; two tests, distinct counts and quartiles come from one pass
+    over its ranks.
     The bins are a table of their own: :func:`histogram`.
     """
     names = numeric_columns(df, columns)
-    ranks, shape = _ranked(df, names)
-    tests = normality_ids(ranks, shape)
     n = F.col("n")
     zero = F.lit(0.0)
-    table = name_rows(df, names, tests, rank_quartiles(ranks, shape)).withColumn("n", F.coalesce(n, F.lit(0)))
+    table = name_rows(df, names, normality_ids(df, names)).withColumn("n", F.coalesce(n, F.lit(0)))
     kind = type_rules(
         n, F.coalesce("is_normal", F.lit(False)), F.col("skewness"), F.col("kurtosis"), F.col("unique_count"),
         F.col("mean"), F.col("sd_pop"), F.col("min"),
@@ -403,27 +419,6 @@ def analyze_distributions(df: DataFrame, columns: Sequence[str] | None = None) -
     )
 
 
-def rank_quartiles(ranks: DataFrame, shape: DataFrame) -> DataFrame:
-    """``(column_id, unique_count, q25, q50, q75)`` looked up in the rank table."""
-    levels = (0.25, 0.5, 0.75)
-    sized = ranks.join(F.broadcast(shape.select("column_id", "n")), "column_id")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col("x")))
-
-    picks = []
-    for p in levels:
-        position = F.lit(p) * (F.col("n") - 1)
-        picks += [at(F.floor(position)).alias(f"a{p}"), at(F.ceil(position)).alias(f"b{p}")]
-    found = sized.groupBy("column_id", "n").agg(F.count(F.lit(1)).alias("unique_count"), *picks)
-    out = []
-    for p in levels:
-        position = F.lit(p) * (F.col("n") - 1)
-        a, b = F.col(f"`a{p}`"), F.col(f"`b{p}`")
-        out.append((a + (b - a) * (position - F.floor(position))).alias(f"q{int(p * 100)}"))
-    return found.select("column_id", "unique_count", *out)
-
-
 def distribution_type(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, distribution_type)``."""
     return analyze_distributions(df, columns).select("column", "distribution_type")
@@ -548,7 +543,12 @@ def fit_distribution(df: DataFrame, columns: Sequence[str] | None = None, name:
         cdf = gamma_cdf(x, "shape", "scale")
     fits = fits.where(F.col("scale") > 0)
     joined = fq.column_ranks(df, names).join(F.broadcast(fits), "column_id")  # one row per column
-    gaps = _largest_gap(joined, cdf).select("column_id", "d", ks_p_value("d", F.col("n").cast("double")).alias("p"))
+    gaps = (
+        joined.withColumn("cdf", cdf)
+        .groupBy("column_id", "n")
+        .agg(F.max(_gaps(F.col("cdf"))).alias("d"))
+        .select("column_id", "d", ks_p_value("d", F.col("n").cast("double")).alias("p"))
+    )
     return (
         name_rows(df, names, fits, gaps)
         .where(F.col("d").isNotNull())

@@ -39,16 +39,6 @@ def numeric_frequency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("column_id", "x").agg(F.count(F.lit(1)).alias("count"))
 
 
-def integer_frequency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """As :func:`numeric_frequency` with bigint values: integers above 2^53 stay apart."""
-    long = stack(
-        df,
-        [[F.lit(i), col(c).cast("bigint")] for i, c in enumerate(columns)],
-        "column_id int, x bigint",
-    ).where(F.col("x").isNotNull())
-    return long.groupBy("column_id", "x").agg(F.count(F.lit(1)).alias("count"))
-
-
 def text_frequency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column_id, value, count)`` over the non-null values, as text."""
     long = text_long(df, columns).where(F.col("value").isNotNull())
@@ -123,42 +113,41 @@ def entropy_ids(frequency: DataFrame) -> DataFrame:
     )
 
 
-def rank_table(frequency: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """``(column_id, x, count, lo, hi)``: ``lo`` values are smaller than x, ``hi`` are not larger.
+def ordered_frequency(frequency: DataFrame) -> DataFrame:
+    """``frequency(column_id, x, count)`` with ``before``: values in earlier range partitions.
 
-    A distributed prefix sum, no unpartitioned window: the distinct values are range-partitioned,
-    the partition number becomes a bucket, each bucket is summed on its own and shifted by the
-    total of the buckets before it.  One (column, value) is one row, so no value is hot.  The
-    range-partitioned rows are checkpointed because bucket totals and running sums must see the
-    same partition bounds, also when an executor is lost.
+    The first half of a distributed prefix sum, without an unpartitioned window.  The distinct
+    values are range-partitioned and checkpointed with their partition number as ``bucket``:
+    bucket totals and running sums must see the same partition bounds, also when an executor is
+    lost.  One (column, value) is one row, so no value is hot.
     """
     ranged = materialize(
         frequency.repartitionByRange("column_id", "x").withColumn("bucket", F.spark_partition_id())
     )
     totals = ranged.groupBy("column_id", "bucket").agg(F.sum("count").alias("total"))
     # one row per column and partition
-    before = W.partitionBy("column_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("column_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        "column_id", "bucket", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset")
+        "column_id", "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before")
     )
+    return ranged.join(F.broadcast(offsets), ["column_id", "bucket"])
+
+
+def rank_rows(ordered: DataFrame) -> DataFrame:
+    """``(column_id, x, count, lo, hi)``: ``lo`` values are smaller than x, ``hi`` are not larger.
+
+    Each bucket is summed on its own and shifted by the values before it.
+    """
     inside = W.partitionBy("column_id", "bucket").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        ranged.withColumn("running", F.sum("count").over(inside))
-        .join(F.broadcast(offsets), ["column_id", "bucket"])
-        .select(
-            "column_id",
-            "x",
-            *keep,
-            "count",
-            (F.col("offset") + F.col("running") - F.col("count")).alias("lo"),
-            (F.col("offset") + F.col("running")).alias("hi"),
-        )
+    hi = F.col("before") + F.sum("count").over(inside)
+    return ordered.withColumn("hi", hi).select(
+        "column_id", "x", "count", (F.col("hi") - F.col("count")).alias("lo"), "hi"
     )
 
 
 def column_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rank table of the numeric ``columns`` of ``df``."""
-    return rank_table(numeric_frequency(df, columns))
+    return rank_rows(ordered_frequency(numeric_frequency(df, columns)))
 
 
 def average_rank(df: DataFrame, columns: Sequence[str]) -> DataFrame:

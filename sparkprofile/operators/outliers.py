@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import as_double, band, name_rows, numeric_columns, numeric_long, percent
-from .quantiles import long_quantiles, row_bound
+from .quantiles import Selection
 
 # Thresholds, scale constant, severity bands, length of the value list.
 IQR_FACTOR = 1.5
@@ -22,41 +22,23 @@ METHODS = ("iqr", "zscore", "mad")
 def outlier_bounds(df: DataFrame, names: Sequence[str], methods: Sequence[str] = METHODS) -> DataFrame:
     """``(column_id, lower, upper, mean, std, median, mad)``: all a row needs to be judged.
 
-    One row per numeric column.  The median of absolute deviations is a second quantile over the
-    deviations from the (broadcast) median; no table is sorted.
+    One row per numeric column; quartiles, median deviation and moments share two passes over the
+    data, and nothing is sorted.
     """
-    long = numeric_long(df, names)
-    rows = row_bound(df)
-    spark = df.sparkSession
-    ids = spark.createDataFrame([(i,) for i in range(len(names))], "column_id int")
-    spread = "column_id, cast(null as double) as mean, cast(null as double) as std".split(", ")
-    moments = (
-        long.groupBy("column_id").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
-        if "zscore" in methods
-        else ids.selectExpr(*spread)
+    found = Selection(
+        numeric_long(df, names), (0.25, 0.5, 0.75), deviation="mad" in methods, moments="zscore" in methods
     )
-    levels = long_quantiles(long, (0.25, 0.5, 0.75), rows)
-    if "mad" in methods:
-        median = levels.select("column_id", F.col("q50").alias("median"))
-        deviation = long.join(F.broadcast(median), "column_id").select(
-            "column_id", F.abs(F.col("x") - F.col("median")).alias("x")
-        )
-        mad = long_quantiles(deviation, (0.5,), rows).withColumnRenamed("q50", "mad")
-    else:
-        mad = ids.selectExpr("column_id", "cast(null as double) as mad")
-    reach = IQR_FACTOR * (F.col("q75") - F.col("q25"))
-    return (
-        ids.join(F.broadcast(levels), "column_id", "left")
-        .join(F.broadcast(moments), "column_id", "left")
-        .join(F.broadcast(mad), "column_id", "left")
-        .select(
-            "column_id",
-            (F.col("q25") - reach).alias("lower"),
-            (F.col("q75") + reach).alias("upper"),
-            "mean", "std",
-            F.col("q50").alias("median"),
-            "mad",
-        )
+    rows = []
+    for i in range(len(names)):
+        if i not in found.values:
+            rows.append((i, None, None, None, None, None, None))
+            continue
+        q25, median, q75 = found.values[i]
+        reach = IQR_FACTOR * (q75 - q25)
+        facts = found.facts[i].asDict()
+        rows.append((i, q25 - reach, q75 + reach, facts.get("mean"), facts.get("std"), median, found.deviations.get(i)))
+    return df.sparkSession.createDataFrame(
+        rows, "column_id int, lower double, upper double, mean double, std double, median double, mad double"
     )
 
 

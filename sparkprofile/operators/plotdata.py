@@ -11,7 +11,7 @@ from ..functions.normal import normal_quantile
 from . import frequency as fq
 from .distributions import finite, kde, quartiles
 from .outliers import IQR_FACTOR
-from .quantiles import long_quantiles, row_bound
+from .quantiles import long_quantiles
 from .sampling import uniform_sample
 
 # Sample sizes of the plots, bars shown.
@@ -29,7 +29,7 @@ def box_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """
     names = numeric_columns(df, columns)
     long = numeric_long(df, names)
-    levels = long_quantiles(long, (0.25, 0.5, 0.75), row_bound(df))
+    levels = long_quantiles(long, (0.25, 0.5, 0.75))
     reach = IQR_FACTOR * (F.col("q75") - F.col("q25"))
     x = F.col("x")
     inside = x.between(F.col("q25") - reach, F.col("q75") + reach)
@@ -74,7 +74,8 @@ def qq_points(df: DataFrame, column: str) -> DataFrame:
     size, i = F.col("n").cast("double"), F.col("at") + 1
     top = F.pow(F.lit(0.5), F.lit(1.0) / size)
     uniform = F.when(i == F.col("n"), top).when(i == 1, 1.0 - top).otherwise((i - 0.3175) / (size + 0.365))
-    return points.select(i.alias("position"), normal_quantile(uniform).alias("theoretical"), F.col("x").alias("sample"))
+    placed = points.select(i.alias("position"), uniform.alias("p"), F.col("x").alias("sample"))
+    return placed.select("position", normal_quantile(F.col("p")).alias("theoretical"), "sample")
 
 
 def qq_line(points: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import (
-    BOOLEAN, DATETIME, NUMERIC, STRING, col, columns_of, name_rows, numeric_columns, numeric_long,
+    BOOLEAN, DATETIME, NUMERIC, STRING, as_double, col, columns_of, name_rows, numeric_columns, numeric_long,
     percent, ratio, select_columns, stack, type_class,
 )
 from . import frequency as fq
-from .quantiles import long_quantiles, row_bound
+from .quantiles import long_quantiles
 
 # Fixed value: largest distinct share of a categorical column.
 CATEGORICAL_RATIO = 0.05
@@ -55,16 +55,22 @@ def sample_kurtosis(kurt: Column, n: Column) -> Column:
 
 
 def numeric_modes(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``(column_id, mode, mode_count)`` as double; integers are counted as bigint."""
-    whole = [c for c in names if isinstance(df.schema[c].dataType, _INTEGERS)]
-    parts = []
-    if whole:
-        counts = _with_ids(fq.integer_frequency(df, whole), whole, names)
-        parts.append(fq.modes(counts, "x").withColumn("mode", F.col("mode").cast("double")))
-    rest = [c for c in names if c not in whole]
-    if rest:
-        parts.append(fq.modes(_with_ids(fq.numeric_frequency(df, rest), rest, names), "x"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    """``(column_id, mode, mode_count)`` as double, from one frequency table.
+
+    Integers are counted as bigint beside the doubles, so integers above 2^53 stay apart.
+    """
+    null_x, null_k = F.lit(None).cast("double"), F.lit(None).cast("bigint")
+    rows = []
+    for i, c in enumerate(names):
+        whole = isinstance(df.schema[c].dataType, _INTEGERS)
+        rows.append([F.lit(i), null_x if whole else as_double(c), col(c).cast("bigint") if whole else null_k])
+    long = stack(df, rows, "column_id int, x double, k bigint").where(F.coalesce(F.col("x"), F.col("k")).isNotNull())
+    counts = long.groupBy("column_id", "x", "k").agg(F.count(F.lit(1)).alias("count"))
+    best = counts.groupBy("column_id").agg(F.max("count").alias("mode_count"))
+    reach = counts.join(F.broadcast(best), "column_id").where(F.col("count") == F.col("mode_count"))
+    return reach.groupBy("column_id", "mode_count").agg(
+        F.coalesce(F.min("k").cast("double"), F.min("x")).alias("mode")
+    )
 
 
 def _with_ids(table: DataFrame, part: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -82,7 +88,7 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     table = name_rows(
         df, names,
         moment_ids(long),
-        long_quantiles(long, (0.25, 0.5, 0.75), row_bound(df)),
+        long_quantiles(long, (0.25, 0.5, 0.75)),
         numeric_modes(df, names),
     )
     return numeric_result(table)

@@ -134,7 +134,7 @@ def scan_arrow(spark: SparkSession, path: str, **options) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input of fewer files than cores; larger inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, F.monotonically_increasing_id()) if len(df.inputFiles()) < cores else df
 
 
 def invalid_utf8_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
