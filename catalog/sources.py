@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 import sparkprofile as sp
+from sparkprofile.sources.arrow import file_system
 
-from .base import LINEITEM_NUMBERS, SPARSE_COLUMNS, SPARSE_SQL, long_sql, query, rounded
+from .base import SPARSE_COLUMNS, SPARSE_SQL, long_sql, query, rounded
 
 ORDERS_BY_STATUS = """
 SELECT o_orderstatus, count(*) AS orders, round(sum(o_totalprice), 2) AS total, count(DISTINCT o_custkey) AS customers
@@ -95,8 +99,6 @@ def scan_ndjson(t):
 
 def as_array(batches):
     """Lines of one JSON array per partition."""
-    import pandas as pd
-
     first = True
     yield pd.DataFrame({"value": ["["]})
     for batch in batches:
@@ -121,11 +123,6 @@ def arrow_writer(folder):
     """Task that writes its batches to one IPC file and reports its row count."""
 
     def write(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        from sparkprofile.sources.arrow import file_system
-
         context = TaskContext.get()
         fs, place = file_system(folder)
         fs.create_dir(place, recursive=True)

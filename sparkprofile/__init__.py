@@ -1,5 +1,9 @@
 """Data profiling on Spark: DataFrame in, tidy DataFrames out."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from .operators.correlations import (
     analyze_correlations, chi_square, column_pair_correlation, contingency_table, correlation_columns,
     correlation_matrix, cramers_v, pearson, point_biserial, spearman, top_correlations,
@@ -42,4 +46,7 @@ from .sources.loader import (
 )
 from .sources.writers import write_json, write_tables
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+# The few Python functions that run in tasks travel with the job: nothing to install on executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+__all__ = [name for name in dir() if not name.startswith("_") and name not in ("cloudpickle", "sys")]

@@ -1,15 +1,13 @@
 """The standard normal distribution as JVM column expressions.
 
 Spark has no ``erf`` and no normal quantile; published rational approximations give both to double
-precision from plain arithmetic, so the tests over a whole rank table stay inside whole-stage
-codegen.
+precision from plain arithmetic, so the tests over a whole rank table stay inside the JVM.  The
+formulas are SQL text over the name of a column.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 # Cody's coefficients (Math. Comp. 23, 1969), lowest power first.
@@ -33,42 +31,46 @@ TAIL_P = (
 TAIL_Q = (0.00233520497626869185, 0.0605183413124413191, 0.527905102951428412, 1.87295284992346725, 2.56852019228982242, 1.0)
 
 
-def _poly(coefficients: tuple[float, ...], x: Column) -> Column:
+def _poly(coefficients: tuple[float, ...], x: str) -> str:
     """Horner form, lowest power first."""
-    return reduce(lambda acc, c: acc * x + F.lit(c), reversed(coefficients[:-1]), F.lit(coefficients[-1]))
+    text = f"{coefficients[-1]!r}D"
+    for c in reversed(coefficients[:-1]):
+        text = f"({text} * {x} + {c!r}D)"
+    return text
 
 
-def _erf_small(x: Column) -> Column:
-    return x * _poly(ERF_P, x * x) / _poly(ERF_Q, x * x)
+def _scaled_erfc(x: str) -> str:
+    """``exp(x^2) * erfc(x)`` for x >= 0.46875."""
+    inverse = f"(1D / ({x} * {x}))"
+    tail = f"({1 / math.sqrt(math.pi)!r}D - {inverse} * {_poly(TAIL_P, inverse)} / {_poly(TAIL_Q, inverse)}) / {x}"
+    return f"(CASE WHEN {x} <= 4D THEN {_poly(MID_P, x)} / {_poly(MID_Q, x)} ELSE {tail} END)"
 
 
-def _scaled_erfc(x: Column) -> Column:
-    """``exp(x^2) * erfc(x)`` for x >= 0.46875."""
-    inverse = F.lit(1.0) / (x * x)
-    tail = (F.lit(1.0 / math.sqrt(math.pi)) - inverse * _poly(TAIL_P, inverse) / _poly(TAIL_Q, inverse)) / x
-    return F.when(x <= 4.0, _poly(MID_P, x) / _poly(MID_Q, x)).otherwise(tail)
+def _erfc(x: str) -> str:
+    near = f"1D - {x} * {_poly(ERF_P, f'({x} * {x})')} / {_poly(ERF_Q, f'({x} * {x})')}"
+    upper = f"exp(-{x} * {x}) * {_scaled_erfc(f'abs({x})')}"
+    return f"(CASE WHEN abs({x}) <= 0.46875D THEN {near} WHEN {x} > 0D THEN {upper} ELSE 2D - {upper} END)"
+
+
+def _half_turn(z: str, sign: str) -> str:
+    return f"({sign}`{z}` / {math.sqrt(2.0)!r}D)"
 
 
-def erfc(x: Column) -> Column:
-    a = F.abs(x)
-    upper = F.exp(-a * a) * _scaled_erfc(a)
-    return (
-        F.when(a <= 0.46875, F.lit(1.0) - _erf_small(x))
-        .when(x > 0, upper)
-        .otherwise(F.lit(2.0) - upper)
-    )
+def erfc(x: str) -> Column:
+    """Complementary error function of the column ``x``."""
+    return F.expr(_erfc(f"`{x}`"))
 
 
-def normal_cdf(z: Column) -> Column:
-    return F.lit(0.5) * erfc(-z / math.sqrt(2.0))
+def normal_cdf(z: str) -> Column:
+    """P(Z <= z) for the column ``z``."""
+    return F.expr(f"0.5D * {_erfc(_half_turn(z, '-'))}")
 
 
-def log_normal_cdf(z: Column) -> Column:
-    """``ln(cdf(z))``, finite far into the lower tail."""
-    x = -z / math.sqrt(2.0)
-    return F.when(
-        x > 0.46875, -x * x + F.log(F.lit(0.5) * _scaled_erfc(x))
-    ).otherwise(F.log(F.lit(0.5) * erfc(x)))
+def log_normal_tail(z: str, upper: bool = False) -> Column:
+    """``ln P(Z <= z)``, or ``ln P(Z > z)``, for the column ``z``; finite far into the tails."""
+    x = _half_turn(z, "" if upper else "-")
+    far = f"-{x} * {x} + ln(0.5D * {_scaled_erfc(x)})"
+    return F.expr(f"CASE WHEN {x} > 0.46875D THEN {far} ELSE ln(0.5D * {_erfc(x)}) END")
 
 
 # Wichura's coefficients (Applied Statistics 37, 1988, algorithm AS 241), lowest power first.
@@ -101,12 +103,13 @@ INV_F = (
 )
 
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of :func:`normal_cdf` for 0 < p < 1.  ``p`` should be a plain column: it is used often."""
-    q = p - 0.5
-    near = F.lit(0.180625) - q * q
-    far = F.sqrt(-F.log(F.least(p, 1.0 - p)))
-    centre = q * _poly(INV_A, near) / _poly(INV_B, near)
-    shoulder = _poly(INV_C, far - 1.6) / _poly(INV_D, far - 1.6)
-    tail = _poly(INV_E, far - 5.0) / _poly(INV_F, far - 5.0)
-    return F.when(F.abs(q) <= 0.425, centre).otherwise(F.signum(q) * F.when(far <= 5.0, shoulder).otherwise(tail))
+def normal_quantile(p: str) -> Column:
+    """Inverse of :func:`normal_cdf` for the column ``p``, 0 < p < 1."""
+    q = f"(`{p}` - 0.5D)"
+    near = f"(0.180625D - {q} * {q})"
+    far = f"sqrt(-ln(least(`{p}`, 1D - `{p}`)))"
+    centre = f"{q} * {_poly(INV_A, near)} / {_poly(INV_B, near)}"
+    shoulder = f"{_poly(INV_C, f'({far} - 1.6D)')} / {_poly(INV_D, f'({far} - 1.6D)')}"
+    tail = f"{_poly(INV_E, f'({far} - 5D)')} / {_poly(INV_F, f'({far} - 5D)')}"
+    outer = f"sign({q}) * CASE WHEN {far} <= 5D THEN {shoulder} ELSE {tail} END"
+    return F.expr(f"CASE WHEN abs({q}) <= 0.425D THEN {centre} ELSE {outer} END")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import name_rows, numeric_columns, numeric_long, ratio, stack
-from ..functions.normal import log_normal_cdf, normal_cdf, normal_quantile
+from ..functions.normal import log_normal_tail, normal_cdf, normal_quantile
 from ..functions.special import gamma_cdf, gamma_shape_mle, ks_p_value, shapiro_test
 from . import frequency as fq
 from .quantiles import long_quantiles
@@ -147,42 +147,35 @@ def with_dagostino(shape: DataFrame) -> DataFrame:
     The steps are separate projections: each is used several times by the next, and Spark keeps
     such projections apart instead of repeating their expressions.
     """
-    n, g1, g2 = F.col("n").cast("double"), F.col("skewness"), F.col("kurtosis")
-    usable = (F.col("n") >= DAGOSTINO_MIN) & (F.col("sd_pop") > 0)
     steps = [
+        {"_n": f"CASE WHEN n >= {DAGOSTINO_MIN} AND sd_pop > 0 THEN double(n) END"},
         {
             # skewness: Johnson's S_U approximation
-            "_y": g1 * F.sqrt(ratio((n + 1) * (n + 3), 6.0 * (n - 2))),
-            "_b2": ratio(3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3), (n - 2) * (n + 5) * (n + 7) * (n + 9)),
+            "_y": "skewness * sqrt((_n + 1) * (_n + 3) / (6 * (_n - 2)))",
+            "_b2": "3 * (_n * _n + 27 * _n - 70) * (_n + 1) * (_n + 3) / ((_n - 2) * (_n + 5) * (_n + 7) * (_n + 9))",
             # kurtosis: Anscombe and Glynn's cube-root transformation
-            "_x": ratio(
-                g2 + 3 - ratio(3.0 * (n - 1), n + 1),
-                F.sqrt(ratio(24.0 * n * (n - 2) * (n - 3), (n + 1) * (n + 1) * (n + 3) * (n + 5))),
-            ),
-            "_rb": ratio(6.0 * (n * n - 5 * n + 2), (n + 7) * (n + 9))
-            * F.sqrt(ratio(6.0 * (n + 3) * (n + 5), n * (n - 2) * (n - 3))),
+            "_x": "(kurtosis + 3 - 3 * (_n - 1) / (_n + 1)) / "
+            "sqrt(24 * _n * (_n - 2) * (_n - 3) / ((_n + 1) * (_n + 1) * (_n + 3) * (_n + 5)))",
+            "_rb": "6 * (_n * _n - 5 * _n + 2) / ((_n + 7) * (_n + 9)) * "
+            "sqrt(6 * (_n + 3) * (_n + 5) / (_n * (_n - 2) * (_n - 3)))",
         },
         {
-            "_w2": F.when(usable, F.sqrt(2 * (F.col("_b2") - 1)) - 1),
-            "_y": F.when(F.col("_y") == 0, F.lit(1.0)).otherwise(F.col("_y")),
-            "_a": 6.0 + ratio(F.lit(8.0), F.col("_rb")) * (ratio(F.lit(2.0), F.col("_rb")) + F.sqrt(1 + ratio(F.lit(4.0), F.col("_rb") * F.col("_rb")))),
+            "_w2": "sqrt(2 * (_b2 - 1)) - 1",
+            "_y": "CASE WHEN _y = 0 THEN 1D ELSE _y END",
+            "_a": "6 + 8 / _rb * (2 / _rb + sqrt(1 + 4 / (_rb * _rb)))",
         },
+        {"_ya": "_y / sqrt(2 / (_w2 - 1))", "_d": "1 + _x * sqrt(2 / (_a - 4))", "_c": "2 / (9 * _a)"},
         {
-            "_ya": ratio(F.col("_y"), F.sqrt(ratio(F.lit(2.0), F.col("_w2") - 1))),
-            "_d": 1 + F.col("_x") * F.sqrt(ratio(F.lit(2.0), F.col("_a") - 4.0)),
-            "_c": ratio(F.lit(2.0), 9.0 * F.col("_a")),
+            "_z1": "ln(_ya + sqrt(_ya * _ya + 1)) / sqrt(0.5D * ln(_w2))",
+            "_cube": "sign(_d) * pow(abs(try_divide(1 - 2 / _a, _d)), 1D / 3)",
         },
-        {
-            "_z1": ratio(F.log(F.col("_ya") + F.sqrt(F.col("_ya") * F.col("_ya") + 1)), F.sqrt(0.5 * F.log("_w2"))),
-            "_cube": F.signum("_d") * F.pow(F.abs(ratio(1 - ratio(F.lit(2.0), F.col("_a")), F.col("_d"))), F.lit(1.0 / 3.0)),
-        },
-        {"_z2": ratio(1 - F.col("_c") - F.col("_cube"), F.sqrt("_c"))},
-        {"dp_statistic": F.when(usable, F.col("_z1") * F.col("_z1") + F.col("_z2") * F.col("_z2"))},
-        {"dp_p": F.exp(-F.col("dp_statistic") / 2.0)},
+        {"_z2": "(1 - _c - _cube) / sqrt(_c)"},
+        {"dp_statistic": "_z1 * _z1 + _z2 * _z2"},
+        {"dp_p": "exp(-dp_statistic / 2)"},
     ]
     out = shape
     for step in steps:
-        out = out.withColumns(step)
+        out = out.withColumns({name: F.expr(text) for name, text in step.items()})
     return out.drop(*{name for step in steps for name in step if name.startswith("_")})
 
 
@@ -224,11 +217,13 @@ def order_statistics(ranks: DataFrame, shape: DataFrame) -> DataFrame:
     joined = ranks.join(F.broadcast(shape.select("column_id", "n", "mean", "sd", "sd_pop")), "column_id")
     centred = F.col("x") - F.col("mean")
     scored = joined.withColumns({"z": ratio(centred, F.col("sd_pop")), "zs": ratio(centred, F.col("sd"))})
-    scored = scored.withColumn("cdf", normal_cdf(F.col("z")))
+    scored = scored.withColumns(
+        {"cdf": normal_cdf("z"), "log_lower": log_normal_tail("zs"), "log_upper": log_normal_tail("zs", upper=True)}
+    )
     # Anderson-Darling: sum of (2i - 1) over the tied positions lo+1 .. hi, sample deviation
     odd = F.col("hi").cast("double") * F.col("hi") - F.col("lo").cast("double") * F.col("lo")
     rest = 2.0 * n * F.col("count") - odd
-    term = odd * log_normal_cdf(F.col("zs")) + rest * log_normal_cdf(-F.col("zs"))
+    term = odd * F.col("log_lower") + rest * F.col("log_upper")
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col("x")))
@@ -292,7 +287,7 @@ def shapiro_ids(ordered: DataFrame, shape: DataFrame) -> DataFrame:
         ranks.join(F.broadcast(small), "column_id")
         .select("column_id", "x", "n", "sd_pop", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("i"))
         .withColumn("p", (F.col("i") - 0.375) / (F.col("n") + 0.25))
-        .withColumn("m", normal_quantile(F.col("p")))
+        .withColumn("m", normal_quantile("p"))
     )
 
     def at(position: Column, value: str) -> Column:
@@ -520,17 +515,17 @@ def fit_distribution(df: DataFrame, columns: Sequence[str] | None = None, name:
     x = F.col("x")
     if name == "norm":
         fits = base.select("column_id", "n", null.alias("shape"), F.col("mean").alias("location"), F.col("sd_pop").alias("scale"))
-        cdf = normal_cdf((x - F.col("location")) / F.col("scale"))
+        cdf = normal_cdf("z")
     elif name == "expon":
         fits = base.select(
             "column_id", "n", null.alias("shape"), F.col("min").alias("location"), (F.col("mean") - F.col("min")).alias("scale")
         )
-        cdf = 1.0 - F.exp(-(x - F.col("location")) / F.col("scale"))
+        cdf = 1.0 - F.exp(-F.col("z"))
     elif name == "uniform":
         fits = base.select(
             "column_id", "n", null.alias("shape"), F.col("min").alias("location"), (F.col("max") - F.col("min")).alias("scale")
         )
-        cdf = (x - F.col("location")) / F.col("scale")
+        cdf = F.col("z")
     else:
         logs = long.groupBy("column_id").agg(F.avg(F.when(x > 0, F.log(x))).alias("mean_log"))
         fits = (
@@ -543,6 +538,7 @@ def fit_distribution(df: DataFrame, columns: Sequence[str] | None = None, name:
         cdf = gamma_cdf(x, "shape", "scale")
     fits = fits.where(F.col("scale") > 0)
     joined = fq.column_ranks(df, names).join(F.broadcast(fits), "column_id")  # one row per column
+    joined = joined.withColumn("z", (x - F.col("location")) / F.col("scale"))
     gaps = (
         joined.withColumn("cdf", cdf)
         .groupBy("column_id", "n")

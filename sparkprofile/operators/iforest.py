@@ -161,7 +161,7 @@ def multivariate_outliers(
         data.select(*[f"kept_{i}" for i in range(len(kept))], score(F.struct(*inputs)).alias("anomaly_score"))
     )
     long = scored.select(F.lit(0).alias("column_id"), F.col("anomaly_score").alias("x"))
-    cut = long_quantiles(long, (1.0 - contamination,), scored.count()).collect()[0][1]
+    cut = long_quantiles(long, (1.0 - contamination,)).collect()[0][1]
     few = scored.limit(2).count() < 2
     flag = F.lit(False) if few else F.col("anomaly_score") > F.lit(cut)
     return scored.select(

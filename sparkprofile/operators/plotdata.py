@@ -75,7 +75,7 @@ def qq_points(df: DataFrame, column: str) -> DataFrame:
     top = F.pow(F.lit(0.5), F.lit(1.0) / size)
     uniform = F.when(i == F.col("n"), top).when(i == 1, 1.0 - top).otherwise((i - 0.3175) / (size + 0.365))
     placed = points.select(i.alias("position"), uniform.alias("p"), F.col("x").alias("sample"))
-    return placed.select("position", normal_quantile(F.col("p")).alias("theoretical"), "sample")
+    return placed.select("position", normal_quantile("p").alias("theoretical"), "sample")
 
 
 def qq_line(points: DataFrame) -> DataFrame:
