@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sparkprofile.functions.session import shared_folder
+from sparkprofile.functions.session import new_folder
 from sparkprofile.sources.loader import scan_parquet, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,7 +66,7 @@ class Tables:
 
     def scratch(self) -> str:
         """A new folder below the shared one, for queries that read back what they write."""
-        return f"{shared_folder(self.spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+        return new_folder(self.spark, "run")
 
 
 def _bind(text: str, names: Sequence[str]) -> str:

@@ -169,7 +169,7 @@ def quantile_sql(p: str) -> str:
     "shapiro_wilk",
     f"""
 WITH long AS ({long_sql("customer", ["c_custkey", "c_nationkey", "c_acctbal"])}
-     UNION ALL {long_sql("supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])}),
+     UNION ALL {long_sql("nation", ["n_nationkey", "n_regionkey"])}),
 u AS (SELECT "column", x, row_number() OVER (PARTITION BY "column" ORDER BY x) AS i, (count(*) OVER (PARTITION BY "column"))::DOUBLE AS n FROM long),
 p AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM u WHERE n BETWEEN 12 AND 5000),
 m AS (SELECT *, {quantile_sql("p")} AS m FROM p),
@@ -187,7 +187,7 @@ e AS (SELECT *, CASE WHEN z > 0 THEN {tail_sql("a")} ELSE 1 - ({tail_sql("a")})
 SELECT "column", round(w, 6) AS statistic, round(pv, 6) AS p_value, pv > 0.05 AS is_normal FROM e""",
 )
 def shapiro_wilk(t):
-    return rounded(sp.shapiro_wilk(t.customer).unionByName(sp.shapiro_wilk(t.supplier)))
+    return rounded(sp.shapiro_wilk(t.customer).unionByName(sp.shapiro_wilk(t.nation)))
 
 
 @query("normality_vote")

@@ -8,27 +8,19 @@ formulas are SQL text over the name of a column.
 from __future__ import annotations
 
 import math
-from pyspark.sql import Column, functions as F
-
-# Cody's coefficients (Math. Comp. 23, 1969), lowest power first.
-# erf(x) = x * P1(x^2) / Q1(x^2)                       for |x| <= 0.46875
-ERF_P = (3209.37758913846947, 377.485237685302021, 113.864154151050156, 3.16112374387056560, 0.185777706184603153)
-ERF_Q = (2844.23683343917062, 1282.61652607737228, 244.024637934444173, 23.6012909523441209, 1.0)
-# erfc(x) = exp(-x^2) * P2(x) / Q2(x)                  for 0.46875 <= x <= 4
-MID_P = (
-    1230.33935479799725, 2051.07837782607147, 1712.04761263407058, 881.952221241769090, 298.635138197400131,
-    66.1191906371416295, 8.88314979438837594, 0.564188496988670089, 2.15311535474403846e-8,
-)
-MID_Q = (
-    1230.33935480374942, 3439.36767414372164, 4362.61909014324716, 3290.79923573345963, 1621.38957456669019,
-    537.181101862009858, 117.693950891312499, 15.7449261107098347, 1.0,
-)
-# erfc(x) = exp(-x^2)/x * (1/sqrt(pi) - P3(x^-2) / (x^2 Q3(x^-2)))   for x >= 4
+from pyspark.sql import Column, DataFrame, functions as F
+
+# Hart's rational approximation of the upper tail (Computer Approximations, 1968, 5666),
+# lowest power first: P(Z > a) = exp(-a^2 / 2) * P(a) / Q(a) for 0 <= a < 7.07.
 TAIL_P = (
-    6.58749161529837803e-4, 0.0160837851487422766, 0.125781726111229246, 0.360344899949804439, 0.305326634961232344,
-    0.0163153871373020978,
+    220.206867912376, 221.213596169931, 112.079291497871, 33.912866078383, 6.37396220353165, 0.700383064443688,
+    0.0352624965998911,
 )
-TAIL_Q = (0.00233520497626869185, 0.0605183413124413191, 0.527905102951428412, 1.87295284992346725, 2.56852019228982242, 1.0)
+TAIL_Q = (
+    440.413735824752, 793.826512519948, 637.333633378831, 296.564248779674, 86.7807322029461, 16.064177579207,
+    1.75566716318264, 0.0883883476483184,
+)
+TAIL_LIMIT = 7.07
 
 
 def _poly(coefficients: tuple[float, ...], x: str) -> str:
@@ -39,38 +31,31 @@ def _poly(coefficients: tuple[float, ...], x: str) -> str:
     return text
 
 
-def _scaled_erfc(x: str) -> str:
-    """``exp(x^2) * erfc(x)`` for x >= 0.46875."""
-    inverse = f"(1D / ({x} * {x}))"
-    tail = f"({1 / math.sqrt(math.pi)!r}D - {inverse} * {_poly(TAIL_P, inverse)} / {_poly(TAIL_Q, inverse)}) / {x}"
-    return f"(CASE WHEN {x} <= 4D THEN {_poly(MID_P, x)} / {_poly(MID_Q, x)} ELSE {tail} END)"
-
-
-def _erfc(x: str) -> str:
-    near = f"1D - {x} * {_poly(ERF_P, f'({x} * {x})')} / {_poly(ERF_Q, f'({x} * {x})')}"
-    upper = f"exp(-{x} * {x}) * {_scaled_erfc(f'abs({x})')}"
-    return f"(CASE WHEN abs({x}) <= 0.46875D THEN {near} WHEN {x} > 0D THEN {upper} ELSE 2D - {upper} END)"
-
-
-def _half_turn(z: str, sign: str) -> str:
-    return f"({sign}`{z}` / {math.sqrt(2.0)!r}D)"
-
+def with_normal_tail(df: DataFrame, z: str) -> DataFrame:
+    """``df`` with ``_tail``, where P(Z > |z|) = exp(-z^2 / 2) * _tail for the column ``z``.
 
-def erfc(x: str) -> Column:
-    """Complementary error function of the column ``x``."""
-    return F.expr(_erfc(f"`{x}`"))
+    A column of its own: the functions below use it several times, and Spark keeps a projection
+    that is used more than once apart instead of repeating its formula.
+    """
+    a = "_size"
+    # beyond the limit: the first terms of the continued fraction
+    fraction = f"1D / ({a} + 1D / ({a} + 2D / ({a} + 3D / ({a} + 4D / ({a} + 0.65D))))) / {math.sqrt(2 * math.pi)!r}D"
+    return df.withColumn(a, F.abs(F.col(z))).withColumn(
+        "_tail", F.expr(f"CASE WHEN {a} < {TAIL_LIMIT}D THEN {_poly(TAIL_P, a)} / {_poly(TAIL_Q, a)} ELSE {fraction} END")
+    )
 
 
 def normal_cdf(z: str) -> Column:
-    """P(Z <= z) for the column ``z``."""
-    return F.expr(f"0.5D * {_erfc(_half_turn(z, '-'))}")
+    """P(Z <= z) for the column ``z`` of :func:`with_normal_tail`."""
+    tail = f"exp(-`{z}` * `{z}` / 2) * _tail"
+    return F.expr(f"CASE WHEN `{z}` > 0 THEN 1 - {tail} ELSE {tail} END")
 
 
 def log_normal_tail(z: str, upper: bool = False) -> Column:
-    """``ln P(Z <= z)``, or ``ln P(Z > z)``, for the column ``z``; finite far into the tails."""
-    x = _half_turn(z, "" if upper else "-")
-    far = f"-{x} * {x} + ln(0.5D * {_scaled_erfc(x)})"
-    return F.expr(f"CASE WHEN {x} > 0.46875D THEN {far} ELSE ln(0.5D * {_erfc(x)}) END")
+    """``ln P(Z <= z)``, or ``ln P(Z > z)``, for the same column; finite far into the tails."""
+    far, near = f"ln(_tail) - `{z}` * `{z}` / 2", f"ln(1 - exp(-`{z}` * `{z}` / 2) * _tail)"
+    outside = f"`{z}` > 0" if upper else f"`{z}` < 0"
+    return F.expr(f"CASE WHEN {outside} THEN {far} ELSE {near} END")
 
 
 # Wichura's coefficients (Applied Statistics 37, 1988, algorithm AS 241), lowest power first.

@@ -1,11 +1,13 @@
-"""Lineage cuts on the shared checkpoint folder."""
+"""Lineage cuts: tables in the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .columns import col
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,9 +26,24 @@ def shared_folder(spark: SparkSession) -> str:
     return "file:" + tempfile.mkdtemp(prefix="sparkprofile-")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from there."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and continue from there.
+
+    Cuts the lineage like a checkpoint, but in one job instead of two, and readers get column
+    pruning, pushed-down filters and real size statistics.  ``by`` makes one sub-folder per value
+    of that column.
+    """
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, "table")
+    # untyped null columns cannot be stored; they have nothing to store either
+    empty = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
+    writer = df.drop(*empty).write
+    (writer.partitionBy(by) if by else writer).parquet(folder)
+    stored = spark.read.schema(T.StructType([f for f in df.schema.fields if f.name not in empty])).parquet(folder)
+    if not empty:
+        return stored
+    return stored.select(*[F.lit(None).alias(c) if c in empty else col(c) for c in df.columns])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import (
     NUMERIC, STRING, as_double, band, col, columns_of, numeric_columns, ratio, select_columns, stack, type_class,
 )
-from ..functions.session import shared_folder
+from ..functions.session import materialize
 from ..functions.special import correlation_p_value
 from . import frequency as fq
 from .statistics import categorical_names
@@ -81,8 +80,8 @@ def pair_moments(df: DataFrame, pairs: Sequence[tuple[str, str]], values: dict[s
 def _finish(moments: DataFrame, method: str, small_p: Column | None = None) -> DataFrame:
     """Coefficient and p-value; constant columns and pairs below two rows have none and drop out."""
     r = F.when((F.col("sd1") > 0) & (F.col("sd2") > 0), ratio(F.col("cov"), F.col("sd1") * F.col("sd2")))
-    bounded = F.when(F.isnan(r), None).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
-    kept = moments.withColumn("correlation", bounded).where((F.col("n") >= 2) & F.col("correlation").isNotNull())
+    found = moments.withColumn("r", r).where((F.col("n") >= 2) & F.col("r").isNotNull() & ~F.isnan("r"))
+    kept = found.withColumn("correlation", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))))
     p = correlation_p_value("correlation", F.col("n").cast("double"))
     p = p if small_p is None else F.when(F.col("n") == 2, small_p).otherwise(p)
     return kept.select("column1", "column2", "correlation", F.lit(method).alias("method"), p.alias("p_value"), "n")
@@ -151,10 +150,7 @@ def attach_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ranks = fq.column_ranks(df, columns).select(
         "x", "count", ((F.col("lo") + 1 + F.col("hi")) / F.lit(2.0)).alias("rank"), "column_id"
     )
-    # one folder per column: each lookup below reads its own part only
-    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/ranks-{uuid.uuid4().hex}"
-    ranks.write.partitionBy("column_id").parquet(folder)
-    ranks = df.sparkSession.read.schema("x double, count bigint, rank double, column_id int").parquet(folder)
+    ranks = materialize(ranks, by="column_id")  # each lookup below reads the folder of its column
     sizes = {
         r.column_id: (r.values, r.rows)
         for r in ranks.groupBy("column_id").agg(F.count(F.lit(1)).alias("values"), F.sum("count").alias("rows")).collect()

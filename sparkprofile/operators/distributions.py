@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import name_rows, numeric_columns, numeric_long, ratio, stack
-from ..functions.normal import log_normal_tail, normal_cdf, normal_quantile
+from ..functions.normal import log_normal_tail, normal_cdf, normal_quantile, with_normal_tail
 from ..functions.special import gamma_cdf, gamma_shape_mle, ks_p_value, shapiro_test
 from . import frequency as fq
 from .quantiles import long_quantiles
@@ -208,57 +208,53 @@ def _gaps(cdf: Column) -> Column:
     return F.greatest(F.col("hi") / F.col("n") - cdf, cdf - F.col("lo") / F.col("n"))
 
 
-def order_statistics(ranks: DataFrame, shape: DataFrame) -> DataFrame:
-    """Everything read from the rank table, in one pass over it.
+def order_statistics(ranks: DataFrame, shape: DataFrame, parts: Sequence[str] = ("ks", "ad", "levels")) -> DataFrame:
+    """What is read from the rank table, in one pass over it.
 
-    ``(column_id, unique_count, q25, q50, q75, ks_statistic, ks_p, ad_statistic, ad_critical)``.
+    ``ks`` gives ``ks_statistic, ks_p``; ``ad`` gives ``ad_statistic, ad_critical``; ``levels`` gives
+    ``unique_count, q25, q50, q75``.
     """
     n = F.col("n").cast("double")
     joined = ranks.join(F.broadcast(shape.select("column_id", "n", "mean", "sd", "sd_pop")), "column_id")
     centred = F.col("x") - F.col("mean")
-    scored = joined.withColumns({"z": ratio(centred, F.col("sd_pop")), "zs": ratio(centred, F.col("sd"))})
-    scored = scored.withColumns(
-        {"cdf": normal_cdf("z"), "log_lower": log_normal_tail("zs"), "log_upper": log_normal_tail("zs", upper=True)}
-    )
-    # Anderson-Darling: sum of (2i - 1) over the tied positions lo+1 .. hi, sample deviation
-    odd = F.col("hi").cast("double") * F.col("hi") - F.col("lo").cast("double") * F.col("lo")
-    rest = 2.0 * n * F.col("count") - odd
-    term = odd * F.col("log_lower") + rest * F.col("log_upper")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col("x")))
-
-    levels = (0.25, 0.5, 0.75)
-    picks = []
-    for i, p in enumerate(levels):
-        position = F.lit(p) * (F.col("n") - 1)
-        picks += [at(F.floor(position)).alias(f"first{i}"), at(F.ceil(position)).alias(f"second{i}")]
-    found = scored.groupBy("column_id", "n").agg(
-        F.count(F.lit(1)).alias("unique_count"),
-        F.max(F.when(F.col("z").isNotNull(), _gaps(F.col("cdf")))).alias("ks_statistic"),
-        F.sum(F.when(F.col("zs").isNotNull(), term)).alias("s"),
-        *picks,
-    )
-    quartile = []
-    for i, p in enumerate(levels):
-        position = F.lit(p) * (F.col("n") - 1)
-        a, b = F.col(f"first{i}"), F.col(f"second{i}")
-        quartile.append((a + (b - a) * (position - F.floor(position))).alias(f"q{int(p * 100)}"))
-    return found.select(
-        "column_id",
-        "unique_count",
-        *quartile,
-        "ks_statistic",
-        ks_p_value("ks_statistic", n).alias("ks_p"),
-        (-n - F.col("s") / n).alias("ad_statistic"),
-        F.when(F.col("s").isNotNull(), 0.752 / (1.0 + 0.75 / n + 2.25 / (n * n))).alias("ad_critical"),
-    )
+    scored, sums, out = joined, [], []
+    if "ks" in parts:
+        scored = with_normal_tail(scored.withColumn("z", ratio(centred, F.col("sd_pop"))), "z")
+        scored = scored.withColumn("cdf", normal_cdf("z"))
+        sums.append(F.max(F.when(F.col("z").isNotNull(), _gaps(F.col("cdf")))).alias("ks_statistic"))
+        out += ["ks_statistic", ks_p_value("ks_statistic", n).alias("ks_p")]
+    if "ad" in parts:
+        # sum of (2i - 1) over the tied positions lo+1 .. hi; sample deviation
+        odd = F.col("hi").cast("double") * F.col("hi") - F.col("lo").cast("double") * F.col("lo")
+        rest = 2.0 * n * F.col("count") - odd
+        scored = with_normal_tail(scored.withColumn("zs", ratio(centred, F.col("sd"))), "zs").withColumns(
+            {"log_lower": log_normal_tail("zs"), "log_upper": log_normal_tail("zs", upper=True)}
+        )
+        term = odd * F.col("log_lower") + rest * F.col("log_upper")
+        sums.append(F.sum(F.when(F.col("zs").isNotNull(), term)).alias("s"))
+        out += [
+            (-n - F.col("s") / n).alias("ad_statistic"),
+            F.when(F.col("s").isNotNull(), 0.752 / (1.0 + 0.75 / n + 2.25 / (n * n))).alias("ad_critical"),
+        ]
+    if "levels" in parts:
+
+        def at(rank: Column) -> Column:
+            return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col("x")))
+
+        sums.append(F.count(F.lit(1)).alias("unique_count"))
+        out.append("unique_count")
+        for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+            position = F.lit(p) * (F.col("n") - 1)
+            sums += [at(F.floor(position)).alias(f"{name}_first"), at(F.ceil(position)).alias(f"{name}_second")]
+            a, b = F.col(f"{name}_first"), F.col(f"{name}_second")
+            out.append((a + (b - a) * (position - F.floor(position))).alias(name))
+    return scored.groupBy("column_id", "n").agg(*sums).select("column_id", *out)
 
 
 def ks_normal(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, statistic, p_value, is_normal)`` against the normal with the column's mean and deviation."""
     names = numeric_columns(df, columns)
-    found = order_statistics(*_ranked(df, names))
+    found = order_statistics(*_ranked(df, names), parts=["ks"])
     return _named_tests(
         df, names, found.select("column_id", F.col("ks_statistic").alias("statistic"), F.col("ks_p").alias("p_value"))
     )
@@ -267,7 +263,7 @@ def ks_normal(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def anderson_darling(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, statistic, critical_value, is_normal)`` at the five percent level."""
     names = numeric_columns(df, columns)
-    found = order_statistics(*_ranked(df, names))
+    found = order_statistics(*_ranked(df, names), parts=["ad"])
     table = found.select(
         "column_id", F.col("ad_statistic").alias("statistic"), F.col("ad_critical").alias("critical_value")
     )
@@ -538,7 +534,7 @@ def fit_distribution(df: DataFrame, columns: Sequence[str] | None = None, name:
         cdf = gamma_cdf(x, "shape", "scale")
     fits = fits.where(F.col("scale") > 0)
     joined = fq.column_ranks(df, names).join(F.broadcast(fits), "column_id")  # one row per column
-    joined = joined.withColumn("z", (x - F.col("location")) / F.col("scale"))
+    joined = with_normal_tail(joined.withColumn("z", (x - F.col("location")) / F.col("scale")), "z")
     gaps = (
         joined.withColumn("cdf", cdf)
         .groupBy("column_id", "n")

@@ -117,7 +117,7 @@ def ordered_frequency(frequency: DataFrame) -> DataFrame:
     """``frequency(column_id, x, count)`` with ``before``: values in earlier range partitions.
 
     The first half of a distributed prefix sum, without an unpartitioned window.  The distinct
-    values are range-partitioned and checkpointed with their partition number as ``bucket``:
+    values are range-partitioned and written with their partition number as ``bucket``:
     bucket totals and running sums must see the same partition bounds, also when an executor is
     lost.  One (column, value) is one row, so no value is hot.
     """

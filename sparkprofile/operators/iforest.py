@@ -93,39 +93,57 @@ def fit_forest(
     return draws.groupBy("tree").applyInPandas(tree_grower(features, seed), NODE_SCHEMA)
 
 
-def scorer(nodes: list, scale: float):
+def complete_trees(nodes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The forest as complete binary trees: (feature, threshold) per inner node, path per last-level node.
+
+    The children of node i are 2i+1 and 2i+2; a leaf above the last level sends every value left.
+    """
+    trees: dict[int, dict[int, object]] = {}
+    for n in nodes:
+        trees.setdefault(n.tree, {})[n.node] = n
+
+    def depth(tree: dict, at: int) -> int:
+        n = tree[at]
+        return 0 if n.feature < 0 else 1 + max(depth(tree, n.left), depth(tree, n.right))
+
+    height = max(depth(tree, 0) for tree in trees.values())
+    inner = 2**height - 1
+    feature = np.zeros((len(trees), inner), dtype=np.int64)
+    threshold = np.full((len(trees), inner), np.inf)
+    path = np.zeros((len(trees), inner + 2**height))
+    for t, tree in enumerate(trees.values()):
+        open_nodes = [(0, 0, 0)]
+        while open_nodes:
+            at, place, level = open_nodes.pop()
+            n = tree[at]
+            if n.feature < 0:
+                path[t, (place + 1) * 2 ** (height - level) - 1] = n.path
+                continue
+            feature[t, place], threshold[t, place] = n.feature, n.threshold
+            open_nodes += [(n.left, 2 * place + 1, level + 1), (n.right, 2 * place + 2, level + 1)]
+    return feature, threshold, path
+
+
+def scorer(nodes: list, scale: float, features: int):
     """Arrow UDF: anomaly score 2^(-mean path / scale) of every row of a batch."""
-    forest = []
-    for tree in sorted({n.tree for n in nodes}):
-        part = sorted((n for n in nodes if n.tree == tree), key=lambda n: n.node)
-        forest.append(
-            (
-                np.array([n.feature for n in part]),
-                np.array([n.threshold for n in part]),
-                np.array([n.left for n in part]),
-                np.array([n.right for n in part]),
-                np.array([n.path for n in part]),
-            )
-        )
+    feature, threshold, path = complete_trees(nodes)
+    trees, inner = feature.shape
+    height = (inner + 1).bit_length() - 1
     scale = scale or 1.0
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
-            data = batch.to_numpy(dtype=float)
-            rows = np.arange(len(data))
+            data = np.ascontiguousarray(batch.to_numpy(dtype=float))
+            flat, start = data.ravel(), np.arange(len(data)) * features
             total = np.zeros(len(data))
-            for feature, threshold, left, right, path in forest:
-                at = np.zeros(len(data), dtype=int)
-                while True:
-                    inner = feature[at] >= 0
-                    if not inner.any():
-                        break
-                    value = data[rows, np.maximum(feature[at], 0)]
-                    step = np.where(value <= threshold[at], left[at], right[at])
-                    at = np.where(inner, step, at)
-                total += path[at]
-            yield pd.Series(np.exp2(-total / len(forest) / scale))
+            for t in range(trees):
+                at = np.zeros(len(data), dtype=np.int64)
+                for _ in range(height):
+                    value = flat.take(start + feature[t].take(at))
+                    at = 2 * at + 1 + (value > threshold[t].take(at))
+                total += path[t].take(at)
+            yield pd.Series(np.exp2(-total / trees / scale))
 
     return score
 
@@ -142,7 +160,7 @@ def multivariate_outliers(
     """Rows without nulls in the numeric ``columns``, with ``anomaly_score`` and ``is_outlier``.
 
     The cut is the exact (1 - contamination) quantile of the scores.  ``keys`` limits the columns
-    carried along (default: all).  Scored rows are checkpointed: scoring is the expensive part and
+    carried along (default: all).  Scored rows are written once: scoring is the expensive part and
     the quantile and the flags both read it.
     """
     names = numeric_columns(df, columns)
@@ -156,7 +174,8 @@ def multivariate_outliers(
     titles = list(keys if keys is not None else df.columns)
     if not nodes:
         return df.select(*kept, F.lit(None).cast("double").alias("anomaly_score"), F.lit(False).alias("is_outlier")).limit(0)
-    score = scorer(nodes, max(n.path for n in nodes if n.node == 0))  # a root holds c(its rows)
+    scale = max(n.path for n in nodes if n.node == 0)  # a root holds c(its rows)
+    score = scorer(nodes, scale, len(names))
     scored = materialize(
         data.select(*[f"kept_{i}" for i in range(len(kept))], score(F.struct(*inputs)).alias("anomaly_score"))
     )

@@ -16,7 +16,7 @@ CHUNK_ROWS = 1_000_000
 def number_rows(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """``df`` with ``position`` 0, 1, ... in the order of the columns ``order``, without a global window.
 
-    Rows are range-partitioned by the order, checkpointed so that partition bounds are fixed, and
+    Rows are range-partitioned by the order, written down so that partition bounds are fixed, and
     numbered inside their partition; the sizes of the partitions before give the offset.
     """
     keys = [col(c).asc_nulls_last() for c in order]

@@ -58,8 +58,8 @@ def load_dataset(
 
 def scan_text(spark: SparkSession, path: str, sep: str = ",", **options) -> DataFrame:
     """Delimited text as strings, null tokens already null; malformed rows raise."""
-    settings = {"header": True, "sep": sep, "mode": "FAILFAST", "enforceSchema": False, **options}
-    raw = spark.read.options(**{k: v for k, v in settings.items()}).csv(path)
+    settings = {"header": True, "sep": sep, "mode": "FAILFAST", **options}
+    raw = spark.read.options(**settings).csv(path)
     return raw.select(*[F.when(~col(c).isin(NULL_TOKENS), col(c)).alias(c) for c in raw.columns])
 
 
