@@ -141,6 +141,7 @@ def test_type_classes(spark):
 
 
 def test_time_has_no_range(spark):
+    spark.conf.set("spark.sql.timeType.enabled", "true")
     df = spark.createDataFrame([("10:00:00",), ("12:30:00",)], "s string").select(F.expr("cast(s as time(0))").alias("t"))
     r = by_column(sp.datetime_stats(df))["t"]
     assert r["range_days"] is None and r["min"] == "10:00:00"
