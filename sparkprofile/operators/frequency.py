@@ -14,6 +14,10 @@ from ..functions.columns import col, name_rows, numeric_long, stack
 from ..functions.session import materialize
 
 
+# Texts tied at the k-th count that are looked up by broadcast (28 bytes each).
+LOOKUP_TEXTS = 200_000
+
+
 def value_text(df: DataFrame, name: str) -> Column:
     """A value as text, one text per distinct value."""
     kind = df.schema[name].dataType
@@ -105,6 +109,52 @@ def top_k(frequency: DataFrame, value: str, k: int, by: str = "column_id") -> Da
     return frequency.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def text_leaders(df: DataFrame, columns: Sequence[str], k: int) -> tuple[DataFrame, DataFrame]:
+    """The k most frequent texts per column, and distinct counts, without shuffling the texts.
+
+    Returns ``(column_id, rank, value, count)`` and ``(column_id, unique_count)``.  Texts are counted
+    by 128-bit digest.  Fewer than k digests lie above the k-th largest count; they are looked up by
+    broadcast.  Texts tied at that count are looked up the same way while they are few; when the
+    count is one, they are all texts not looked up yet, of which every partition keeps the k smallest.
+    Only columns with very many texts tied at a larger count are counted by the texts themselves.
+    """
+    value = F.col("value")
+    keyed = (
+        text_long(df, columns)
+        .where(value.isNotNull())
+        .select("column_id", "value", F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(20011), value).alias("h2"))
+    )
+    counts = materialize(keyed.groupBy("column_id", "h1", "h2").agg(F.count(F.lit(1)).alias("count")))
+    largest = F.row_number().over(W.partitionBy("column_id").orderBy(F.desc("count")))
+    cuts = counts.withColumn("place", largest).where(F.col("place") <= k).groupBy("column_id").agg(F.min("count").alias("cut"))
+    facts = (
+        counts.join(F.broadcast(cuts), "column_id")
+        .groupBy("column_id", "cut")
+        .agg(F.count(F.lit(1)).alias("unique_count"), F.count_if(F.col("count") == F.col("cut")).alias("tied"))
+        .collect()  # one row per column
+    )
+    spark = df.sparkSession
+    unique = spark.createDataFrame([(r.column_id, r.unique_count) for r in facts], "column_id int, unique_count bigint")
+    direct = [r.column_id for r in facts if r.cut > 1 and r.tied > LOOKUP_TEXTS]
+    single = [r.column_id for r in facts if r.cut == 1]
+    limits = spark.createDataFrame([(r.column_id, r.cut) for r in facts if r.column_id not in direct], "column_id int, cut bigint")
+    wanted = counts.join(F.broadcast(limits), "column_id").where(
+        (F.col("count") > F.col("cut")) | ((F.col("count") == F.col("cut")) & (F.col("cut") > 1))
+    )
+    wanted = wanted.select("column_id", "h1", "h2", "count")  # at most k + LOOKUP_TEXTS rows per column
+    found = (
+        keyed.join(F.broadcast(wanted), ["column_id", "h1", "h2"]).select("column_id", "value", "count").distinct()
+    )
+    if single:
+        rest = keyed.where(F.col("column_id").isin(single)).join(F.broadcast(wanted), ["column_id", "h1", "h2"], "left_anti")
+        smallest = F.row_number().over(W.partitionBy("column_id").orderBy("value"))
+        once = rest.select("column_id", "value").withColumn("place", smallest).where(F.col("place") <= k)
+        found = found.unionByName(once.select("column_id", "value", F.lit(1).cast("bigint").alias("count")))
+    if direct:
+        found = found.unionByName(text_frequency(df, columns).where(F.col("column_id").isin(direct)))
+    return top_k(found, "value", k), unique
+
+
 def entropy_ids(frequency: DataFrame) -> DataFrame:
     """``(column_id, entropy)`` in bits: log2(n) - sum(c * log2(c)) / n."""
     n, weighted = F.sum("count"), F.sum(F.col("count") * F.log2(F.col("count").cast("double")))

@@ -16,6 +16,8 @@ from .quantiles import long_quantiles
 # Fixed value: largest distinct share of a categorical column.
 CATEGORICAL_RATIO = 0.05
 TOP_VALUES = 10
+# Mean bytes per value from which texts are counted by digest.
+LONG_TEXT = 64
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -174,18 +176,28 @@ def mode_value(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
     """``(column, rank, value, count, percentage)``: the k most frequent values of each column."""
     names = select_columns(df, columns)
-    return _top_rows(df, names, fq.text_frequency(df, names), k)
+    long = long_texts(df, names)
+    short = [c for c in names if c not in long]
+    parts = []
+    if short:  # values combine well before the shuffle
+        parts.append(_with_ids(fq.top_k(fq.text_frequency(df, short), "value", k), short, names))
+    if long:
+        parts.append(_with_ids(fq.text_leaders(df, long, k)[0], long, names))
+    best = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    totals = value_counts_summary(df, names).select("column_id", "column", F.col("count").alias("total"))
+    return best.join(F.broadcast(totals), "column_id").select(
+        "column", "rank", "value", "count", percent(F.col("count"), F.col("total")).alias("percentage")
+    )
 
 
-def _top_rows(df: DataFrame, names: Sequence[str], frequency: DataFrame, k: int) -> DataFrame:
-    totals = frequency.groupBy("column_id").agg(F.sum("count").alias("total"))
-    best = fq.top_k(frequency, "value", k)  # at most k rows per column
-    labels = df.sparkSession.createDataFrame(list(enumerate(names)), "column_id int, column string")
-    return (
-        best.join(F.broadcast(labels), "column_id")
-        .join(F.broadcast(totals), "column_id")
-        .select("column", "rank", "value", "count", percent(F.col("count"), F.col("total")).alias("percentage"))
-    )
+def long_texts(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """String columns whose values take more than LONG_TEXT bytes on average."""
+    texts = columns_of(df, STRING, columns=names) if names else []
+    texts = [c for c in texts if c in names]
+    if not texts:
+        return []
+    sizes = df.agg(*[F.avg(F.octet_length(col(c))).alias(f"s{i}") for i, c in enumerate(texts)]).first()
+    return [c for i, c in enumerate(texts) if (sizes[f"s{i}"] or 0) > LONG_TEXT]
 
 
 def entropy(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -300,13 +312,20 @@ def datetime_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         ],
         "column_id int, min string, max string, range_days double",
     )
-    counts = fq.text_frequency(df, names)
-    unique = counts.groupBy("column_id").agg(F.count(F.lit(1)).alias("unique_count"))
+    common = None
+    for kind in dict.fromkeys(df.schema[c].dataType.simpleString() for c in names):  # values keep their type
+        same = [c for c in names if df.schema[c].dataType.simpleString() == kind]
+        long = stack(df, [[F.lit(names.index(c)), col(c)] for c in same], f"column_id int, value {kind}")
+        counts = long.where(F.col("value").isNotNull()).groupBy("column_id", "value").agg(F.count(F.lit(1)).alias("count"))
+        unique = counts.groupBy("column_id").agg(F.count(F.lit(1)).alias("unique_count"))
+        part = unique.join(F.broadcast(fq.modes(counts, "value")), "column_id").select(
+            "column_id", "unique_count", F.col("mode").cast("string").alias("mode")
+        )
+        common = part if common is None else common.unionByName(part)
     return (
         value_counts_summary(df, names)
         .join(F.broadcast(bounds), "column_id")
-        .join(F.broadcast(unique), "column_id", "left")
-        .join(F.broadcast(fq.modes(counts, "value")), "column_id", "left")
+        .join(F.broadcast(common), "column_id", "left")
         .select(
             "column", "count", "null_count", "min", "max", "range_days", "mode",
             F.coalesce("unique_count", F.lit(0).cast("bigint")).alias("unique_count"),
@@ -339,9 +358,9 @@ def text_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
         F.count_if(F.col("n") == 0).alias("empty_count"),
     )
     zero = F.lit(0).cast("bigint")
-    counts = fq.text_frequency(df, names)
-    unique = counts.groupBy("column_id").agg(F.count(F.lit(1)).alias("unique_count"))
-    return name_rows(df, names, sizes, unique, fq.modes(counts, "value")).select(
+    leaders, unique = fq.text_leaders(df, names, 1)
+    mode = leaders.select("column_id", F.col("value").alias("mode"))
+    return name_rows(df, names, sizes, unique, mode).select(
         "column",
         F.coalesce("count", zero).alias("count"),
         F.coalesce("null_count", zero).alias("null_count"),

@@ -188,3 +188,29 @@ def test_rolling_average_of_a_short_series(spark):
     assert sp.rolling_average(df, "ts", "v").where("rolling IS NOT NULL").count() == 0
     out = sp.rolling_average(spark.range(25).selectExpr("id ts", "double(id) v"), "ts", "v").orderBy("ts").collect()
     assert [r.rolling for r in out][:3] == [None, 0.5, 1.5]  # window of two
+
+
+@pytest.mark.parametrize("lookup", [200_000, 1])
+def test_text_leaders_equal_direct_counts(spark, lookup):
+    """Above, tied and single texts, by lookup and by direct counting."""
+    from sparkprofile.operators import frequency as fq
+
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({
+        "single": [f"t{i}" for i in range(300)],
+        "tied": [f"t{i % 100}" for i in range(300)],
+        "some": [f"t{min(i, 297)}" for i in range(300)],
+        "few": rng.choice(list("abc"), 300),
+        "gaps": [None if i % 3 else f"t{i % 7}" for i in range(300)],
+    })
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "single string, tied string, some string, few string, gaps string")
+    names = list(pdf)
+    with mock.patch.object(fq, "LOOKUP_TEXTS", lookup):
+        top, unique = fq.text_leaders(df.repartition(5), names, 4)
+        mine = {(r.column_id, r["rank"]): (r.value, r["count"]) for r in top.collect()}
+        distinct = {r.column_id: r.unique_count for r in unique.collect()}
+    for i, name in enumerate(names):
+        counts = pdf[name].dropna().value_counts()
+        expected = sorted(counts.items(), key=lambda item: (-item[1], item[0]))[:4]
+        assert [mine[i, k + 1] for k in range(len(expected))] == expected
+        assert distinct[i] == len(counts)
