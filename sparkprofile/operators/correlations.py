@@ -100,12 +100,15 @@ def pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return _finish(pair_moments(df, pairs, {c: as_double(c) for c in names}), "pearson")
 
 
-def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def spearman(
+    df: DataFrame, columns: Sequence[str] | None = None, ordered: DataFrame | None = None
+) -> DataFrame:
     """Pearson's coefficient of tie-averaged ranks, ranked after pairwise deletion.
 
     A column is ranked once on its own, and once more for each partner with nulls (over the rows
     where that partner is present).  All rankings come from one rank table and are looked up per
-    value; the coefficient is then one pass over the ranked rows.
+    value; the coefficient is then one pass over the ranked rows.  ``ordered`` is the ordered
+    frequency table of the same columns when the caller has it; it serves columns without nulls.
     """
     names = numeric_columns(df, columns)
     pairs = list(combinations(names, 2))
@@ -127,7 +130,8 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
             for (c, other), i in rankings.items()
         ]
     )
-    ranked = attach_ranks(prepared, [f"r{i}" for i in rankings.values()])
+    # without gaps ranking number i is that of column number i
+    ranked = attach_ranks(prepared, [f"r{i}" for i in rankings.values()], None if gaps else ordered)
     values = {f"r{i}": F.col(f"rank_r{i}") for i in rankings.values()}
     moments = pair_moments(ranked, [(f"r{i}", f"r{j}") for i, j in sides.values()], values)
     labels = df.sparkSession.createDataFrame(
@@ -140,14 +144,14 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return _finish(named, "spearman", small_p=F.lit(None).cast("double"))
 
 
-def attach_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def attach_ranks(df: DataFrame, columns: Sequence[str], ordered: DataFrame | None = None) -> DataFrame:
     """``df`` with ``rank_<column>``, the tie-averaged rank of each non-null value.
 
     A rank table with few values is broadcast.  Otherwise values that fill more than a 500th of
     the table (at most 500 of them) are looked up by broadcast and only the rest is joined by
     shuffle; rows already served, and nulls, are spread over salted keys that match nothing.
     """
-    ranks = fq.column_ranks(df, columns).select(
+    ranks = (fq.column_ranks(df, columns) if ordered is None else fq.rank_rows(ordered)).select(
         "x", "count", ((F.col("lo") + 1 + F.col("hi")) / F.lit(2.0)).alias("rank"), "column_id"
     )
     ranks = materialize(ranks, by="column_id")  # each lookup below reads the folder of its column

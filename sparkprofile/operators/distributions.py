@@ -310,9 +310,10 @@ def shapiro_wilk(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return _named_tests(df, names, shapiro_ids(ordered, shape_ids(numeric_long(df, names))))
 
 
-def normality_ids(df: DataFrame, names: Sequence[str]) -> DataFrame:
+def normality_ids(df: DataFrame, names: Sequence[str], ordered: DataFrame | None = None) -> DataFrame:
     """Shape, order statistics and all four tests with the vote; tests that do not apply are null."""
-    ordered = fq.ordered_frequency(fq.numeric_frequency(df, names))
+    if ordered is None:
+        ordered = fq.ordered_frequency(fq.numeric_frequency(df, names))
     shape = shape_ids(numeric_long(df, names))
     s = shapiro_ids(ordered, shape).select(
         "column_id", F.col("statistic").alias("sw_statistic"), F.col("p_value").alias("sw_p")
@@ -379,17 +380,20 @@ def type_rules(n: Column, is_normal: Column, skew: Column, kurt: Column, unique:
     )
 
 
-def analyze_distributions(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def analyze_distributions(
+    df: DataFrame, columns: Sequence[str] | None = None, ordered: DataFrame | None = None
+) -> DataFrame:
     """One row per numeric column: tests, vote, type, moments, quartiles, ``kde_available``.
 
     The frequency table is built once; two tests, distinct counts and quartiles come from one pass
     over its ranks.
-    The bins are a table of their own: :func:`histogram`.
+    ``ordered`` is the ordered frequency table of the same columns when the caller has it.  The bins
+    are a table of their own: :func:`histogram`.
     """
     names = numeric_columns(df, columns)
     n = F.col("n")
     zero = F.lit(0.0)
-    table = name_rows(df, names, normality_ids(df, names)).withColumn("n", F.coalesce(n, F.lit(0)))
+    table = name_rows(df, names, normality_ids(df, names, ordered)).withColumn("n", F.coalesce(n, F.lit(0)))
     kind = type_rules(
         n, F.coalesce("is_normal", F.lit(False)), F.col("skewness"), F.col("kurtosis"), F.col("unique_count"),
         F.col("mean"), F.col("sd_pop"), F.col("min"),

@@ -81,8 +81,14 @@ def _with_ids(table: DataFrame, part: Sequence[str], names: Sequence[str]) -> Da
     return table.withColumn("column_id", F.element_at(positions, F.col("column_id") + 1))
 
 
-def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per numeric column: counts, moments, quartiles, mode."""
+def numeric_stats(
+    df: DataFrame, columns: Sequence[str] | None = None, frequency: DataFrame | None = None
+) -> DataFrame:
+    """One row per numeric column: counts, moments, quartiles, mode.
+
+    ``frequency`` is the double frequency table of the same columns when the caller has it and no
+    integer is too large for it.
+    """
     names = numeric_columns(df, columns)
     if not names:
         return df.sparkSession.createDataFrame([], NUMERIC_SCHEMA)
@@ -91,7 +97,7 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         df, names,
         moment_ids(long),
         long_quantiles(long, (0.25, 0.5, 0.75)),
-        numeric_modes(df, names),
+        numeric_modes(df, names) if frequency is None else fq.modes(frequency, "x"),
     )
     return numeric_result(table)
 
@@ -373,13 +379,15 @@ def text_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     )
 
 
-def analyze_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, DataFrame]:
+def analyze_statistics(
+    df: DataFrame, columns: Sequence[str] | None = None, frequency: DataFrame | None = None
+) -> dict[str, DataFrame]:
     """The four result tables by kind, the top values, and ``summary``: one row per column and kind."""
     kinds = statistics_kinds(df, columns)
     counted = kinds["categorical"] + kinds["text"]
     spark = df.sparkSession
     return {
-        "numeric": numeric_stats(df, kinds["numeric"]) if kinds["numeric"] else spark.createDataFrame([], NUMERIC_SCHEMA),
+        "numeric": numeric_stats(df, kinds["numeric"], frequency) if kinds["numeric"] else spark.createDataFrame([], NUMERIC_SCHEMA),
         "categorical": categorical_stats(df, kinds["categorical"]),
         "datetime": datetime_stats(df, kinds["datetime"]) if kinds["datetime"] else spark.createDataFrame([], DATETIME_SCHEMA),
         "text": text_stats(df, kinds["text"]),

@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col, numeric_columns, select_columns, unique_names
-from ..operators import correlations as co, distributions as di, missing as mi, outliers as ou
+from ..operators import correlations as co, distributions as di, frequency as fq, missing as mi, outliers as ou
 from ..operators import quality as qu, schema as sc, statistics as st
 from ..operators.iforest import multivariate_outliers, multivariate_summary
 from ..sources.writers import write_json
@@ -20,7 +20,9 @@ class Profile:
     """Six analyses of one DataFrame as small result tables.
 
     Every table is computed once and kept: result tables have one row per column, pair, pattern or
-    bin, so they are persisted; the data itself is not.  ``release`` drops them.
+    bin, so they are persisted; the data itself is not.  ``release`` drops them.  The ordered
+    frequency table of the numeric columns, the one intermediate that grows with the data, is
+    written once and read by statistics, Spearman and distributions.
     """
 
     def __init__(
@@ -40,6 +42,22 @@ class Profile:
         self.order_by = order_by
         self.skip_multivariate_outliers = skip_multivariate_outliers
         self._tables: dict[str, DataFrame] = {}
+        self._ordered: DataFrame | None = None
+        self._categorical: list[str] | None = None
+
+    @property
+    def ordered(self) -> DataFrame | None:
+        names = numeric_columns(self.df)
+        if self._ordered is None and names:
+            self._ordered = fq.ordered_frequency(fq.numeric_frequency(self.df, names))
+        return self._ordered
+
+    def _mode_frequency(self) -> DataFrame | None:
+        """The frequency table for modes, unless integers beyond 2^53 merged in it."""
+        if self.ordered is None:
+            return None
+        largest = self.ordered.agg(F.max(F.abs("x"))).first()[0]
+        return self.ordered if largest is None or largest < 2**53 else None
 
     def _keep(self, name: str, build) -> DataFrame:
         if name not in self._tables:
@@ -62,7 +80,7 @@ class Profile:
     def statistics(self, kind: str) -> DataFrame:
         """``numeric``, ``categorical``, ``datetime``, ``text``, ``top_values`` or ``summary``."""
         if f"statistics_{kind}" not in self._tables:
-            for name, table in st.analyze_statistics(self.df).items():
+            for name, table in st.analyze_statistics(self.df, frequency=self._mode_frequency()).items():
                 self._keep(f"statistics_{name}", lambda table=table: table)
         return self._tables[f"statistics_{kind}"]
 
@@ -93,7 +111,7 @@ class Profile:
 
     @property
     def categorical(self) -> list[str]:
-        if not hasattr(self, "_categorical"):
+        if self._categorical is None:
             self._categorical = st.categorical_names(self.df, limit=co.CATEGORICAL_RATIO)
         return self._categorical
 
@@ -101,7 +119,7 @@ class Profile:
         """``pearson``, ``spearman``, ``cramers_v`` or ``mixed``."""
         build = {
             "pearson": lambda: co.pearson(self.df),
-            "spearman": lambda: co.spearman(self.df),
+            "spearman": lambda: co.spearman(self.df, ordered=self.ordered),
             "cramers_v": lambda: co.cramers_v(self.df, pairs=list(combinations(self.categorical, 2))),
             "mixed": lambda: co.point_biserial(self.df, categorical=self.categorical),
         }
@@ -128,7 +146,7 @@ class Profile:
 
     @property
     def distributions(self) -> DataFrame:
-        return self._keep("distributions", lambda: di.analyze_distributions(self.df))
+        return self._keep("distributions", lambda: di.analyze_distributions(self.df, ordered=self.ordered))
 
     @property
     def histograms(self) -> DataFrame:
