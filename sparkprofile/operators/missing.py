@@ -35,22 +35,19 @@ def missing_columns(df: DataFrame, columns: Sequence[str] | None = None, thresho
 def missing_patterns(df: DataFrame, columns: Sequence[str] | None = None, n: int = MAX_PATTERNS) -> DataFrame:
     """``(columns, count, percentage)``: the n most frequent sets of columns missing together.
 
-    Rows are combined by pattern before the shuffle; complete rows form the empty pattern, which
-    carries the row total and is dropped at the end, so the table is read once.
+    Complete rows are dropped in the scan and the others combined by pattern before the shuffle; the
+    row total is a count of its own, which columnar files answer from their footers.
     """
     names = select_columns(df, columns)
     pattern = F.array_compact(F.array(*[F.when(col(c).isNull(), F.lit(c)) for c in names]))
     counts = df.groupBy(pattern.alias("columns")).agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("total")).select("total", F.lit(1).alias("k"))
-    best = (
-        counts.where(F.size("columns") > 0)
-        .orderBy(F.desc("count"), F.array_join("columns", ","))
-        .limit(n)
-        .withColumn("k", F.lit(1))
-    )
-    return best.join(F.broadcast(total), "k").select(
-        "columns", "count", percent(F.col("count"), F.col("total")).alias("percentage")
-    )
+    best = counts.where(F.size("columns") > 0).orderBy(F.desc("count"), F.array_join("columns", ",")).limit(n)
+    return best.select("columns", "count", percent(F.col("count"), row_total(df)).alias("percentage"))
+
+
+def row_total(df: DataFrame) -> Column:
+    """Rows of the table, as a scalar subquery."""
+    return df.select(F.count(F.lit(1))).scalar()
 
 
 def missing_matrix(
@@ -193,7 +190,6 @@ def missing_type(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     spark = df.sparkSession
     pairs = gap_pairs(df, names)
     alone = pairs.where(F.col("a") == F.col("b")).select("a", F.col("both").alias("gaps"))
-    rows = df.agg(F.count(F.lit(1)).alias("n"))
     wanted = spark.createDataFrame(
         [(c, names.index(c) if c in names else None) for c in asked], "column string, a int"
     )
@@ -206,8 +202,7 @@ def missing_type(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         .join(F.broadcast(alone), "a")
         .join(F.broadcast(other), "b")
         .join(F.broadcast(pairs), ["a", "b"], "left")
-        .select("a", "gaps", "gaps_b", F.coalesce("both", F.lit(0)).alias("both"), F.lit(1).alias("k"))
-        .join(F.broadcast(rows.select("n", F.lit(1).alias("k"))), "k")
+        .select("a", "gaps", "gaps_b", F.coalesce("both", F.lit(0)).alias("both"), row_total(df).alias("n"))
     )
     s, t, b = (ratio(F.col(c), F.col("n")) for c in ("gaps", "gaps_b", "both"))
     r = ratio(b - s * t, F.sqrt(s * (1 - s)) * F.sqrt(t * (1 - t)), 0.0)
@@ -215,8 +210,7 @@ def missing_type(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return (
         wanted.join(F.broadcast(alone), "a", "left")
         .join(F.broadcast(strongest), "a", "left")
-        .withColumn("k", F.lit(1))
-        .join(F.broadcast(rows.select("n", F.lit(1).alias("k"))), "k")
+        .withColumn("n", row_total(df))
         .select(
             "column",
             F.when(F.col("a").isNull(), "unknown")

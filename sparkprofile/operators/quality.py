@@ -47,8 +47,8 @@ def quality_score(
     unnamed = len(unnamed_columns(header))
     totals = missing_totals(df, columns)
     flags = detect_outliers(df, columns) if outliers is None else outliers
-    share = flags.agg(F.coalesce(F.avg("outlier_percentage"), F.lit(0.0)).alias("average_outlier_percentage"))
-    one = totals.select("*", F.lit(1).alias("k")).join(F.broadcast(share.select("*", F.lit(1).alias("k"))), "k")
+    share = flags.select(F.coalesce(F.avg("outlier_percentage"), F.lit(0.0))).scalar()
+    one = totals.withColumn("average_outlier_percentage", share)
     schema_score = float(max(0, 100 - NAME_PENALTY * (repeated + unnamed)))
     complete = F.when(F.col("total_rows") == 0, F.lit(0.0)).otherwise(F.col("complete_rows_percentage"))
     outlier_score = F.greatest(F.lit(0.0), 100.0 - F.col("average_outlier_percentage"))
@@ -99,13 +99,10 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 def alerts(df: DataFrame, columns: Sequence[str] | None = None, score: DataFrame | None = None) -> DataFrame:
     """``(level, alert, value)`` for what needs attention: gaps, duplicates, low score."""
     score = quality_score(df, columns) if score is None else score
-    empty = missing_columns(df, columns).agg(
-        F.count_if(F.col("missing_percentage") > MOSTLY_MISSING).alias("mostly_missing")
+    empty = missing_columns(df, columns).select(F.count_if(F.col("missing_percentage") > MOSTLY_MISSING))
+    facts = score.select("overall_score", "missing_percentage").withColumns(
+        {"duplicate_rows": duplicate_rows(df, columns).select("duplicate_rows").scalar(), "mostly_missing": empty.scalar()}
     )
-    # every side is one row
-    facts = score.select("overall_score", "missing_percentage", F.lit(1).alias("k"))
-    for part in (duplicate_rows(df, columns).select("duplicate_rows"), empty):
-        facts = facts.join(F.broadcast(part.select("*", F.lit(1).alias("k"))), "k")
     missing = F.col("missing_percentage")
     rows = stack(
         facts,
@@ -126,17 +123,18 @@ def quick_summary(df: DataFrame, dataset_name: str = "Dataset", schema: DataFram
     """One row: name, rows, columns, size, columns per type, missing and complete percentages."""
     table = detect_schema(df) if schema is None else schema
     kinds = ("numeric", "categorical", "datetime", "text", "boolean", "unknown")
-    types = table.agg(
-        F.sum("memory_mb").alias("memory_mb"),
-        *[F.count_if(F.col("data_type") == k).alias(f"{k}_columns") for k in kinds],
+    types = table.select(
+        F.struct(
+            F.sum("memory_mb").alias("memory_mb"),
+            *[F.count_if(F.col("data_type") == k).alias(f"{k}_columns") for k in kinds],
+        )
     )
-    totals = missing_totals(df).select("*", F.lit(1).alias("k"))
-    return totals.join(F.broadcast(types.select("*", F.lit(1).alias("k"))), "k").select(
+    return missing_totals(df).withColumn("t", types.scalar()).select(
         F.lit(dataset_name).alias("dataset_name"),
         F.col("total_rows").alias("rows"),
         F.col("columns_count").alias("columns"),
-        "memory_mb",
-        *[f"{k}_columns" for k in kinds],
+        "t.memory_mb",
+        *[f"t.{k}_columns" for k in kinds],
         F.col("overall_missing_percentage").alias("missing_percentage"),
         "complete_rows_percentage",
     )

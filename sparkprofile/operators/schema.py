@@ -253,7 +253,7 @@ def type_distribution(schema: DataFrame) -> DataFrame:
 def schema_summary(df: DataFrame, schema: DataFrame | None = None) -> DataFrame:
     """One row: totals, columns with nulls, names of the columns with high or unique cardinality."""
     table = detect_schema(df) if schema is None else schema
-    rows = df.agg(F.count(F.lit(1)).alias("total_rows"))
+    rows = df.select(F.count(F.lit(1))).scalar()
     summary = table.agg(
         F.count(F.lit(1)).alias("total_columns"),
         F.coalesce(F.sum("memory_mb"), F.lit(0.0)).alias("total_memory_mb"),
@@ -263,7 +263,6 @@ def schema_summary(df: DataFrame, schema: DataFrame | None = None) -> DataFrame:
             F.collect_list(F.when(F.col("cardinality").isin("high", "unique"), F.col("column")))
         ).alias("high_cardinality_columns"),
     )
-    one = F.lit(1).alias("k")
-    return summary.select("*", one).join(F.broadcast(rows.select("*", one)), "k").select(
-        "total_columns", "total_rows", "total_memory_mb", "columns_with_nulls", "high_cardinality_columns"
+    return summary.select(
+        "total_columns", rows.alias("total_rows"), "total_memory_mb", "columns_with_nulls", "high_cardinality_columns"
     )
