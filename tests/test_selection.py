@@ -180,7 +180,7 @@ def test_rolling_average_equals_pandas(spark):
     out = sp.rolling_average(df, "ts", "v", tie=["id"], chunk_rows=100).toPandas().sort_values(["ts", "id"])
     expected = pdf.sort_values(["ts", "id"]).v.rolling(30).mean()
     assert len(out) == n
-    assert np.allclose(out.rolling, expected, equal_nan=True)
+    assert np.allclose(out["rolling"].astype(float), expected, equal_nan=True)
 
 
 def test_rolling_average_of_a_short_series(spark):
