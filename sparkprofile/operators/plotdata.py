@@ -58,8 +58,9 @@ def violin_stats(df: DataFrame, columns: Sequence[str] | None = None) -> dict[st
 def qq_points(df: DataFrame, column: str) -> DataFrame:
     """``(position, theoretical, sample)`` of the normal probability plot: one point per value.
 
-    Ties are expanded from the rank table in two steps of at most a million positions, so a value
-    held by a large part of the table is spread over tasks and never becomes one long array.
+    Ties are expanded from the rank table in two steps: a value becomes its chunks of at most a
+    million positions, chunks are dealt out to all tasks, and there become points.  A value held by
+    a large part of the table is never one long array in one task.
     """
     ranks = fq.column_ranks(df, [column]).where(finite(F.col("x")))
     n = F.max("hi").alias("n")
@@ -68,7 +69,7 @@ def qq_points(df: DataFrame, column: str) -> DataFrame:
         "column_id", "x", "hi", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1, F.lit(QQ_CHUNK).cast("bigint"))).alias("start")
     )
     last = F.least(F.col("start") + QQ_CHUNK, F.col("hi")) - 1
-    points = starts.select(
+    points = starts.repartition("start").select(
         "column_id", "x", F.explode(F.sequence(F.col("start"), last)).alias("at")
     ).join(F.broadcast(total), "column_id")  # one row
     size, i = F.col("n").cast("double"), F.col("at") + 1
