@@ -100,7 +100,7 @@ def cramers_v(t):
     f"WITH s AS ({SPARSE_SQL}), {chi_sql('s', [('event_type', 'props')])} {CRAMER}",
 )
 def cramers_v_nulls(t):
-    return rounded(sp.cramers_v(t.sparse).select(*PAIR))
+    return rounded(sp.cramers_v(t.sparse, pairs=[("event_type", "props")]).select(*PAIR))
 
 
 @query(
