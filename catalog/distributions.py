@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import sparkprofile as sp
 from sparkprofile.functions.normal import INV_A, INV_B, INV_C, INV_D, INV_E, INV_F
 
-from .base import LINEITEM_NUMBERS, SPARSE_SQL, long_sql, query, rounded
+from .base import long_sql, query, rounded
 
 EVENT_NUMBERS = ["event_id", "user_id", "value"]
 # Three shapes: right-skewed events.value, discrete user ids, uniform prices.

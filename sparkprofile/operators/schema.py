@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.columns import (
-    BOOLEAN, DATETIME, NUMERIC, STRING, col, name_rows, percent, select_columns, stack, type_class,
+    BOOLEAN, DATETIME, NUMERIC, STRING, col, percent, select_columns, stack, type_class,
 )
 from . import frequency as fq
 from .statistics import CATEGORICAL_RATIO, value_counts_summary
