@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, maglev, mih, packing, rollup, viterbi
+from . import epsilon_grid, langid, maglev, mih, packing, rollup, viterbi, winnowing
 from .common import materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +37,7 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     documents, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     counted = materialize(rollup.count_tokens(
-        documents.withColumn("words", F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"))),
+        documents.withColumn("words", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))),
         "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("source", "lang", "words"),
     ))
     first = counted.select("doc_id", "source", "lang", F.lit("words/1").alias("tokenizer"), F.col("words").cast("bigint").alias("tokens"))
@@ -81,3 +81,24 @@ def op8_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
         read(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json")
     )
     return packing.pack(materialize(pieces))
+
+
+@query
+def op9_epsilon_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)`` of every embedding."""
+    return epsilon_grid.near_duplicates(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_lines, n_removed, n_runs, kept_md5)`` of every document."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "text")
+    documents = documents.toDF("doc_id", "text", "original")
+    removed = F.aggregate("removed_runs", F.lit(0).cast("bigint"), lambda n, r: n + (r["past"] - r["first"]).cast("bigint"))
+    return winnowing.line_dedup(documents).select(
+        "doc_id", F.size(F.split(F.coalesce("original", F.lit("")), "\n", -1)).cast("bigint").alias("n_lines"),
+        removed.alias("n_removed"), F.size("removed_runs").cast("bigint").alias("n_runs"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"),
+    )
+
+
+ORACLE["op10_winnowing"] = winnowing.oracle()
