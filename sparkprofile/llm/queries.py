@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import epsilon_grid, langid, maglev, mih, packing, rollup, viterbi, winnowing
+from . import epsilon_grid, langid, maglev, mih, packing, rollup, suffix, viterbi, winnowing
 from .common import materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,9 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op10_winnowing"] = winnowing.oracle()
+
+
+@query
+def op6_rank_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every document."""
+    return suffix.remove_repeats(read(spark, sf_dir, "documents")).drop("spans", "kept")
