@@ -1,22 +1,55 @@
-"""The corpus pipeline: five stages over ``documents``, each reading what the one before kept."""
+"""The corpus pipeline: five stages over ``documents``, each reading what the one before kept.
+
+Every stage but the last returns the columns of ``documents``; a stage that changes a text also changes ``n_chars``.
+Null, empty and repeated rows are handled as the operators' docstrings say; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkprofile.llm import langid
+from sparkprofile.llm import chosen_path, langid, packing, suffix, winnowing
 from sparkprofile.llm.common import materialize, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts without letters go."""
-    model = langid.fit(docs, "text", "lang")
-    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNDECIDED).select(*docs.columns)
+    """Language identification: a text in no language (null, empty or without letters) goes; a missing label is filled in."""
+    found = langid.identify(docs, langid.fit(docs, "text", "lang")).where(F.col("lang_pred") != langid.UNDECIDED)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: later copies of runs of lines are cut out; a document of which nothing is left goes."""
+    cut = winnowing.line_dedup(docs)
+    return _measured(cut.where((F.size("removed_runs") == 0) | (F.trim("text") != "")))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: the document with the smallest id of each group of near copies stays."""
+    kept = materialize(chosen_path.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct())
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: bytes in repeated long strings are cut out; a document of which nothing is left goes."""
+    cut = suffix.remove_repeats(docs).withColumnRenamed("kept_text", "text")
+    return _measured(cut.where((F.col("n_removed") == 0) | (F.trim("text") != "")))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing of the tokens of what is left."""
+    pieces = packing.tokenized_pieces(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(materialize(pieces))
 
 
-STAGES = [("language", language)]
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("repeats", repeats), ("packed", packed)]
 ORACLE_SQL = None
 
 

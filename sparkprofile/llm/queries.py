@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import epsilon_grid, langid, maglev, mih, packing, rollup, suffix, viterbi, winnowing
+from . import chosen_path, epsilon_grid, langid, maglev, mih, packing, rollup, suffix, viterbi, winnowing
 from .common import materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,4 +107,10 @@ ORACLE["op10_winnowing"] = winnowing.oracle()
 @query
 def op6_rank_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every document."""
-    return suffix.remove_repeats(read(spark, sf_dir, "documents")).drop("spans", "kept")
+    return suffix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans", "kept", "kept_text")
+
+
+@query
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, class_id, copies, n_links, group_id, kept)`` of every document."""
+    return chosen_path.near_duplicates(read(spark, sf_dir, "documents"))

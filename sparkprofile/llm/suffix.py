@@ -235,18 +235,20 @@ def _classes(df: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Per row of ``df``: ``(id_column, n_bytes, n_removed, n_spans, kept_sha256, spans, kept)``.
+    """``df`` without ``text``, with ``n_bytes, n_removed, n_spans, kept_sha256, spans, kept, kept_text``.
 
     Removed is every byte covered by a string of ``length`` bytes that also starts anywhere else in the table, the same document
     included; strings lie within one document and are judged on the input.  ``spans`` are the maximal removed ranges
-    ``(start, stop)``; ``kept`` is the rest of the bytes (binary: a cut may fall inside a character).  Null texts are empty;
+    ``(start, stop)``; ``kept`` is the rest of the bytes (binary: a cut may fall inside a character) and ``kept_text`` its whole
+    characters.  Existing columns of these names are replaced.  Null texts are empty;
     shorter texts stay whole.  Equal texts are kept once with a count, so a large group of copies costs one text.  Rows that
     repeat an id with the same text count as copies; a null id is the smallest one; other ids must be distinct.
     """
     spark = df.sparkSession
     rows = _classes(df, id_column, text)
     classes = materialize(rows.groupBy("_t", "_u").agg(F.min("_id").alias("rep"), F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("weight")))
-    chosen = rows.select(F.col("_id").alias("rep"), "_t", "_u", "text").join(classes, ["rep", "_t", "_u"]).select("rep", "weight", "text")
+    chosen = rows.join(classes.select("rep", F.col("_t").alias("_t2"), F.col("_u").alias("_u2"), "weight"), F.col("_id") == F.col("rep"))
+    chosen = chosen.where("_t = _t2 AND _u = _u2").select("rep", "weight", "text")
     # one copy of each text, stored by rep once, so that no later round moves texts
     name = f"repeats_{uuid.uuid4().hex}"
     (chosen.dropDuplicates(["rep"]).write.bucketBy(tasks(spark), "rep").sortBy("rep").option("path", new_folder(spark, name)).format("parquet").saveAsTable(name))
@@ -272,16 +274,18 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
                     kept.append(raw[at:a])
                     at = b
                 kept = b"".join([*kept, raw[at:]])
-                out.append((rep, n, n - len(kept), len(found), hashlib.sha256(kept).hexdigest(), [{"start": a, "stop": b} for a, b in found], kept))
+                out.append((rep, n, n - len(kept), len(found), hashlib.sha256(kept).hexdigest(), [{"start": a, "stop": b} for a, b in found], kept, kept.decode("utf-8", "ignore")))
             if out:
                 arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span_type, pa.binary()]
-    names = ["rep", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
-    schema = "rep bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>, kept binary"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span_type, pa.binary(), pa.string()]
+    names = ["rep", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "kept_text"]
+    schema = "rep bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>, kept binary, kept_text string"
     done = texts.join(lists, "rep", "left").select("rep", "weight", "text", "ranges").mapInArrow(cut, schema)
     of_class = classes.select("_t", "_u", "rep").join(done, "rep").drop("rep")
-    keys = df.select(F.col(f"`{id_column}`"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_t"), F.xxhash64(F.lit(7), F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_u"))
-    return keys.join(of_class, ["_t", "_u"]).select(F.col(f"`{id_column}`"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    carried = [c for c in df.columns if c != text and c not in names]
+    keys = df.select(*[F.col(f"`{c}`") for c in carried], F.xxhash64(body).alias("_t"), F.xxhash64(F.lit(7), body).alias("_u"))
+    return keys.join(of_class, ["_t", "_u"]).select(*[F.col(f"`{c}`") for c in carried], *names[1:])
