@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sparkprofile.functions.session import new_folder
-from sparkprofile.sources.loader import scan_parquet, spread
+from sparkprofile.sources.loader import scan_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,7 +46,7 @@ class Tables:
         return f"{self.sf_dir.rstrip('/')}/{name}.parquet"
 
     def __getattr__(self, name: str) -> DataFrame:
-        return spread(scan_parquet(self.spark, self.path(name)))
+        return scan_parquet(self.spark, self.path(name))
 
     def sql(self, text: str, *names: str) -> DataFrame:
         """Spark SQL over the named tables."""

@@ -68,7 +68,7 @@ def histogram(t):
 @query(
     "histogram_markers",
     f"""WITH {SHAPES}
-SELECT "column", count(x) AS total_count, CAST(0 AS BIGINT) AS non_finite_count, round(avg(x), 6) AS mean,
+SELECT "column", count(x) AS total_count, CAST(0 AS BIGINT) AS non_finite_count, round(avg(x), 7) AS mean,
        round(quantile_cont(x, 0.5), 6) AS median FROM long GROUP BY "column" """,
 )
 def histogram_markers(t):
@@ -307,7 +307,7 @@ WITH {SHAPES},
 q AS (SELECT "column", quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q75 FROM long GROUP BY "column"),
 j AS (SELECT *, x BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25) AS inside FROM long JOIN q USING ("column"))
 SELECT "column", round(any_value(q25), 6) AS q25, round(any_value(median), 6) AS median, round(any_value(q75), 6) AS q75,
-       round(avg(x), 6) AS mean, min(x) FILTER (inside) AS whisker_low, max(x) FILTER (inside) AS whisker_high,
+       round(avg(x), 7) AS mean, min(x) FILTER (inside) AS whisker_low, max(x) FILTER (inside) AS whisker_high,
        count(*) FILTER (NOT inside) AS flier_count FROM j GROUP BY "column" """,
 )
 def box_stats(t):

@@ -64,12 +64,12 @@ def write_text(t, df, sep, **options):
 
 @query("scan_csv", SPARSE_BY_TYPE)
 def scan_csv(t):
-    return by_type(sp.scan_csv(t.spark, write_text(t, t.sparse, ",", nullValue="NA", escape='"'), escape='"'))
+    return by_type(sp.scan_csv(t.spark, write_text(t, t.sparse, ",", nullValue="NA", escape='"')))
 
 
 @query("scan_tsv", SPARSE_BY_TYPE)
 def scan_tsv(t):
-    return by_type(sp.load_dataset(t.spark, write_text(t, t.sparse, "\t", nullValue="N/A", escape='"'), "tsv", escape='"'))
+    return by_type(sp.load_dataset(t.spark, write_text(t, t.sparse, "\t", nullValue="N/A", escape='"'), "tsv"))
 
 
 @query(
@@ -85,7 +85,7 @@ FROM long GROUP BY "column" """,
 def infer_types(t):
     from sparkprofile.sources.loader import inferred_types
 
-    df = sp.scan_csv(t.spark, write_text(t, t.sparse, ",", nullValue="null", escape='"'), escape='"')
+    df = sp.scan_csv(t.spark, write_text(t, t.sparse, ",", nullValue="null", escape='"'))
     present = sp.missing_columns(df).select("column", F.col("present_count").alias("present"))
     return inferred_types(df).join(present, "column")
 

@@ -161,7 +161,7 @@ s AS (
          count(*) FILTER (x = 0) AS zero_count, count(*) FILTER (x < 0) AS negative_count,
          count(*) FILTER (x > 0) AS positive_count, {central()}
   FROM long JOIN means USING ("column") GROUP BY "column")
-SELECT "column", count, null_count, round(coalesce(mean, 0), 6) AS mean, round(coalesce(q50, 0), 6) AS median, mode,
+SELECT "column", count, null_count, round(coalesce(mean, 0), 7) AS mean, round(coalesce(q50, 0), 6) AS median, mode,
        round(coalesce(std, 0), 6) AS std, round(coalesce(variance, 0), 2) AS variance, coalesce(min, 0) AS min,
        coalesce(max, 0) AS max, round(coalesce(max - min, 0), 6) AS range, round(coalesce(q25, 0), 6) AS q25,
        round(coalesce(q50, 0), 6) AS q50, round(coalesce(q75, 0), 6) AS q75, round(coalesce(q75 - q25, 0), 6) AS iqr,
@@ -173,7 +173,7 @@ FROM s LEFT JOIN modes USING ("column")"""
 
 @query("numeric_stats", numeric_sql(f"WITH long AS ({long_sql('lineitem', LINEITEM_NUMBERS)})"))
 def numeric_stats(t):
-    return rounded(sp.numeric_stats(t.lineitem), variance=2, sum=2)
+    return rounded(sp.numeric_stats(t.lineitem), mean=7, variance=2, sum=2)
 
 
 @query(
@@ -181,7 +181,7 @@ def numeric_stats(t):
     numeric_sql(f"WITH src AS ({SPARSE_SQL}), long AS ({long_sql('src', ['event_id', 'user_id', 'value', 'empty_col'])})"),
 )
 def numeric_stats_nulls(t):
-    return rounded(sp.numeric_stats(t.sparse), variance=2, sum=2)
+    return rounded(sp.numeric_stats(t.sparse), mean=7, variance=2, sum=2)
 
 
 ANALYZE_SQL = f"""

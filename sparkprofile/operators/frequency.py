@@ -25,6 +25,8 @@ def value_text(df: DataFrame, name: str) -> Column:
         return F.to_json(col(name)) if not isinstance(kind, T.VariantType) else col(name).cast("string")
     if isinstance(kind, T.BinaryType):
         return F.hex(col(name))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (col(name) + F.lit(0.0).cast(kind)).cast("string")  # -0.0 and 0.0 are one value
     return col(name).cast("string")
 
 

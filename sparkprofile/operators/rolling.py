@@ -54,6 +54,7 @@ def rolling_average(
     width = min(df.count() // 10, MAX_WINDOW) if window is None else window
     if width < 1:
         return rows.withColumn("rolling", F.lit(None).cast("double"))
+    chunk_rows = max(chunk_rows, width)  # a frame reaches into one chunk before
     numbered = number_rows(rows, [time, *tie, value])
     chunk = F.floor(F.col("position") / F.lit(chunk_rows)).cast("bigint")
     into = F.col("position") % F.lit(chunk_rows)

@@ -25,7 +25,6 @@ FORMATS = {
     ".feather": "arrow",
 }
 NULL_TOKENS = ["NA", "N/A", "null", "NULL", ""]
-INFER_ROWS = 10_000
 
 _INTEGER = r"^[+-]?[0-9]+$"
 _FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -57,18 +56,22 @@ def load_dataset(
 
 
 def scan_text(spark: SparkSession, path: str, sep: str = ",", **options) -> DataFrame:
-    """Delimited text as strings, null tokens already null; malformed rows raise."""
-    settings = {"header": True, "sep": sep, "mode": "FAILFAST", **options}
+    """Delimited text as strings, null tokens already null; malformed rows raise.
+
+    Quoted cells may hold separators, doubled quotes and line breaks.  Records with line breaks cannot be found from the middle of a
+    file, so a file is one task; ``multiLine=False`` reads files without such records in splits.
+    """
+    settings = {"header": True, "sep": sep, "mode": "FAILFAST", "quote": '"', "escape": '"', "multiLine": True, **options}
     raw = spark.read.options(**settings).csv(path)
     return raw.select(*[F.when(~col(c).isin(NULL_TOKENS), col(c)).alias(c) for c in raw.columns])
 
 
-def scan_csv(spark: SparkSession, path: str, infer_rows: int = INFER_ROWS, sep: str = ",", **options) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, infer_rows: int | None = None, sep: str = ",", **options) -> DataFrame:
     """Comma-separated text with inferred types."""
     return infer_types(scan_text(spark, path, sep, **options), infer_rows)
 
 
-def scan_tsv(spark: SparkSession, path: str, infer_rows: int = INFER_ROWS, **options) -> DataFrame:
+def scan_tsv(spark: SparkSession, path: str, infer_rows: int | None = None, **options) -> DataFrame:
     """Tab-separated text with inferred types."""
     return scan_csv(spark, path, infer_rows, "\t", **options)
 
@@ -84,11 +87,11 @@ def _candidates(c: Column) -> list[tuple[str, Column]]:
     ]
 
 
-def infer_types(df: DataFrame, rows: int = INFER_ROWS) -> DataFrame:
-    """Cast string columns to the first type every sampled value fits.
+def infer_types(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cast string columns to the first type that every value fits.
 
-    One aggregation over a bounded head of the data decides; a later value that does not fit
-    raises when it is read (ANSI cast).  Columns without values stay strings.
+    One aggregation decides, over all rows, or over the first ``rows`` if given: then a later value that does not
+    fit raises when it is read (ANSI cast).  Columns without values stay strings.
     """
     names = columns_of(df, STRING)
     if not names:
@@ -97,7 +100,8 @@ def infer_types(df: DataFrame, rows: int = INFER_ROWS) -> DataFrame:
     for i, c in enumerate(names):
         tests.append(F.count(col(c)).alias(f"n{i}"))
         tests += [F.count_if(ok).alias(f"{t}{i}") for t, ok in _candidates(col(c))]
-    found = df.select(*[col(c) for c in names]).limit(rows).agg(*tests).first()
+    seen = df.select(*[col(c) for c in names])
+    found = (seen if rows is None else seen.limit(rows)).agg(*tests).first()
     types = {}
     for i, c in enumerate(names):
         if found[f"n{i}"]:
@@ -131,12 +135,6 @@ def scan_arrow(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("arrow_ipc").options(**options).load(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of fewer files than cores; larger inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, F.monotonically_increasing_id()) if len(df.inputFiles()) < cores else df
-
-
 def invalid_utf8_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, invalid_rows)``: cells holding the replacement character left by lossy decoding."""
     names = columns_of(df, STRING, columns=columns)

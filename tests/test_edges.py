@@ -257,3 +257,14 @@ def test_write_and_read_back_a_profile(spark, tmp_path):
     assert {"schema", "missing", "statistics_numeric", "outliers", "distribution", "histogram"} <= set(parts)
     with pytest.raises(ValueError):
         sp.column_analysis(df, "nope")
+
+
+def test_rolling_window_beyond_a_chunk(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(100)], "t int, v double")
+    out = {r.t: r.rolling for r in sp.rolling_average(df, "t", "v", window=30, chunk_rows=10).collect()}
+    assert out == {i: (None if i < 29 else i - 14.5) for i in range(100)}
+
+
+def test_negative_zero_is_zero(spark):
+    df = numbers(spark, [0.0, -0.0, 0.0])
+    assert [(r.value, r["count"]) for r in sp.frequency_table(df, ["x"]).collect()] == [("0.0", 3)]

@@ -90,3 +90,15 @@ def test_preview(spark, tmp_path):
     assert parts["info"].first().format == "csv" and parts["info"].first().file_size_mb > 0
     assert parts["rows"].count() == 2
     assert [(r.column, r.dtype) for r in parts["columns"].orderBy("position").collect()] == [("a", "bigint"), ("b", "string")]
+
+
+def test_quoted_cells(spark, tmp_path):
+    path = write(tmp_path / "q.csv", 'a,b\n1,"say ""hi"", ok"\n2,"x, ""y"""\n3,"two\nlines"\n4,"say ""hi"" ok"\n')
+    assert [tuple(r) for r in sp.scan_csv(spark, path).orderBy("a").collect()] == [
+        (1, 'say "hi", ok'), (2, 'x, "y"'), (3, "two\nlines"), (4, 'say "hi" ok'),
+    ]
+
+
+def test_types_come_from_all_rows(spark, tmp_path):
+    path = write(tmp_path / "n.csv", "a\n" + "1\n" * 12_000 + "1.5\n")
+    assert sp.scan_csv(spark, path).dtypes == [("a", "double")]
