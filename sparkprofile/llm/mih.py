@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import ceil, comb, log2
+from collections.abc import Sequence
+from itertools import combinations, islice
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import materialize
 
 BITS = 64
-INDEX_ROWS = 1 << 24
+MASKS = 1 << 16
 
 
 def sign_codes(df: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -52,10 +53,26 @@ def _segment(code: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _masks(spark, width: int, radius: int) -> DataFrame:
-    """``(width, mask)`` of all values of ``width`` bits with ``radius`` of them set."""
-    rows = [(width, sum(1 << i for i in c)) for c in combinations(range(width), radius)]
-    return spark.createDataFrame(rows, "width int, mask bigint")
+def _probes(queries: DataFrame, segments: Sequence[tuple[int, int]], radius: int) -> DataFrame:
+    """``(query_id, query, s, value)``: per segment of each query all values that differ in ``radius`` bits."""
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, codes = batch.column(0), batch.column(1).to_numpy().view(np.uint64)
+            for s, (shift, width) in enumerate(segments):
+                own = (codes >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+                flips = combinations(range(width), radius)
+                while chunk := list(islice(flips, max(1, MASKS // len(own)))):
+                    masks = (np.uint64(1) << np.array(chunk, np.uint64).reshape(len(chunk), radius)).sum(1, dtype=np.uint64)
+                    value = (own[:, None] ^ masks[None, :]).ravel().astype(np.int64)
+                    at = pa.array(np.repeat(np.arange(len(own)), len(masks)))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(at), batch.column(1).take(at), pa.array(np.full(len(value), s, np.int32)), pa.array(value)],
+                        names=["query_id", "query", "s", "value"],
+                    )
+
+    return queries.select("query_id", "query").mapInArrow(run, "query_id bigint, query bigint, s int, value bigint")
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -83,20 +100,11 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     done = []
     nearest = Window.partitionBy("query_id").orderBy("distance", "first")
     while True:
-        parts = []
-        for i, (a, w) in enumerate(segments):
-            if radius <= w:
-                masks = _masks(spark, w, radius)
-                probes = open_queries.select("query_id", "query", _segment(F.col("query"), a, w).alias("own")).join(
-                    F.broadcast(masks) if comb(w, radius) <= 200_000 else masks
-                )
-                parts.append(probes.select("query_id", "query", F.lit(i).alias("s"), F.col("own").bitwiseXOR(F.col("mask")).alias("value")))
-        if not parts:
-            done.append(best.join(open_queries.select("query_id"), "query_id") if best is not None else None)
+        near = [(a, w) if radius <= w else (a, 0) for a, w in segments]
+        if not any(w for _, w in near):
+            done.append(best.join(open_queries.select("query_id"), "query_id"))
             break
-        probes = parts[0]
-        for p in parts[1:]:
-            probes = probes.union(p)
+        probes = _probes(open_queries, near, radius)
         met = probes.join(index, ["s", "value"]).select(
             "query_id", "code", "first", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance")
         )
