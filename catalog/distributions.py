@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import sparkprofile as sp
 from sparkprofile.functions.normal import INV_A, INV_B, INV_C, INV_D, INV_E, INV_F
 
-from .base import long_sql, query, rounded
+from .base import SPARSE_COLUMNS, SPARSE_SQL, long_sql, query, rounded
 
 EVENT_NUMBERS = ["event_id", "user_id", "value"]
 # Three shapes: right-skewed events.value, discrete user ids, uniform prices.
@@ -169,9 +169,9 @@ def quantile_sql(p: str) -> str:
     "shapiro_wilk",
     f"""
 WITH long AS ({long_sql("customer", ["c_custkey", "c_nationkey", "c_acctbal"])}
-     UNION ALL {long_sql("nation", ["n_nationkey", "n_regionkey"])}),
+     UNION ALL {long_sql("nation", ["n_nationkey", "n_regionkey"])} UNION ALL {long_sql("orders", ["o_totalprice", "o_custkey"])}),
 u AS (SELECT "column", x, row_number() OVER (PARTITION BY "column" ORDER BY x) AS i, (count(*) OVER (PARTITION BY "column"))::DOUBLE AS n FROM long),
-p AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM u WHERE n BETWEEN 12 AND 5000),
+p AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM u WHERE n >= 12),
 m AS (SELECT *, {quantile_sql("p")} AS m FROM p),
 g AS (SELECT "column", n, 1 / sqrt(n) AS u, sum(m * m) AS mm, sum(m * x) AS mx, -min(m) FILTER (i = 1) AS t1, -min(m) FILTER (i = 2) AS t2,
              min(x) FILTER (i = 1) AS x1, min(x) FILTER (i = 2) AS x2, min(x) FILTER (i = n - 1) AS xm, min(x) FILTER (i = n) AS xn,
@@ -184,10 +184,12 @@ z AS (SELECT *, (ln(1 - w) - {horner_sql((-1.5861, -0.31082, -0.083751, 0.003891
                 / exp({horner_sql((-0.4803, -0.082676, 0.0030302), "l")}) AS z FROM v),
 q AS (SELECT *, abs(z) AS a FROM z),
 e AS (SELECT *, CASE WHEN z > 0 THEN {tail_sql("a")} ELSE 1 - ({tail_sql("a")}) END AS pv FROM q)
-SELECT "column", round(w, 6) AS statistic, round(pv, 6) AS p_value, pv > 0.05 AS is_normal FROM e""",
+SELECT "column", round(w, 6) AS statistic, round(pv, 6) AS p_value, pv > 0.05 AS is_normal, n > 5000 AS extrapolated FROM e""",
 )
 def shapiro_wilk(t):
-    return rounded(sp.shapiro_wilk(t.customer).unionByName(sp.shapiro_wilk(t.nation)))
+    return rounded(
+        sp.shapiro_wilk(t.customer).unionByName(sp.shapiro_wilk(t.nation)).unionByName(sp.shapiro_wilk(t.orders, ["o_totalprice", "o_custkey"]))
+    )
 
 
 @query("normality_vote")
@@ -335,7 +337,14 @@ def qq_line(t):
     return rounded(sp.qq_line(sp.qq_points(t.events, "value")))
 
 
-@query("scatter_points")
+LINE_DRAW = "md5('42|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey), l_orderkey, l_linenumber, l_partkey"
+
+
+@query(
+    "scatter_points",
+    f"""SELECT l_quantity AS x, l_extendedprice AS y, l_returnflag AS hue
+FROM (SELECT * FROM lineitem ORDER BY {LINE_DRAW} LIMIT 100000)""",
+)
 def scatter_points(t):
     return sp.scatter_points(t.lineitem, "l_quantity", "l_extendedprice", "l_returnflag", keys=["l_orderkey", "l_linenumber", "l_partkey"])
 
@@ -350,7 +359,11 @@ def linear_fit(t):
     return rounded(sp.linear_fit(t.lineitem, "l_quantity", "l_extendedprice"))
 
 
-@query("pair_grid")
+@query(
+    "pair_grid",
+    f"""SELECT l_quantity, l_extendedprice, l_discount, l_returnflag
+FROM (SELECT * FROM lineitem ORDER BY {LINE_DRAW} LIMIT 5000)""",
+)
 def pair_grid(t):
     return sp.pair_grid(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"], "l_returnflag", keys=["l_orderkey", "l_linenumber", "l_partkey"])
 
@@ -366,7 +379,12 @@ def categorical_bar(t):
     return rounded(sp.categorical_bar(t.part, "p_brand"))
 
 
-@query("missing_heatmap")
+@query(
+    "missing_heatmap",
+    f"""
+WITH s AS ({SPARSE_SQL}), d AS (SELECT * FROM s ORDER BY md5('42|' || event_id), event_id LIMIT 500)
+SELECT {", ".join(f"{c} IS NULL AS {c}" for c in SPARSE_COLUMNS)} FROM d""",
+)
 def missing_heatmap(t):
     return sp.missing_heatmap(t.sparse, keys=["event_id"])
 

@@ -228,7 +228,7 @@ def report_tables(t):
     """
 SELECT * FROM (VALUES
   ('hist_l_orderkey', 30), ('hist_l_partkey', 30), ('hist_l_suppkey', 30), ('hist_l_linenumber', 30),
-  ('hist_l_quantity', 30), ('box_comparison', 8), ('correlation_heatmap', 64), ('cat_l_returnflag', 3),
+  ('hist_l_quantity', 30), ('hist_l_extendedprice', 30), ('hist_l_discount', 30), ('hist_l_tax', 30), ('box_comparison', 8), ('correlation_heatmap', 64), ('cat_l_returnflag', 3),
   ('cat_l_linestatus', 2), ('missing_pattern', 500)) v(path, "rows")""",
 )
 def plot_tables(t):
@@ -264,9 +264,14 @@ def sample_rows(t):
     return sp.sample_rows(ordered, 100, ["down", "o_orderkey"]).drop("down")
 
 
-@query("uniform_sample")
+@query(
+    "uniform_sample",
+    """
+SELECT * FROM lineitem
+ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey), l_orderkey, l_linenumber, l_partkey LIMIT 1000""",
+)
 def uniform_sample(t):
-    return sp.uniform_sample(t.lineitem, 1000)
+    return sp.uniform_sample(t.lineitem, 1000, keys=["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 @query(

@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import name_rows, numeric_columns, numeric_long, ratio, stack
 from ..functions.normal import log_normal_tail, normal_cdf, normal_quantile, with_normal_tail
+from ..functions.session import materialize
 from ..functions.special import gamma_cdf, gamma_shape_mle, ks_p_value, shapiro_test
 from . import frequency as fq
 from .quantiles import long_quantiles
 
 # Significance level, size limits of the tests, plot defaults, type rules.
 ALPHA = 0.05
-SHAPIRO_MAX = 5000
+SHAPIRO_MAX = 5000  # values up to which the approximation of the p-value is published
+TIE_CHUNK = 100_000
 DAGOSTINO_MIN = 8
 TYPE_MIN = 10
 BINS = 30
@@ -271,17 +273,21 @@ def anderson_darling(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 
 def shapiro_ids(ordered: DataFrame, shape: DataFrame) -> DataFrame:
-    """``(column_id, statistic, p_value)`` for columns of 3 to 5000 values.
+    """``(column_id, statistic, p_value, extrapolated)`` for columns of at least 3 values.
 
-    The cap is the test's own.  Larger columns are dropped before anything is ranked, so the work
-    is at most 5000 rows per column.
+    The p-value's approximation is published for up to 5000 values; beyond, ``extrapolated`` says so.  Ties are expanded in
+    chunks that are dealt out to all tasks, so a very common value is not one long array in one task.
     """
-    small = shape.where((F.col("n") >= 3) & (F.col("n") <= SHAPIRO_MAX) & (F.col("sd_pop") > 0))
+    small = shape.where((F.col("n") >= 3) & (F.col("sd_pop") > 0))
     n = F.col("n").cast("double")
     ranks = fq.rank_rows(ordered.join(F.broadcast(small.select("column_id")), "column_id", "left_semi"))
+    chunks = ranks.select(
+        "column_id", "x", "hi", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"), F.lit(TIE_CHUNK).cast("bigint"))).alias("start")
+    ).repartition("column_id", "start")
     scored = (
-        ranks.join(F.broadcast(small), "column_id")
-        .select("column_id", "x", "n", "sd_pop", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("i"))
+        chunks.join(F.broadcast(small), "column_id")
+        .select("column_id", "x", "n", "sd_pop",
+                F.explode(F.sequence(F.col("start"), F.least(F.col("start") + TIE_CHUNK - 1, F.col("hi")))).alias("i"))
         .withColumn("p", (F.col("i") - 0.375) / (F.col("n") + 0.25))
         .withColumn("m", normal_quantile("p"))
     )
@@ -300,14 +306,21 @@ def shapiro_ids(ordered: DataFrame, shape: DataFrame) -> DataFrame:
         at(F.col("n"), "x").alias("xn"),
     )
     test = shapiro_test(n, "m1", "m2", "mm", "mx", "x1", "x2", "xm", "xn", n * F.col("sd_pop") * F.col("sd_pop"))
-    return sums.select("column_id", test.alias("t")).select("column_id", "t.statistic", "t.p_value")
+    return sums.select("column_id", "n", test.alias("t")).select(
+        "column_id", "t.statistic", "t.p_value", (F.col("n") > SHAPIRO_MAX).alias("extrapolated")
+    )
 
 
 def shapiro_wilk(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column, statistic, p_value, is_normal)`` for columns of 3 to 5000 values."""
+    """``(column, statistic, p_value, is_normal, extrapolated)`` for columns of at least 3 values.
+
+    ``extrapolated`` marks p-values of more than 5000 values, where the approximation is outside its published range.
+    """
     names = numeric_columns(df, columns)
     ordered = fq.ordered_frequency(fq.numeric_frequency(df, names))
-    return _named_tests(df, names, shapiro_ids(ordered, shape_ids(numeric_long(df, names))))
+    found = materialize(shapiro_ids(ordered, shape_ids(numeric_long(df, names))))
+    flags = name_rows(df, names, found.select("column_id", "extrapolated")).select("column", "extrapolated")
+    return _named_tests(df, names, found.drop("extrapolated")).join(F.broadcast(flags), "column")
 
 
 def normality_ids(df: DataFrame, names: Sequence[str], ordered: DataFrame | None = None) -> DataFrame:

@@ -59,6 +59,14 @@ def frequency_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def text_digest_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column_id, h1, h2, count)``: how often each value occurs, by 128-bit digest; values are not shuffled."""
+    keyed = text_long(df, columns).where(F.col("value").isNotNull()).select(
+        "column_id", F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(20011), "value").alias("h2")
+    )
+    return keyed.groupBy("column_id", "h1", "h2").agg(F.count(F.lit(1)).alias("count"))
+
+
 def distinct_ids(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """``(column_id, unique_count)`` of non-null values; maps have no order or hash and give null.
 

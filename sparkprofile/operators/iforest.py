@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..functions.columns import as_double, col, numeric_columns
 from ..functions.session import materialize
+from .sampling import smallest_draws
 from .quantiles import long_quantiles
 
 TREES = 100
@@ -35,14 +36,10 @@ def average_path(n: float) -> float:
 def draw_subsamples(data: DataFrame, features: Sequence[str], trees: int, size: int, seed: int) -> DataFrame:
     """``(tree, features...)``: ``size`` random rows per tree.
 
-    ``trees * size`` random rows are drawn once (a top-k, not a sort) and dealt out in their random
+    ``trees * size`` random rows are drawn once (a bounded top-k, not a sort) and dealt out in their random
     order, ``size`` to each tree; a smaller table is dealt out again from its start.
     """
-    pool = (
-        data.select(*[col(c) for c in features], F.rand(seed).alias("draw"))
-        .orderBy("draw")
-        .limit(trees * size)
-    )
+    pool = smallest_draws(data.select(*[col(c) for c in features], F.rand(seed).alias("draw")), trees * size, "draw")
     # the pool has at most trees * size rows, whatever the size of the table
     place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("draw")) - 1
     total = F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))

@@ -228,6 +228,6 @@ def missing_heatmap_data(
 ) -> dict[str, DataFrame]:
     """The null matrix with the percentage of every column."""
     return {
-        "matrix": missing_matrix(df, columns, order_by, min(n, MATRIX_ROWS)),
+        "matrix": missing_matrix(df, columns, order_by, n),
         "columns": missing_columns(df, columns).select("column", "missing_percentage"),
     }

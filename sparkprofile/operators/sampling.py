@@ -25,16 +25,34 @@ def sample_rows(df: DataFrame, n: int, order_by: Sequence[str] | None = None) ->
     return df.orderBy(*[col(c) for c in order_by]).limit(n) if order_by else df.limit(n)
 
 
+def smallest_draws(df: DataFrame, n: int, draw: str, *ties: Column) -> DataFrame:
+    """The n rows with the smallest ``draw``, a number spread evenly over 0 to 1.
+
+    A top-k alone would send n rows of every partition to one task.  So rows are counted, and only those below the share that
+    holds n rows almost surely compete; the share is widened in the rare case that it holds fewer.
+    """
+    rows = df.count()
+    share = 1.0 if rows <= 4 * n else min(1.0, (n + 6 * n**0.5 + 10) / rows)
+    while True:
+        some = df if share >= 1 else df.where(F.col(draw) < share)
+        if share >= 1 or some.count() >= n:
+            return some.orderBy(draw, *ties).limit(n)
+        share = min(1.0, 4 * share)
+
+
 def uniform_sample(df: DataFrame, n: int, keys: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
     """n rows, every row equally likely, the same ones for the same seed.
 
-    Rows are drawn by the n smallest hashes of their unique ``keys`` and the seed, which does not
+    Rows are drawn by the n smallest MD5 digests of the seed and their unique ``keys``, joined by bars, which does not
     depend on the partitioning.  Without keys a seeded random number per row decides, so that
-    copies of one row are drawn one by one.  Each task keeps n rows; there is no full sort.
+    copies of one row are drawn one by one.
     """
-    draw: Column = F.xxhash64(F.lit(seed), *[col(k) for k in keys]) if keys else F.rand(seed)
-    ties = [col(k) for k in keys or []]
-    return df.orderBy(draw, *ties).limit(n)
+    if not keys:
+        return smallest_draws(df.withColumn("_draw", F.rand(seed)), n, "_draw").drop("_draw")
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in keys]))
+    share = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    drawn = df.withColumn("_digest", digest).withColumn("_draw", share)
+    return smallest_draws(drawn, n, "_draw", F.col("_digest"), *[col(k) for k in keys]).drop("_digest", "_draw")
 
 
 def drop_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

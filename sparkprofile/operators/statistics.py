@@ -16,8 +16,6 @@ from .quantiles import long_quantiles
 # Fixed value: largest distinct share of a categorical column.
 CATEGORICAL_RATIO = 0.05
 TOP_VALUES = 10
-# Mean bytes per value from which texts are counted by digest.
-LONG_TEXT = 64
 
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -174,7 +172,8 @@ def mode_value(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     if numbers:
         parts.append(_with_ids(numeric_modes(df, numbers), numbers, names).withColumn("mode", F.col("mode").cast("string")))
     if texts:
-        parts.append(_with_ids(fq.modes(fq.text_frequency(df, texts), "value"), texts, names))
+        leader = fq.text_leaders(df, texts, 1)[0].select("column_id", F.col("value").alias("mode"), F.col("count").alias("mode_count"))
+        parts.append(_with_ids(leader, texts, names))
     table = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return name_rows(df, names, table).select("column", "mode", "mode_count")
 
@@ -182,7 +181,7 @@ def mode_value(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
     """``(column, rank, value, count, percentage)``: the k most frequent values of each column."""
     names = select_columns(df, columns)
-    long = long_texts(df, names)
+    long = columns_of(df, STRING, columns=names) if names else []
     short = [c for c in names if c not in long]
     parts = []
     if short:  # values combine well before the shuffle
@@ -196,20 +195,10 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP
     )
 
 
-def long_texts(df: DataFrame, names: Sequence[str]) -> list[str]:
-    """String columns whose values take more than LONG_TEXT bytes on average."""
-    texts = columns_of(df, STRING, columns=names) if names else []
-    texts = [c for c in texts if c in names]
-    if not texts:
-        return []
-    sizes = df.agg(*[F.avg(F.octet_length(col(c))).alias(f"s{i}") for i, c in enumerate(texts)]).first()
-    return [c for i, c in enumerate(texts) if (sizes[f"s{i}"] or 0) > LONG_TEXT]
-
-
 def entropy(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, entropy)``: Shannon entropy of the non-null values, in bits."""
     names = select_columns(df, columns)
-    table = fq.entropy_ids(fq.text_frequency(df, names))
+    table = fq.entropy_ids(fq.text_digest_counts(df, names))
     return name_rows(df, names, table).select("column", F.coalesce("entropy", F.lit(0.0)).alias("entropy"))
 
 

@@ -185,6 +185,8 @@ class Profile:
             "histograms": self.histograms,
             "distribution_summary": self.distribution_summary,
             "quality": self.quality,
+            "alerts": self.alerts,
+            "duplicate_rows": qu.duplicate_rows(self.df),
         }
         if self.multivariate is not None:
             out["multivariate_outliers"] = self.multivariate

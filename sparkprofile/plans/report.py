@@ -13,16 +13,13 @@ from ..operators.distributions import histogram
 from ..sources.writers import write_tables
 from .profile import Profile
 
-# Rows and plots shown.
-TOP_CORRELATIONS = 20
-TOP_MISSING = 20
-HISTOGRAMS = 5
-BOXES = 10
-BARS = 3
 
+def report_tables(profile: Profile, pairs: int | None = None, missing_bars: int | None = None) -> dict[str, DataFrame]:
+    """Rows of every section of the report and the data of its three charts.
 
-def report_tables(profile: Profile) -> dict[str, DataFrame]:
-    """Rows of every section of the report and the data of its three charts."""
+    ``pairs`` and ``missing_bars`` keep the strongest correlations and the columns with most gaps only; default all.
+    """
+    columns = len(profile.df.columns)
     missing = profile.missing("columns").orderBy(F.desc("missing_percentage"), "column")
     return {
         "overview": profile.quick_summary(),
@@ -34,37 +31,39 @@ def report_tables(profile: Profile) -> dict[str, DataFrame]:
         "outlier_rows": profile.outliers.select(
             "column", "iqr_outlier_count", "zscore_outlier_count", "mad_outlier_count", "outlier_percentage"
         ),
-        "correlation_rows": profile.top_correlations(TOP_CORRELATIONS).select(
+        "correlation_rows": profile.top_correlations(pairs or max(1, columns * columns)).select(
             "column1", "column2", "correlation", F.abs("correlation").alias("abs_correlation"), "method"
         ),
         "distribution_rows": profile.distributions.select(
             "column", "distribution_type", "is_normal", "skewness", "kurtosis"
         ),
         "type_chart": sc.type_distribution(profile.schema),
-        "missing_chart": missing.where(F.col("missing_count") > 0).select("column", "missing_percentage").limit(TOP_MISSING),
+        "missing_chart": missing.where(F.col("missing_count") > 0).select("column", "missing_percentage").limit(missing_bars or max(1, columns)),
         "correlation_chart": profile.correlation_matrix(),
     }
 
 
-def write_report(profile: Profile, path: str, format: str = "json") -> dict[str, str]:
-    return write_tables(report_tables(profile), path, format)
+def write_report(profile: Profile, path: str, format: str = "json", **limits) -> dict[str, str]:
+    return write_tables(report_tables(profile, **limits), path, format)
 
 
-def plot_selection(df: DataFrame) -> list[tuple[str, list[str]]]:
-    """The recommended plots: what kind, over which columns."""
+def plot_selection(
+    df: DataFrame, histograms: int | None = None, boxes: int | None = None, bars: int | None = None
+) -> list[tuple[str, list[str]]]:
+    """The recommended plots: what kind, over which columns; the limits keep the first columns only, default all."""
     numbers, texts = numeric_columns(df), columns_of(df, STRING)
-    plots = [("histogram", [c]) for c in numbers[:HISTOGRAMS]]
+    plots = [("histogram", [c]) for c in numbers[:histograms]]
     if numbers:
-        plots.append(("box", numbers[:BOXES]))
+        plots.append(("box", numbers[:boxes]))
     if len(numbers) >= 2:
         plots.append(("heatmap", numbers))
-    plots += [("categorical", [c]) for c in texts[:BARS]]
+    plots += [("categorical", [c]) for c in texts[:bars]]
     return [*plots, ("missing", list(df.columns))]
 
 
-def plot_index(df: DataFrame) -> DataFrame:
+def plot_index(df: DataFrame, **limits) -> DataFrame:
     """``(type, info, path)`` of the recommended plots."""
-    rows = [(kind, ", ".join(names), _folder(kind, names)) for kind, names in plot_selection(df)]
+    rows = [(kind, ", ".join(names), _folder(kind, names)) for kind, names in plot_selection(df, **limits)]
     return df.sparkSession.createDataFrame(rows, "type string, info string, path string")
 
 
@@ -78,7 +77,7 @@ def _folder(kind: str, names: Sequence[str]) -> str:
     }[kind]
 
 
-def plot_tables(df: DataFrame, keys: Sequence[str] | None = None) -> dict[str, DataFrame]:
+def plot_tables(df: DataFrame, keys: Sequence[str] | None = None, **limits) -> dict[str, DataFrame]:
     """Data of the recommended plots by folder name, and their ``index``."""
     build = {
         "histogram": lambda names: histogram(df, names),
@@ -87,9 +86,9 @@ def plot_tables(df: DataFrame, keys: Sequence[str] | None = None) -> dict[str, D
         "categorical": lambda names: pd_.categorical_bar(df, names[0]),
         "missing": lambda names: pd_.missing_heatmap(df, names, keys=keys),
     }
-    out = {_folder(kind, names): build[kind](names) for kind, names in plot_selection(df)}
-    return {**out, "index": plot_index(df)}
+    out = {_folder(kind, names): build[kind](names) for kind, names in plot_selection(df, **limits)}
+    return {**out, "index": plot_index(df, **limits)}
 
 
-def write_plots(df: DataFrame, path: str, keys: Sequence[str] | None = None, format: str = "parquet") -> dict[str, str]:
-    return write_tables(plot_tables(df, keys), path, format)
+def write_plots(df: DataFrame, path: str, keys: Sequence[str] | None = None, format: str = "parquet", **limits) -> dict[str, str]:
+    return write_tables(plot_tables(df, keys, **limits), path, format)
