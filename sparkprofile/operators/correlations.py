@@ -23,8 +23,7 @@ STRONG = 0.6
 SLOTS = 8
 # A rank table of at most this many distinct values is broadcast (24 bytes each).
 BROADCAST_VALUES = 200_000
-# Values held by more than 1/HOT_SHARE of all rows are looked up by broadcast; at most HOT_SHARE exist.
-HOT_SHARE = 500
+# Copies of a very common value in the rank lookup.
 SALTS = 64
 
 PAIR_SCHEMA = "column1 string, column2 string, correlation double, method string, p_value double, n bigint"
@@ -147,9 +146,9 @@ def spearman(
 def attach_ranks(df: DataFrame, columns: Sequence[str], ordered: DataFrame | None = None) -> DataFrame:
     """``df`` with ``rank_<column>``, the tie-averaged rank of each non-null value.
 
-    A rank table with few values is broadcast.  Otherwise values that fill more than a 500th of
-    the table (at most 500 of them) are looked up by broadcast and only the rest is joined by
-    shuffle; rows already served, and nulls, are spread over salted keys that match nothing.
+    Columns whose rank table has few values look it up by broadcast.  All others go together, whatever their number: rows get an
+    id, turn into long form, meet their ranks in one join and are put together again by id.  A value that holds
+    more than one shuffle partition's share of its column is joined under several salts.
     """
     ranks = (fq.column_ranks(df, columns) if ordered is None else fq.rank_rows(ordered)).select(
         "x", "count", ((F.col("lo") + 1 + F.col("hi")) / F.lit(2.0)).alias("rank"), "column_id"
@@ -159,29 +158,31 @@ def attach_ranks(df: DataFrame, columns: Sequence[str], ordered: DataFrame | Non
         r.column_id: (r.values, r.rows)
         for r in ranks.groupBy("column_id").agg(F.count(F.lit(1)).alias("values"), F.sum("count").alias("rows")).collect()
     }  # one row per column
+    large = [i for i in range(len(columns)) if sizes.get(i, (0, 0))[0] > BROADCAST_VALUES]
     for i, c in enumerate(columns):
-        values, rows = sizes.get(i, (0, 0))
-        table = ranks.where(F.col("column_id") == i)
-        if values <= BROADCAST_VALUES:
-            small = table.select(F.col("x").alias(c), F.col("rank").alias(f"rank_{c}"))
+        if i not in large:
+            small = ranks.where(F.col("column_id") == i).select(F.col("x").alias(c), F.col("rank").alias(f"rank_{c}"))
             df = df.join(F.broadcast(small), c, "left")
-            continue
-        frequent = F.col("count") * HOT_SHARE > rows
-        hot = table.where(frequent).select(F.col("x").alias(c), F.col("rank").alias("hot_rank"))
-        rest = table.where(~frequent).select(
-            F.col("x").alias("join_x"), F.lit(0).alias("join_salt"), F.col("rank").alias("cold_rank")
-        )
-        served = F.col("hot_rank").isNotNull() | F.col(c).isNull()
-        others = [F.col(o) for o in df.columns]
-        df = (
-            df.join(F.broadcast(hot), c, "left")
-            .withColumn("join_x", F.when(~served, F.col(c)))
-            .withColumn("join_salt", F.when(served, F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int")).otherwise(0))
-            .join(rest, ["join_x", "join_salt"], "left")
-            .withColumn(f"rank_{c}", F.coalesce("hot_rank", "cold_rank"))
-            .drop("join_x", "join_salt", "hot_rank", "cold_rank")
-        )
-    return df
+    if not large:
+        return df
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    long = stack(
+        rows, [[F.col("_row"), F.lit(i), F.col(columns[i])] for i in large], "_row bigint, column_id int, x double"
+    ).where(F.col("x").isNotNull())
+    table = ranks.where(F.col("column_id").isin(large))
+    share = F.element_at(F.create_map(*[F.lit(v) for i in large for v in (i, sizes[i][1])]), F.col("column_id"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # at most one value per column and shuffle partition
+    hot = table.where(F.col("count") * partitions > share).select("column_id", "x", F.lit(True).alias("hot"))
+    salted = long.join(F.broadcast(hot), ["column_id", "x"], "left").withColumn(
+        "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).otherwise(0)
+    )
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    lookup = table.join(F.broadcast(hot), ["column_id", "x"], "left").select("column_id", "x", "rank", F.explode(copies).alias("salt"))
+    found = salted.join(lookup, ["column_id", "x", "salt"]).groupBy("_row").agg(
+        *[F.max(F.when(F.col("column_id") == i, F.col("rank"))).alias(f"rank_{columns[i]}") for i in large]
+    )
+    return rows.join(found, "_row", "left").drop("_row")
 
 
 def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

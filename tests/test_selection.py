@@ -101,7 +101,7 @@ def test_spearman_by_shuffle_and_broadcast(spark, limit):
     pdf.loc[rng.random(n) < 0.3, "y"] = np.nan
     pdf.loc[rng.random(n) < 0.1, "z"] = np.nan
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "x double, y double, z double")
-    with mock.patch.object(co, "BROADCAST_VALUES", limit), mock.patch.object(co, "HOT_SHARE", 20):
+    with mock.patch.object(co, "BROADCAST_VALUES", limit):
         rows = sp.spearman(df).collect()
     assert len(rows) == 3
     for r in rows:
