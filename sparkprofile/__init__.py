@@ -4,6 +4,7 @@ import sys
 
 from pyspark import cloudpickle
 
+from .functions.session import drop_tables, intermediate_tables
 from .operators.correlations import (
     analyze_correlations, chi_square, column_pair_correlation, contingency_table, correlation_columns,
     correlation_matrix, cramers_v, pearson, point_biserial, spearman, top_correlations,

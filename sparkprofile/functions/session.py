@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .columns import col
 
+_made: dict[str, list[str]] = {}  # by application: the folders of its intermediate tables
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can read: ``spark.checkpoint.dir``.
@@ -28,7 +31,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below the shared one."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def drop_tables(spark: SparkSession, since: int = 0) -> int:
+    """Delete the intermediate tables made by this application, all or from number ``since`` on; returns how many.
+
+    Results that were not written or collected before cannot be computed any more afterwards.
+    """
+    folders = _made.get(spark.sparkContext.applicationId, [])
+    for folder in folders[since:]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    dropped = len(folders) - since
+    del folders[since:]
+    return dropped
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession):
+    """Everything that operators write down inside the block is deleted at its end."""
+    before = len(_made.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        drop_tables(spark, before)
 
 
 def materialize(df: DataFrame, by: str | None = None) -> DataFrame:

@@ -268,3 +268,17 @@ def test_rolling_window_beyond_a_chunk(spark):
 def test_negative_zero_is_zero(spark):
     df = numbers(spark, [0.0, -0.0, 0.0])
     assert [(r.value, r["count"]) for r in sp.frequency_table(df, ["x"]).collect()] == [("0.0", 3)]
+
+
+def test_intermediate_tables_are_dropped(spark):
+    import os
+
+    from sparkprofile.functions.session import shared_folder
+
+    place = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(place))
+    with sp.intermediate_tables(spark):
+        df = spark.createDataFrame([(i, float(i)) for i in range(50)], "t int, v double")
+        assert sp.rolling_average(df, "t", "v", window=3).count() == 50
+        assert set(os.listdir(place)) > before
+    assert set(os.listdir(place)) == before
