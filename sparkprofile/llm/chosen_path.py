@@ -18,7 +18,7 @@ SIMILARITY = 0.8
 SKETCH = 128
 PROBES = 8
 BUCKET = 64
-MAX_DEPTH = 12
+MAX_STEPS = 6
 RECALL = 0.99999
 BLOCK_ROWS = 128
 BLOCK_SHINGLES = 1 << 17
@@ -118,8 +118,8 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
 
     ``reps`` is ``(id, sketch, probe)``.  Every set starts at the root of every run and goes to the children of the
     tokens that its node chooses.  Buckets of at most ``bucket`` sets are compared all with all by their sketches.  Larger ones are
-    split again, unless their sets agree so well on average that splitting is of no use: these, and what is left at the last
-    level, are joined as a whole by a star.  A bucket returns a spanning forest, never its pairs.
+    split again, by two levels at a time, unless their sets agree so well on average that splitting is of no use: these, and what is
+    left at the last step, are joined as a whole by a star.  A bucket returns a spanning forest, never its pairs.
     """
     runs = runs_for(recall)
     # sketches that agree less are below the similarity but for five standard deviations
@@ -133,14 +133,19 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
                 s, ids = _sketch_rows(part.column(1)), part.column(0).to_numpy()
                 for root in roots:
                     row, child = choose(np.full(len(s), root), s, similarity)
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(child)), pa.array(ids[row])], names=["node", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(child)), pa.array(ids[row]), pa.array(np.ones(len(row), bool))], names=["node", "id", "deep"])
 
     def split(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1_024):
                 part = batch.slice(at, 1_024)
-                row, child = choose(part.column(0).to_numpy().view(U64), _sketch_rows(part.column(2)), similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(child)), pa.array(part.column(1).to_numpy()[row])], names=["node", "id"])
+                s, ids = _sketch_rows(part.column(2)), part.column(1).to_numpy()
+                row, child = choose(part.column(0).to_numpy().view(U64), s, similarity)
+                again, grandchild = choose(child, s[row], similarity)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(_signed(np.concatenate([child, grandchild]))), pa.array(ids[np.concatenate([row, row[again]])]),
+                    pa.array(np.arange(len(child) + len(grandchild)) >= len(child)),
+                ], names=["node", "id", "deep"])
 
     def compare(batches) -> Iterator[pa.RecordBatch]:
         for _, table in grouped(batches, ["leaf"]):
@@ -151,10 +156,10 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
                 yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
 
     sketches = reps.select("id", "sketch")
-    frontier = materialize(sketches.mapInArrow(start, "node bigint, id bigint").distinct())
+    frontier = materialize(sketches.mapInArrow(start, "node bigint, id bigint, deep boolean").distinct())
     lists, edges = [], []
-    for depth in range(1, MAX_DEPTH + 1):
-        sizes = materialize(frontier.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    for depth in range(1, MAX_STEPS + 1):
+        sizes = materialize(frontier.groupBy("node", "deep").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
         lists.append(
             frontier.join(sizes.where(F.col("m") <= bucket).select("node"), "node").groupBy("node")
             .agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids")
@@ -162,18 +167,19 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
         large = sizes.where(F.col("m") > bucket)
         if large.isEmpty():
             break
-        members = materialize(frontier.join(large.select("node"), "node", "left_semi"))
+        members = materialize(frontier.join(large.select("node"), "node", "left_semi").select("node", "id"))
         probed = members.join(reps.select("id", "probe"), "id").select("node", F.posexplode("probe").alias("at", "value"))
         alike = probed.groupBy("node", "at", "value").count().groupBy("node").agg(F.sum(F.col("count") * F.col("count").cast("double")).alias("s"))
-        judged = materialize(large.join(alike, "node").select("node", (F.col("s") / (PROBES * F.col("m") * F.col("m").cast("double")) >= least).alias("alike")))
-        settled = judged if depth == MAX_DEPTH else judged.where("alike")
-        hubs = materialize(members.join(settled.select("node"), "node", "left_semi").groupBy("node").agg(F.min("id").alias("hub")))
-        edges.append(materialize(members.join(hubs, "node").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()))
-        rest = judged.where("NOT alike").select("node")
-        if depth == MAX_DEPTH or rest.isEmpty():
+        judged = materialize(large.join(alike, "node").select("node", "deep", (F.col("s") / (PROBES * F.col("m") * F.col("m").cast("double")) >= least).alias("alike")))
+        told = materialize(members.join(judged, "node"))
+        settled = told.where("alike OR deep") if depth == MAX_STEPS else told.where("alike")
+        hubs = materialize(settled.groupBy("node").agg(F.min("id").alias("hub")))
+        edges.append(materialize(settled.join(hubs, "node").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()))
+        rest = told.where("NOT alike AND deep")
+        if depth == MAX_STEPS or rest.isEmpty():
             break
-        again = members.join(rest, "node", "left_semi").join(sketches, "id").select("node", "id", "sketch")
-        frontier = materialize(again.mapInArrow(split, "node bigint, id bigint").distinct())
+        again = rest.join(sketches, "id").select("node", "id", "sketch")
+        frontier = materialize(again.mapInArrow(split, "node bigint, id bigint, deep boolean").distinct())
     found = lists[0]
     for more in lists[1:]:
         found = found.union(more)

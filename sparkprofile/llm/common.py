@@ -98,12 +98,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``(id, component)`` of the vertices of ``edges (a, b)``; a component is named by its smallest vertex.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014) until the edges are stars around
-    the smallest vertices.  Every step is two shuffles of long pairs; the table of neighbours' minima is
-    written first, so that Spark can split the join at a vertex with very many neighbours.
+    the smallest vertices.  Every step is two shuffles of long pairs.  In the large-star step a vertex may have very many
+    neighbours; the table of minima is written first, so that Spark can split the join there.
     """
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         # pairs (u, v): every edge from the end that looks at its neighbours
-        least = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(least) if large else least
         joined = pairs.join(least, "u")
         kept = joined.where("v > u") if large else joined
         out = kept.select(F.col("v").alias("u"), F.col("m").alias("v"))
