@@ -16,17 +16,22 @@ BLOCK = 256
 SLACK = 1e-6
 
 
-def unit_rows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(vectors, length)`` in double precision; length 0 marks a vector that cannot be compared."""
-    out, norms = np.zeros((len(column), width)), np.zeros(len(column))
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square overflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def usable_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(row numbers, vectors)`` of the vectors of a batch that can be compared, in double precision."""
+    at, found = [], []
     for i, v in enumerate(column.to_pylist()):
-        if v is None or len(v) != width or any(x is None for x in v):
-            continue
-        x = np.array(v, float)
-        n = float(np.sqrt(x @ x))
-        if np.isfinite(n) and n > 0:
-            out[i], norms[i] = x, n
-    return out, norms
+        if v and not any(x is None for x in v):
+            x = np.array(v, float)
+            if np.isfinite(x).all() and x.any():
+                at.append(i)
+                found.append(x)
+    return np.array(at, np.int64), np.array(found)
 
 
 def principal_axes(vectors: DataFrame, width: int, dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -34,9 +39,10 @@ def principal_axes(vectors: DataFrame, width: int, dimensions: int = DIMENSIONS)
     def moments(batches):
         total = np.zeros((width, width))
         for batch in batches:
-            x, n = unit_rows(batch.column(0), width)
-            x = x[n > 0] / n[n > 0, None]
-            total += x.T @ x
+            at, x = usable_rows(batch.column(0))
+            if len(at):
+                x = _unit(x)
+                total += x.T @ x
         rows, columns = np.triu_indices(width)
         yield pa.RecordBatch.from_pydict({"i": rows.astype(np.int32), "j": columns.astype(np.int32), "s": total[rows, columns]})
 
@@ -107,8 +113,8 @@ def near_duplicates(
 
     Rows with equal, non-null labels link when their cosine in double precision is at least ``cosine``; ``n_links``
     counts the other rows linked directly, ``component_id`` is the smallest id reachable over links, ``kept`` marks the row with
-    that id.  Vectors that are null, zero, of another width than most, or hold null or non-finite components, and rows
-    with a null label, link with nothing.  Ids must be distinct.
+    that id.  Vectors of different widths do not link; each width is joined on its own.  Vectors that are null, empty, zero,
+    or hold null or non-finite components, and rows with a null label, link with nothing.  Ids must be distinct.
 
     Equal vectors of a label are one entry with a count.  Entries are sorted by label and the grid cells of their leading
     principal coordinates (cell width: the radius that the cosine means) and cut into blocks of consecutive entries.
@@ -116,32 +122,45 @@ def near_duplicates(
     they touch, and every pair of blocks is joined recursively in one task.  A task returns each row's number of links and a
     spanning forest, never the pairs, so a large group of near copies costs rows in proportion to its blocks.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{vector}`").alias("v"))
-    widths = rows.groupBy(F.size("v").alias("w")).count().where("w > 0").orderBy(F.desc("count"), "w").limit(1).collect()
-    empty = rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if not widths:
-        return empty
-    width = widths[0]["w"]
+    sized = rows.where("label IS NOT NULL AND size(v) > 0")
+    linked = None
+    for r in sized.groupBy(F.size("v").alias("w")).count().collect():  # one row per width
+        part = _linked(sized.where(F.size("v") == r["w"]), r["w"], cosine, dimensions, block)
+        linked = part if linked is None else linked.unionByName(part)
+    out = rows.select("id")
+    if linked is None:
+        out = out.withColumns({"n_links": F.lit(None).cast("bigint"), "component_id": F.lit(None).cast("bigint")})
+    else:
+        out = out.join(linked, "id", "left")
+    group = F.coalesce("component_id", "id")
+    return out.select(
+        F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), group.alias("component_id"), (group == F.col("id")).alias("kept")
+    )
+
+
+def _linked(rows: DataFrame, width: int, cosine: float, dimensions: int, block: int) -> DataFrame:
+    """``(id, n_links, component_id)`` of the comparable vectors of one width among ``rows(id, label, v)``."""
+    spark = rows.sparkSession
     radius = sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
-    axes = principal_axes(rows.where("label IS NOT NULL"), width, min(dimensions, width))
+    axes = principal_axes(rows, width, min(dimensions, width))
     k = axes.shape[1]
     shared = spark.sparkContext.broadcast(axes)
-    kind = "<f4" if isinstance(df.schema[vector].dataType.elementType, T.FloatType) else "<f8"
+    kind = "<f4" if isinstance(rows.schema["v"].dataType.elementType, T.FloatType) else "<f8"
 
     def place(batches):
         for batch in batches:
-            x, n = unit_rows(batch.column(2), width)
-            good = n > 0
-            x = x[good]
-            at = (x / n[good, None]) @ shared.value
+            good, x = usable_rows(batch.column(2))
+            if not len(good):
+                continue
+            at = _unit(x) @ shared.value
             yield pa.RecordBatch.from_pydict({
-                "id": batch.column(0).filter(pa.array(good)), "label": batch.column(1).filter(pa.array(good)),
+                "id": batch.column(0).take(pa.array(good)), "label": batch.column(1).take(pa.array(good)),
                 "cells": pa.array(list(np.floor(at / radius).astype(np.int32)), pa.list_(pa.int32())),
                 "data": pa.array([v.tobytes() for v in x.astype(kind)], pa.binary()),
             })
 
-    placed = materialize(rows.where("label IS NOT NULL").mapInArrow(place, "id bigint, label string, cells array<int>, data binary"))
+    placed = materialize(rows.mapInArrow(place, "id bigint, label string, cells array<int>, data binary"))
     entry_of = materialize(placed.groupBy("label", F.md5("data").alias("print")).agg(F.min("id").alias("entry"), F.count(F.lit(1)).alias("copies")))
     entries = placed.join(entry_of.select(F.col("entry").alias("id"), "copies"), "id")
 
@@ -185,8 +204,7 @@ def near_duplicates(
     def join(batches) -> Iterator[pa.RecordBatch]:
         for (a, b), table in grouped(batches, ["a", "b"]):
             ids, copies = table["id"].to_numpy(), table["copies"].to_numpy()
-            x = np.stack([np.frombuffer(v, kind) for v in table["data"].to_pylist()]).astype(float)
-            x /= np.sqrt((x * x).sum(1))[:, None]
+            x = _unit(np.stack([np.frombuffer(v, kind) for v in table["data"].to_pylist()]).astype(float))
             x = np.concatenate([x @ shared.value, x], 1)
             cut_at = int((table["block"].to_numpy() == a).sum())
             found: list[np.ndarray] = []
@@ -215,8 +233,4 @@ def near_duplicates(
         .join(groups, F.col("entry") == groups["id"], "left")
         .select("label", "print", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "entry").alias("component_id"))
     )
-    member = placed.select("id", "label", F.md5("data").alias("print")).join(of_entry, ["label", "print"]).select("id", "n_links", "component_id")
-    return rows.select("id").join(member, "id", "left").select(
-        F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
-        F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("component_id", "id") == F.col("id")).alias("kept"),
-    )
+    return placed.select("id", "label", F.md5("data").alias("print")).join(of_entry, ["label", "print"]).select("id", "n_links", "component_id")

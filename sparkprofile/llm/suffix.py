@@ -229,8 +229,8 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _classes(df: DataFrame, id_column: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     return df.select(
-        F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(_LEAST)).alias("_id"), F.xxhash64(body).alias("_t"),
-        F.xxhash64(F.lit(7), body).alias("_u"), body.alias("text"),
+        F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(_LEAST)).alias("_id"), F.xxhash64(body).alias("_text_t"),
+        F.xxhash64(F.lit(7), body).alias("_text_u"), body.alias("text"),
     )
 
 
@@ -246,9 +246,9 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     """
     spark = df.sparkSession
     rows = _classes(df, id_column, text)
-    classes = materialize(rows.groupBy("_t", "_u").agg(F.min("_id").alias("rep"), F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("weight")))
-    chosen = rows.join(classes.select("rep", F.col("_t").alias("_t2"), F.col("_u").alias("_u2"), "weight"), F.col("_id") == F.col("rep"))
-    chosen = chosen.where("_t = _t2 AND _u = _u2").select("rep", "weight", "text")
+    classes = materialize(rows.groupBy("_text_t", "_text_u").agg(F.min("_id").alias("rep"), F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("weight")))
+    chosen = rows.join(classes.select("rep", F.col("_text_t").alias("_text_t2"), F.col("_text_u").alias("_text_u2"), "weight"), F.col("_id") == F.col("rep"))
+    chosen = chosen.where("_text_t = _text_t2 AND _text_u = _text_u2").select("rep", "weight", "text")
     # one copy of each text, stored by rep once, so that no later round moves texts
     name = f"repeats_{uuid.uuid4().hex}"
     (chosen.dropDuplicates(["rep"]).write.bucketBy(tasks(spark), "rep").sortBy("rep").option("path", new_folder(spark, name)).format("parquet").saveAsTable(name))
@@ -284,8 +284,8 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     names = ["rep", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "kept_text"]
     schema = "rep bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>, kept binary, kept_text string"
     done = texts.join(lists, "rep", "left").select("rep", "weight", "text", "ranges").mapInArrow(cut, schema)
-    of_class = classes.select("_t", "_u", "rep").join(done, "rep").drop("rep")
+    of_class = classes.select("_text_t", "_text_u", "rep").join(done, "rep").drop("rep")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     carried = [c for c in df.columns if c != text and c not in names]
-    keys = df.select(*[F.col(f"`{c}`") for c in carried], F.xxhash64(body).alias("_t"), F.xxhash64(F.lit(7), body).alias("_u"))
-    return keys.join(of_class, ["_t", "_u"]).select(*[F.col(f"`{c}`") for c in carried], *names[1:])
+    keys = df.select(*[F.col(f"`{c}`") for c in carried], F.xxhash64(body).alias("_text_t"), F.xxhash64(F.lit(7), body).alias("_text_u"))
+    return keys.join(of_class, ["_text_t", "_text_u"]).select(*[F.col(f"`{c}`") for c in carried], *names[1:])

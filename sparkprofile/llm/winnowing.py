@@ -8,25 +8,25 @@ from .common import materialize
 
 WINDOW = 3
 _LEAST = -(1 << 63)
-_KEY = ["_id", "_print"]
+_KEY = ["_line_id", "_line_print"]
 
 
 def _lines(df: DataFrame, id_column: str, text: str, separator: str) -> DataFrame:
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     return df.select(
-        F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(_LEAST)).alias("_id"), F.xxhash64(body).alias("_print"),
-        F.split(body, f"\\Q{separator}\\E", -1).alias("_lines"),
+        F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(_LEAST)).alias("_line_id"), F.xxhash64(body).alias("_line_print"),
+        F.split(body, f"\\Q{separator}\\E", -1).alias("_line_list"),
     )
 
 
 def fingerprints(df: DataFrame, id_column: str, text: str, window: int = WINDOW, separator: str = "\n") -> DataFrame:
-    """``(_id, _print, start, mark, place, a, b)``: every window of lines with its fingerprint.
+    """``(_line_id, _line_print, start, mark, place, a, b)``: every window of lines with its fingerprint.
 
     ``place`` is the line of the fingerprint and ``mark`` its hash, the smallest line hash of the window, so equal windows have equal marks and neighbouring windows mostly share
     one; ``a`` and ``b`` are two independent 64-bit hashes of the window's lines.
     """
     hashed = _lines(df, id_column, text, separator).select(
-        *_KEY, F.transform("_lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("_lines", lambda x: F.xxhash64(F.lit(7), x)).alias("g")
+        *_KEY, F.transform("_line_list", lambda x: F.xxhash64(x)).alias("h"), F.transform("_line_list", lambda x: F.xxhash64(F.lit(7), x)).alias("g")
     ).where(F.size("h") >= window)
     windows = F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda i: F.struct(
         i.alias("start"), F.array_min(F.slice("h", i + 1, window)).alias("mark"),
@@ -37,7 +37,7 @@ def fingerprints(df: DataFrame, id_column: str, text: str, window: int = WINDOW,
 
 
 def repeated_runs(df: DataFrame, id_column: str, text: str, window: int = WINDOW, separator: str = "\n") -> DataFrame:
-    """``(_id, _print, first, past)``: the maximal runs of lines to delete, as line numbers from 0, ``past`` excluded.
+    """``(_line_id, _line_print, first, past)``: the maximal runs of lines to delete, as line numbers from 0, ``past`` excluded.
 
     A window is repeated if the same lines stand earlier: under a smaller id, or further up in the same document.  First only
     the fingerprints are matched: windows whose fingerprint stands at one place only are left out.  The others are compared
@@ -46,8 +46,8 @@ def repeated_runs(df: DataFrame, id_column: str, text: str, window: int = WINDOW
     """
     windows = materialize(fingerprints(df, id_column, text, window, separator).distinct())
     seen = windows.groupBy("mark").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_id").alias("i0"), F.max("_id").alias("i1"), F.min("_print").alias("p0"),
-        F.max("_print").alias("p1"), F.min("place").alias("s0"), F.max("place").alias("s1"),
+        F.count(F.lit(1)).alias("n"), F.min("_line_id").alias("i0"), F.max("_line_id").alias("i1"), F.min("_line_print").alias("p0"),
+        F.max("_line_print").alias("p1"), F.min("place").alias("s0"), F.max("place").alias("s1"),
     )
     marks = materialize(seen.where("n > 1 AND (i0 < i1 OR p0 < p1 OR s1 > s0)").select("mark"))
     matched = windows.join(marks, "mark", "left_semi")
@@ -73,25 +73,25 @@ def line_dedup(
     ordered by a hash of the text.
     """
     found = repeated_runs(df, id_column, text, window, separator)
-    lists = found.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("first", "past"))).alias("_runs"))
+    lists = found.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("first", "past"))).alias("_line_runs"))
     kept = [c for c in df.columns if c != runs]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     keyed = df.select(
         *[F.col(f"`{c}`") for c in kept],
-        F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(_LEAST)).alias("_id"), F.xxhash64(body).alias("_print"),
+        F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(_LEAST)).alias("_line_id"), F.xxhash64(body).alias("_line_print"),
     )
     joined = keyed.join(lists, _KEY, "left")
     lines = F.split(F.col(f"`{text}`"), f"\\Q{separator}\\E", -1)
     gaps = F.arrays_zip(
-        F.concat(F.array(F.lit(0)), F.col("_runs.past")).alias("lo"), F.concat(F.col("_runs.first"), F.array(F.size("_lines"))).alias("hi")
+        F.concat(F.array(F.lit(0)), F.col("_line_runs.past")).alias("lo"), F.concat(F.col("_line_runs.first"), F.array(F.size("_line_list"))).alias("hi")
     )
-    text_left = F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice("_lines", g["lo"] + 1, g["hi"] - g["lo"]))), separator)
-    changed = joined.withColumn("_lines", F.when(F.col("_runs").isNotNull(), lines)).withColumn(
-        "_left", F.when(F.col("_runs").isNull(), F.col(f"`{text}`")).otherwise(text_left)
+    text_left = F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice("_line_list", g["lo"] + 1, g["hi"] - g["lo"]))), separator)
+    changed = joined.withColumn("_line_list", F.when(F.col("_line_runs").isNotNull(), lines)).withColumn(
+        "_line_left", F.when(F.col("_line_runs").isNull(), F.col(f"`{text}`")).otherwise(text_left)
     )
     none = F.array().cast("array<struct<first:int,past:int>>")
     return changed.select(
-        *[F.col("_left").alias(c) if c == text else F.col(f"`{c}`") for c in kept], F.coalesce("_runs", none).alias(runs)
+        *[F.col("_line_left").alias(c) if c == text else F.col(f"`{c}`") for c in kept], F.coalesce("_line_runs", none).alias(runs)
     )
 
 
