@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chosen_path, epsilon_grid, langid, maglev, mih, packing, rollup, suffix, viterbi, winnowing
+from . import chosen_path, epsilon_grid, langid, maglev, mih, oracle, packing, rollup, suffix, viterbi, winnowing
 from .common import materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,12 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
+@query
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, class_id, copies, n_links, group_id, kept)`` of every document."""
+    return chosen_path.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest sign codes of every embedding whose id is divisible by 50."""
@@ -67,6 +73,12 @@ def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.top_k(codes, codes.where("id % 50 = 0"), 10)
 
 
+@query
+def op6_rank_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every document."""
+    return suffix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans", "kept", "kept_text")
+
+
 @query
 def op7_prefix_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, n_ids, ids_crc32, round_trip)`` of every document."""
@@ -101,16 +113,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLE["op10_winnowing"] = winnowing.oracle()
-
-
-@query
-def op6_rank_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` of every document."""
-    return suffix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans", "kept", "kept_text")
-
-
-@query
-def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, class_id, copies, n_links, group_id, kept)`` of every document."""
-    return chosen_path.near_duplicates(read(spark, sf_dir, "documents"))
+ORACLE |= {
+    "op4_chosen_path": oracle.NEAR_DUPLICATES, "op5_multi_index_hashing": oracle.TOP_K_CODES, "op6_rank_doubling": oracle.REPEATED_BYTES,
+    "op9_epsilon_grid_order": oracle.NEAR_VECTORS, "op10_winnowing": winnowing.oracle(),
+}

@@ -2,14 +2,16 @@
 
 import random
 
+import duckdb
 import public_tokenizers
+import pytest
 from test_duplicates import near_by_hand, repeats_by_hand
 from tokenizers import Tokenizer
 
 import __spark_entry__ as registry
 import corpus_pipeline
 from sparkprofile.llm import winnowing
-from sparkprofile.llm.queries import QUERIES
+from sparkprofile.llm.queries import ORACLE, QUERIES
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -92,12 +94,12 @@ def test_registry():
     assert set(QUERIES) < set(names) and "op10_winnowing" in registry.oracle_sql()
 
 
-def test_line_query_matches_sql(spark):
-    import duckdb
-
-    folder = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_queries_match_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
-    out = QUERIES["op10_winnowing"](spark, folder)
-    found = con.execute(f"SELECT {', '.join(out.columns)} FROM ({registry.oracle_sql()['op10_winnowing']})").fetchall()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    out = QUERIES[name](spark, folder)
+    found = con.execute(f"SELECT {', '.join(out.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, out.collect())) == sorted(found)
