@@ -19,8 +19,9 @@ from .common import WordIds, materialize
 
 LENGTH = 4_096
 END = 1
-LARGE = 4  # lengths above a fourth of a sequence are large: at most three of them share one
-GROUPS = 32
+# tried in turn: lengths above this part of a sequence are large, so fewer than this many share one; groups of large lengths
+LARGE = (4, 3, 2)
+GROUPS = (16, 32, 64)
 CACHE_WORDS = 600_000
 SLICE_ROWS = 2_000
 _WORD_END = "</w>"
@@ -150,10 +151,10 @@ def _group_sizes(counts: dict[int, int], groups: int) -> list[int]:
     return tops
 
 
-def _configurations(sizes: Sequence[int], capacity: int) -> np.ndarray:
-    """All ways to fill a sequence with at most ``LARGE - 1`` of these sizes, as a matrix (size, way) of counts."""
+def _configurations(sizes: Sequence[int], capacity: int, most: int) -> np.ndarray:
+    """All ways to fill a sequence with at most ``most`` of these sizes, as a matrix (size, way) of counts."""
     ways = []
-    for k in range(1, LARGE):
+    for k in range(1, most + 1):
         for combo in combinations_with_replacement(range(len(sizes)), k):
             if sum(sizes[i] for i in combo) <= capacity:
                 ways.append(np.bincount(combo, minlength=len(sizes)))
@@ -179,7 +180,14 @@ def _cover(matrix: np.ndarray, need: np.ndarray) -> np.ndarray:
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = LENGTH, groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+def best_plan(counts: dict[int, int], capacity: int = LENGTH) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """The plan with the fewest sequences over a few numbers of groups and bounds of large lengths."""
+    return min((plan(counts, capacity, groups, part) for part in LARGE for groups in GROUPS), key=lambda p: p[1])
+
+
+def plan(
+    counts: dict[int, int], capacity: int = LENGTH, groups: int = GROUPS[0], part: int = LARGE[0]
+) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """Place ``counts[length]`` items of every length; returns the slots and the number of sequences.
 
     A slot row ``(length, rank, count, first_sequence, copies, offset)`` places the items of that length with ranks from ``rank``
@@ -195,14 +203,14 @@ def plan(counts: dict[int, int], capacity: int = LENGTH, groups: int = GROUPS) -
     used = dict.fromkeys(counts, 0)
     open_runs: list[tuple[int, int, int]] = []
     sequences = 0
-    large = {n: c for n, c in counts.items() if n > capacity // LARGE and c}
+    large = {n: c for n, c in counts.items() if n > capacity // part and c}
     if large:
         tops = _group_sizes(large, groups)
         group_of = {n: max(i for i, t in enumerate(tops) if t >= n) for n in large}
         need = np.zeros(len(tops))
         for n, c in large.items():
             need[group_of[n]] += c
-        matrix = _configurations(tops, capacity)
+        matrix = _configurations(tops, capacity, part - 1)
         times = np.floor(_cover(matrix, need) + 1e-9).astype(int)
         stock = [[[n, large[n]] for n in sorted(large, reverse=True) if group_of[n] == i] for i in range(len(tops))]
         for way in np.flatnonzero(times).tolist():
@@ -259,7 +267,7 @@ def plan(counts: dict[int, int], capacity: int = LENGTH, groups: int = GROUPS) -
     return slots, sequences
 
 
-def pack(pieces: DataFrame, length: int = LENGTH, groups: int = GROUPS) -> DataFrame:
+def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: all pieces in as few sequences of ``length`` as the plan finds.
 
     ``pieces`` needs ``doc_id``, ``piece`` and ``length`` (1 to ``length``); it is read several times, so give a written table.
@@ -280,7 +288,7 @@ def pack(pieces: DataFrame, length: int = LENGTH, groups: int = GROUPS) -> DataF
     counts = {int(r["length"]): int(r["n"]) for r in placed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(n < 1 or n > length for n in counts):
         raise ValueError(f"pieces are 1 to {length} long")
-    slots, _ = plan(counts, length, groups)
+    slots, _ = best_plan(counts, length)
     table = spark.createDataFrame(
         slots, "_n bigint, _from bigint, _count bigint, _first bigint, _copies bigint, _offset bigint"
     )

@@ -35,9 +35,9 @@ def test_real_texts(spark):
         assert np.frombuffer(raw, "<u4").tolist() == library_ids(t)
 
 
-def filled(counts, capacity):
+def filled(counts, capacity, **how):
     """Sequences of a plan, after checking that every item is placed once and nothing overlaps."""
-    slots, n = packing.plan(counts, capacity)
+    slots, n = packing.plan(counts, capacity, **how) if how else packing.best_plan(counts, capacity)
     ranks, content = {}, {}
     for size, rank, count, first, copies, offset in slots:
         for j in range(count):
@@ -62,6 +62,7 @@ def test_plan(seed):
         n = min(capacity, max(1, int(rng.expovariate(1 / (capacity * rng.choice([0.1, 0.3, 0.6]))))))
         counts[n] = counts.get(n, 0) + rng.choice([1, 1, 40])
     n = filled(counts, capacity)
+    assert all(filled(counts, capacity, groups=g, part=p) >= n for g, p in ((16, 4), (32, 3), (64, 2)))
     total = sum(k * v for k, v in counts.items())
     big = sum(v for k, v in counts.items() if 2 * k > capacity)
     assert n <= 1.12 * max(-(-total // capacity), big) + 2
