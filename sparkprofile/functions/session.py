@@ -36,24 +36,29 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
-def drop_tables(spark: SparkSession, since: int = 0) -> int:
-    """Delete the intermediate tables made by this application, all or from number ``since`` on; returns how many.
+def made_tables(spark: SparkSession) -> int:
+    """How many intermediate tables this application has made and not dropped."""
+    return len(_made.get(spark.sparkContext.applicationId, []))
+
+
+def drop_tables(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
+    """Delete the intermediate tables made by this application, all or those from number ``since`` to ``until``; returns how many.
 
     Results that were not written or collected before cannot be computed any more afterwards.
     """
     folders = _made.get(spark.sparkContext.applicationId, [])
-    for folder in folders[since:]:
+    chosen = folders[since:until]
+    for folder in chosen:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    dropped = len(folders) - since
-    del folders[since:]
-    return dropped
+    del folders[since:until]
+    return len(chosen)
 
 
 @contextmanager
 def intermediate_tables(spark: SparkSession):
     """Everything that operators write down inside the block is deleted at its end."""
-    before = len(_made.get(spark.sparkContext.applicationId, []))
+    before = made_tables(spark)
     try:
         yield
     finally:
