@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, components, grouped, hash64, materialize, mix64, tasks
+from .common import U64, components, grouped, hash64, materialize, mix64, settled, tasks
 from .epsilon_grid import forest
 
 WORDS = 5
@@ -277,23 +277,28 @@ def near_duplicates(
     Links between different classes are found with probability ``recall`` at the threshold, and more above it; what
     is found in one candidate component is complete.
     """
-    signed = materialize(signatures(df, id_column, text, words))
-    classes = materialize(signed.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies")))
-    reps = materialize(
-        signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch", "probe")
-    )
-    candidates = components(materialize(candidate_edges(reps, similarity, recall)))
-    members = materialize(candidates.join(reps.select("id", "n"), "id"))
-    found = _verified(df, id_column, text, members, similarity, words)
-    links = found.where("other IS NULL").groupBy("id").agg(F.sum("n").alias("n_links"))
-    groups = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    of_class = materialize(
-        classes.join(links, classes["rep"] == links["id"], "left").drop("id").join(groups, F.col("rep") == groups["id"], "left")
-        .select("d1", "d2", F.col("rep").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
-                F.coalesce("component", "rep").alias("group_id"))
-    )
-    rows = signed.select("id", "d1", "d2", "n")
-    keyed = rows.where("n > 0").join(of_class, ["d1", "d2"]).select("id", "class_id", "copies", "n_links", "group_id")
-    alone = rows.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("copies"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("group_id"))
-    out = keyed.unionByName(alone)
-    return out.select(F.when(F.col("id") != _LEAST, F.col("id")).alias(id_column), "class_id", "copies", "n_links", "group_id", (F.col("id") == F.col("group_id")).alias("kept"))
+    spark = df.sparkSession
+
+    def found_rows() -> DataFrame:
+        signed = materialize(signatures(df, id_column, text, words))
+        classes = materialize(signed.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies")))
+        reps = materialize(
+            signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch", "probe")
+        )
+        edges = settled(spark, lambda: candidate_edges(reps, similarity, recall))
+        members = materialize(components(edges).join(reps.select("id", "n"), "id"))
+        found = _verified(df, id_column, text, members, similarity, words)
+        links = found.where("other IS NULL").groupBy("id").agg(F.sum("n").alias("n_links"))
+        groups = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
+        of_class = materialize(
+            classes.join(links, classes["rep"] == links["id"], "left").drop("id").join(groups, F.col("rep") == groups["id"], "left")
+            .select("d1", "d2", F.col("rep").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
+                    F.coalesce("component", "rep").alias("group_id"))
+        )
+        rows = signed.select("id", "d1", "d2", "n")
+        keyed = rows.where("n > 0").join(of_class, ["d1", "d2"]).select("id", "class_id", "copies", "n_links", "group_id")
+        alone = rows.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("copies"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("group_id"))
+        out = keyed.unionByName(alone)
+        return out.select(F.when(F.col("id") != _LEAST, F.col("id")).alias(id_column), "class_id", "copies", "n_links", "group_id", (F.col("id") == F.col("group_id")).alias("kept"))
+
+    return settled(spark, found_rows)

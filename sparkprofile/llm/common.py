@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.session import materialize, new_folder, shared_folder
+from ..functions.session import drop_tables, made_tables, materialize, new_folder, shared_folder
 
 __all__ = [
-    "WordIds", "components", "grouped", "hash64", "materialize", "mix64", "new_folder", "read", "shared_folder", "small",
+    "WordIds", "components", "drop_tables", "grouped", "hash64", "made_tables", "materialize", "mix64", "new_folder", "read", "settled", "shared_folder", "small",
     "tasks", "text_slices", "words",
 ]
 
@@ -24,6 +24,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` describes, written; the tables that were written on the way to it are deleted."""
+    before = made_tables(spark)
+    out = materialize(make())
+    drop_tables(spark, before, made_tables(spark) - 1)
+    return out
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions for a shuffle that Spark does not size by itself."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -101,6 +109,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     the smallest vertices.  Every step is two shuffles of long pairs.  In the large-star step a vertex may have very many
     neighbours; the table of minima is written first, so that Spark can split the join there.
     """
+    spark = edges.sparkSession
+
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         # pairs (u, v): every edge from the end that looks at its neighbours
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -115,21 +125,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def print_of(pairs: DataFrame):
         return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
-    now = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    seen = print_of(now)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = materialize(star(star(both, True), False))
-        after = print_of(now)
-        if after == seen:
-            break
-        seen = after
-    else:
+    def converged() -> DataFrame:
+        now = materialize(
+            edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        )
+        seen = print_of(now)
+        for _ in range(rounds):
+            if not seen[0]:
+                return now
+            both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            now = settled(spark, lambda both=both: star(star(both, True), False))
+            after = print_of(now)
+            if after == seen:
+                return now
+            seen = after
         raise RuntimeError("components did not converge")
+
+    now = settled(spark, converged)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import components, grouped, materialize, tasks
+from .common import components, grouped, materialize, settled, tasks
 
 DIMENSIONS = 6
 BLOCK = 256
@@ -126,7 +126,8 @@ def near_duplicates(
     sized = rows.where("label IS NOT NULL AND size(v) > 0")
     linked = None
     for r in sized.groupBy(F.size("v").alias("w")).count().collect():  # one row per width
-        part = _linked(sized.where(F.size("v") == r["w"]), r["w"], cosine, dimensions, block)
+        own = sized.where(F.size("v") == r["w"])
+        part = settled(df.sparkSession, lambda own=own, width=r["w"]: _linked(own, width, cosine, dimensions, block))
         linked = part if linked is None else linked.unionByName(part)
     out = rows.select("id")
     if linked is None:

@@ -13,6 +13,7 @@ from .common import U64, tasks
 BUCKETS = 1 << 16
 MODEL_BYTES = 256 << 20
 UNDECIDED = "und"
+SLICE_ROWS = 1_000
 _LETTER = None
 
 
@@ -152,11 +153,14 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
     def label(batches):
         known = LanguageModel(*shared.value)
         for batch in batches:
-            answers = [known.predict(t) for t in batch.column(0).to_pylist()]
-            parts = pa.array([[{"lang": k, "share": s} for k, s in a[2]] for a in answers], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
-            extra = [pa.array([a[0] for a in answers], pa.string()), pa.array([a[1] for a in answers], pa.float64()), parts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *extra], names=[*batch.schema.names[1:], "lang_pred", "score", "languages"])
-
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                answers = [known.predict(t) for t in part.column(0).to_pylist()]
+                shares = pa.array([[{"lang": k, "share": s} for k, s in a[2]] for a in answers], share_type)
+                extra = [pa.array([a[0] for a in answers], pa.string()), pa.array([a[1] for a in answers], pa.float64()), shares]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *extra], names=[*part.schema.names[1:], "lang_pred", "score", "languages"])
+
+    share_type = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
     rows = df.select(F.col(f"`{text}`").alias("_langid_text"), *[F.col(f"`{c}`") for c in kept])
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
     return rows.mapInArrow(label, schema + ", lang_pred string, score double, languages array<struct<lang:string,share:double>>")

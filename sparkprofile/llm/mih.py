@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import materialize, settled
 
 BITS = 64
 MASKS = 1 << 16
@@ -85,7 +85,11 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     query is finished when its k-th verified distance is below that, or when no value is left to look up.
     Fewer than k other rows give fewer rows.  Ids must be distinct.
     """
-    spark = codes.sparkSession
+    return settled(codes.sparkSession, lambda: _search(codes, queries, k))
+
+
+def _search(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The rounds of :func:`top_k`."""
     rows = codes.where("code IS NOT NULL")
     least = Window.partitionBy("code").orderBy("id")
     entries = materialize(

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import U64, materialize, mix64, new_folder, tasks, text_slices
+from .common import U64, drop_tables, made_tables, materialize, mix64, new_folder, settled, tasks, text_slices
 
 LENGTH = 400
 STEPS = (25, 5, 1)
@@ -184,20 +185,26 @@ def _block_rows(texts: DataFrame, asked: DataFrame, length: int, step: int) -> D
     return joined.mapInArrow(run, _ROWS)
 
 
-def _rerank(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
+def _rerank(spark: SparkSession, make: Callable[[], DataFrame], last: bool) -> tuple[DataFrame, DataFrame | None]:
     """``(repeated, open)``: the rows whose strings all stand elsewhere too, and those to be cut finer.
 
     Equal ``wide`` at two places settles a row; a unique ``core`` drops it.  Where a core has an unsettled row, that row goes
     on, and with it one row for each settled ``wide``, of weight 2: its strings are what the other may be equal to.
     """
+    before = made_tables(spark)
+    rows = materialize(make())
     pairs = materialize(rows.groupBy("core", "wide").agg(F.sum("weight").alias("m"), F.min(F.struct("rep", "place", "low", "high")).alias("one")))
-    settled = pairs.where("m > 1").select("core", "wide")
-    repeated = materialize(rows.where("weight = 1").join(settled, ["core", "wide"], "left_semi").select("rep", "place", "low", "high"))
+    alike = pairs.where("m > 1").select("core", "wide")
+    repeated = materialize(rows.where("weight = 1").join(alike, ["core", "wide"], "left_semi").select("rep", "place", "low", "high"))
     if last:
+        drop_tables(spark, before, made_tables(spark) - 1)
         return repeated, None
+    drop_tables(spark, before, before + 1)  # the rows, by far the largest
     cores = materialize(pairs.groupBy("core").agg(F.sum("m").alias("n"), F.min("m").alias("least")).where("n > 1 AND least < 2").select("core"))
-    going = pairs.join(cores, "core", "left_semi").select("one.*", F.least("m", F.lit(2)).cast("int").alias("weight"))
-    return repeated, materialize(going)
+    going = materialize(pairs.join(cores, "core", "left_semi").select("one.*", F.least("m", F.lit(2)).cast("int").alias("weight")))
+    drop_tables(spark, made_tables(spark) - 2, made_tables(spark) - 1)
+    drop_tables(spark, before, before + 1)
+    return repeated, going
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -206,10 +213,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     ``texts`` is ``(rep, weight, text)`` with distinct reps; weight 2 marks a text that stands there twice, whose own
     ranges are left out: all of it is repeated.
     """
-    repeated, asked = _rerank(materialize(_anchor_rows(texts, length)), False)
+    spark = texts.sparkSession
+    repeated, asked = _rerank(spark, lambda: _anchor_rows(texts, length), False)
     spans = [repeated]
     for step in STEPS:
-        repeated, asked = _rerank(materialize(_block_rows(texts, asked, length, step)), step == 1)
+        repeated, asked = _rerank(spark, lambda asked=asked, step=step: _block_rows(texts, asked, length, step), step == 1)
         spans.append(repeated)
     out = None
     for s in spans:
@@ -253,7 +261,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     name = f"repeats_{uuid.uuid4().hex}"
     (chosen.dropDuplicates(["rep"]).write.bucketBy(tasks(spark), "rep").sortBy("rep").option("path", new_folder(spark, name)).format("parquet").saveAsTable(name))
     texts = spark.table(name)
-    spans = materialize(repeated_spans(texts, length))
+    spans = settled(spark, lambda: repeated_spans(texts, length))
     lists = spans.groupBy("rep").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
     def cut(batches):

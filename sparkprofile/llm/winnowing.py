@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import materialize, settled
 
 WINDOW = 3
 _LEAST = -(1 << 63)
@@ -72,7 +72,7 @@ def line_dedup(
     smallest id; rows of equal id and text are one document and are changed alike; rows of equal id and different text are
     ordered by a hash of the text.
     """
-    found = repeated_runs(df, id_column, text, window, separator)
+    found = settled(df.sparkSession, lambda: repeated_runs(df, id_column, text, window, separator))
     lists = found.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("first", "past"))).alias("_line_runs"))
     kept = [c for c in df.columns if c != runs]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
