@@ -427,3 +427,9 @@ def rolling_average(t):
 def rolling_average_nulls(t):
     holes = t.events.withColumn("value", F.when(F.col("event_id") % 40 != 0, F.col("value")))
     return rounded(sp.rolling_average(holes, "ts", "value", tie=["event_id"], chunk_rows=1000))
+
+
+@query("rolling_average_small_chunks", rolling_sql("SELECT * FROM events", "event_id"))
+def rolling_average_small_chunks(t):
+    """The window is longer than a chunk."""
+    return rounded(sp.rolling_average(t.events, "ts", "value", tie=["event_id"], window=30, chunk_rows=10))
