@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkprofile.llm import chosen_path, langid, packing, suffix, winnowing
-from sparkprofile.llm.common import materialize, read
+from sparkprofile.llm.common import materialize, read, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,30 +21,35 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification: a text in no language (null, empty or without letters) goes; a missing label is filled in."""
+    small_batches(spark)
     found = langid.identify(docs, langid.fit(docs, "text", "lang")).where(F.col("lang_pred") != langid.UNDECIDED)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: later copies of runs of lines are cut out; a document of which nothing is left goes."""
+    small_batches(spark)
     cut = winnowing.line_dedup(docs)
     return _measured(cut.where((F.size("removed_runs") == 0) | (F.trim("text") != "")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: the document with the smallest id of each group of near copies stays."""
+    small_batches(spark)
     kept = materialize(chosen_path.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct())
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: bytes in repeated long strings are cut out; a document of which nothing is left goes."""
+    small_batches(spark)
     cut = suffix.remove_repeats(docs).withColumnRenamed("kept_text", "text")
     return _measured(cut.where((F.col("n_removed") == 0) | (F.trim("text") != "")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of the tokens of what is left."""
+    small_batches(spark)
     pieces = packing.tokenized_pieces(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(materialize(pieces))
 

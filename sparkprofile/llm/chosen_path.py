@@ -22,7 +22,7 @@ MAX_STEPS = 6
 RECALL = 0.99999
 BLOCK_ROWS = 128
 BLOCK_SHINGLES = 1 << 17
-SLICE_ROWS = 2_000
+SLICE_ROWS = 500
 _LEAST = -(1 << 63)
 _FACTORS = mix64(np.arange(1, SKETCH + 1, dtype=U64)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = mix64(np.arange(1_001, SKETCH + 1_001, dtype=U64)).astype(np.uint32)

@@ -12,15 +12,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.session import drop_tables, made_tables, materialize, new_folder, shared_folder
 
 __all__ = [
-    "WordIds", "components", "drop_tables", "grouped", "hash64", "made_tables", "materialize", "mix64", "new_folder", "read", "settled", "shared_folder", "small",
+    "WordIds", "components", "drop_tables", "grouped", "hash64", "made_tables", "materialize", "mix64", "new_folder", "read", "settled", "shared_folder", "small", "small_batches",
     "tasks", "text_slices", "words",
 ]
 
 U64 = np.uint64
-ARROW_ROWS = 2_000
+ARROW_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most ``ARROW_ROWS`` rows: rows are whole texts here, and batches are held in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

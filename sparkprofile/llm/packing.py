@@ -22,8 +22,8 @@ END = 1
 # tried in turn: lengths above this part of a sequence are large, so fewer than this many share one; groups of large lengths
 LARGE = (4, 3, 2)
 GROUPS = (16, 32, 64)
-CACHE_WORDS = 600_000
-SLICE_ROWS = 2_000
+CACHE_WORDS = 200_000
+SLICE_ROWS = 1_000
 _WORD_END = "</w>"
 _MARK = "\0"
 

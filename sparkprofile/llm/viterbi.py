@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import WordIds
 
 MARK = "▁"
-CACHE_WORDS = 600_000
-SLICE_ROWS = 2_000
+CACHE_WORDS = 200_000
+SLICE_ROWS = 1_000
 # piece types of the model file
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
