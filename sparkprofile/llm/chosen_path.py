@@ -17,8 +17,9 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCH = 128
 PROBES = 8
-BUCKET = 64
-MAX_STEPS = 6
+SALTS = 16
+BUCKET = 256
+MAX_STEPS = 5
 RECALL = 0.99999
 BLOCK_ROWS = 128
 BLOCK_SHINGLES = 1 << 17
@@ -118,7 +119,7 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
 
     ``reps`` is ``(id, sketch, probe)``.  Every set starts at the root of every run and goes to the children of the
     tokens that its node chooses.  Buckets of at most ``bucket`` sets are compared all with all by their sketches.  Larger ones are
-    split again, by two levels at a time, unless their sets agree so well on average that splitting is of no use: these, and what is
+    split again, by two levels at a time, unless their sets agree so well on average with one of three of them that splitting is of no use: these, and what is
     left at the last step, are joined as a whole by a star.  A bucket returns a spanning forest, never its pairs.
     """
     runs = runs_for(recall)
@@ -168,13 +169,19 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
         if large.isEmpty():
             break
         members = materialize(frontier.join(large.select("node"), "node", "left_semi").select("node", "id"))
-        probed = members.join(reps.select("id", "probe"), "id").select("node", F.posexplode("probe").alias("at", "value"))
-        alike = probed.groupBy("node", "at", "value").count().groupBy("node").agg(F.sum(F.col("count") * F.col("count").cast("double")).alias("s"))
-        judged = materialize(large.join(alike, "node").select("node", "deep", (F.col("s") / (PROBES * F.col("m") * F.col("m").cast("double")) >= least).alias("alike")))
+        # each set against three of its bucket; salted, so that a very large bucket is not one task
+        probed = members.join(reps.select("id", "probe"), "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        pivots = materialize(probed.groupBy("node").agg(
+            F.min("id").alias("hub"), F.min_by("probe", "id").alias("p0"), F.max_by("probe", "id").alias("p1"),
+            F.min_by("probe", F.xxhash64("id")).alias("p2"),
+        ))
+        salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        shares = [F.avg(F.size(F.filter(F.zip_with("probe", p, lambda x, y: x == y), lambda x: x)) / PROBES) for p in ("p0", "p1", "p2")]
+        alike = probed.join(salted, ["node", "salt"]).groupBy("node").agg(F.min("hub").alias("hub"), F.greatest(*shares).alias("share"))
+        judged = materialize(large.join(alike, "node").select("node", "deep", "hub", (F.col("share") >= least).alias("alike")))
         told = materialize(members.join(judged, "node"))
-        settled = told.where("alike OR deep") if depth == MAX_STEPS else told.where("alike")
-        hubs = materialize(settled.groupBy("node").agg(F.min("id").alias("hub")))
-        edges.append(materialize(settled.join(hubs, "node").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()))
+        hubbed = told.where("alike OR deep") if depth == MAX_STEPS else told.where("alike")
+        edges.append(materialize(hubbed.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()))
         rest = told.where("NOT alike AND deep")
         if depth == MAX_STEPS or rest.isEmpty():
             break
