@@ -72,7 +72,7 @@ SELECT "column", count(x) AS total_count, CAST(0 AS BIGINT) AS non_finite_count,
        round(quantile_cont(x, 0.5), 6) AS median FROM long GROUP BY "column" """,
 )
 def histogram_markers(t):
-    return rounded(shapes(sp.histogram_markers, t))
+    return rounded(shapes(sp.histogram_markers, t), mean=7)
 
 
 # The normal distribution in SQL: series near zero, continued fraction in the tail.
@@ -313,7 +313,7 @@ SELECT "column", round(any_value(q25), 6) AS q25, round(any_value(median), 6) AS
        count(*) FILTER (NOT inside) AS flier_count FROM j GROUP BY "column" """,
 )
 def box_stats(t):
-    return rounded(shapes(sp.box_stats, t))
+    return rounded(shapes(sp.box_stats, t), mean=7)
 
 
 QQ = f"""

@@ -49,7 +49,7 @@ SELECT "column", round(any_value(mean), 7) AS mean, round(any_value(std), 6) AS
        count(*) FILTER (z) AS outlier_count FROM f GROUP BY "column" """,
 )
 def zscore_outliers(t):
-    return rounded(both(sp.zscore_outliers)(t))
+    return rounded(both(sp.zscore_outliers)(t), mean=7)
 
 
 @query(
@@ -228,7 +228,7 @@ def quick_summary(t):
 @query(
     "column_analysis",
     f"""{bounds_sql(f"long AS ({long_sql('events', ['value'])})")}
-SELECT 'value' AS "column", 'numeric' AS data_type, count(*) AS count, round(any_value(mean), 7) AS mean,
+SELECT 'value' AS "column", 'numeric' AS data_type, count(*) AS count, round(any_value(mean), 6) AS mean,
        round(any_value(med), 6) AS median, count(*) FILTER (i) AS iqr_outlier_count, CAST(0 AS BIGINT) AS missing_count,
        'right_skewed' AS distribution_type FROM f""",
 )
