@@ -27,9 +27,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: later copies of runs of lines are cut out; a document of which nothing is left goes."""
+    """Line dedup: later copies of runs of lines, of long lines and of whole short texts are cut out; a document of which nothing is left goes."""
     small_batches(spark)
-    cut = winnowing.line_dedup(docs)
+    cut = winnowing.line_dedup(docs, long_words=winnowing.LONG_WORDS)
     return _measured(cut.where((F.size("removed_runs") == 0) | (F.trim("text") != "")))
 
 

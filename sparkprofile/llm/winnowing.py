@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import materialize, settled
 
 WINDOW = 3
+LONG_WORDS = 50
 _LEAST = -(1 << 63)
 _KEY = ["_line_id", "_line_print"]
 
@@ -19,24 +20,48 @@ def _lines(df: DataFrame, id_column: str, text: str, separator: str) -> DataFram
     )
 
 
-def fingerprints(df: DataFrame, id_column: str, text: str, window: int = WINDOW, separator: str = "\n") -> DataFrame:
-    """``(_line_id, _line_print, start, mark, place, a, b)``: every window of lines with its fingerprint.
+def fingerprints(
+    df: DataFrame, id_column: str, text: str, window: int = WINDOW, separator: str = "\n", long_words: int | None = None
+) -> DataFrame:
+    """``(_line_id, _line_print, start, width, mark, place, a, b)``: every window of lines with its fingerprint.
 
     ``place`` is the line of the fingerprint and ``mark`` its hash, the smallest line hash of the window, so equal windows have equal marks and neighbouring windows mostly share
-    one; ``a`` and ``b`` are two independent 64-bit hashes of the window's lines.
+    one; ``a`` and ``b`` are two independent 64-bit hashes of the window's lines.  Windows have ``window`` lines; with
+    ``long_words`` also fewer, if they have so many words, and a text of fewer lines with a word in it is a window of its own kind.
     """
+    size = F.size("h")
     hashed = _lines(df, id_column, text, separator).select(
-        *_KEY, F.transform("_line_list", lambda x: F.xxhash64(x)).alias("h"), F.transform("_line_list", lambda x: F.xxhash64(F.lit(7), x)).alias("g")
-    ).where(F.size("h") >= window)
-    windows = F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda i: F.struct(
-        i.alias("start"), F.array_min(F.slice("h", i + 1, window)).alias("mark"),
-        (i + F.array_position(F.slice("h", i + 1, window), F.array_min(F.slice("h", i + 1, window))).cast("int") - 1).alias("place"),
-        F.xxhash64(F.slice("h", i + 1, window)).alias("a"), F.xxhash64(F.slice("g", i + 1, window)).alias("b"),
-    ))
-    return hashed.select(*_KEY, F.inline(windows))
+        *_KEY, F.transform("_line_list", lambda x: F.xxhash64(x)).alias("h"), F.transform("_line_list", lambda x: F.xxhash64(F.lit(7), x)).alias("g"),
+        *([] if long_words is None else [F.transform("_line_list", lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("n")]),
+    )
+
+    def described(i, width, *salt):
+        h, g = F.slice("h", i + 1, width), F.slice("g", i + 1, width)
+        return F.struct(
+            i.alias("start"), width.alias("width"), F.array_min(h).alias("mark"), (i + F.array_position(h, F.array_min(h)).cast("int") - 1).alias("place"),
+            F.xxhash64(h, *salt).alias("a"), F.xxhash64(g, *salt).alias("b"),
+        )
+
+    def starts(width):
+        return F.filter(F.sequence(F.lit(0), F.greatest(size - width, F.lit(0))), lambda i: i + width <= size)
 
+    def words(i, width):
+        return F.aggregate(F.slice("n", i + 1, width), F.lit(0), lambda x, y: x + y)
 
-def repeated_runs(df: DataFrame, id_column: str, text: str, window: int = WINDOW, separator: str = "\n") -> DataFrame:
+    def short(width):
+        return F.transform(F.filter(starts(width), lambda i: words(i, width) >= long_words), lambda i: described(i, F.lit(width)))
+
+    windows = [F.transform(starts(window), lambda i: described(i, F.lit(window)))]
+    if long_words is not None:
+        windows += [short(width) for width in range(1, window)]
+        whole = F.filter(F.array(F.lit(0)), lambda i: (size < window) & (words(i, size) > 0))
+        windows.append(F.transform(whole, lambda i: described(i, size, F.lit("whole"))))
+    return hashed.select(*_KEY, F.inline(F.concat(*windows)))
+
+
+def repeated_runs(
+    df: DataFrame, id_column: str, text: str, window: int = WINDOW, separator: str = "\n", long_words: int | None = None
+) -> DataFrame:
     """``(_line_id, _line_print, first, past)``: the maximal runs of lines to delete, as line numbers from 0, ``past`` excluded.
 
     A window is repeated if the same lines stand earlier: under a smaller id, or further up in the same document.  First only
@@ -44,7 +69,7 @@ def repeated_runs(df: DataFrame, id_column: str, text: str, window: int = WINDOW
     as a whole with the earliest such window.  Repeated windows that touch or overlap are one run: the match extends both
     ways as far as the lines agree with something earlier.
     """
-    windows = materialize(fingerprints(df, id_column, text, window, separator).distinct())
+    windows = materialize(fingerprints(df, id_column, text, window, separator, long_words).distinct())
     seen = windows.groupBy("mark").agg(
         F.count(F.lit(1)).alias("n"), F.min("_line_id").alias("i0"), F.max("_line_id").alias("i1"), F.min("_line_print").alias("p0"),
         F.max("_line_print").alias("p1"), F.min("place").alias("s0"), F.max("place").alias("s1"),
@@ -54,25 +79,27 @@ def repeated_runs(df: DataFrame, id_column: str, text: str, window: int = WINDOW
     first = materialize(
         matched.groupBy("a", "b").agg(F.min(F.struct(*_KEY, "start")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "at")
     )
-    later = matched.join(first, ["a", "b"]).where(F.struct(*_KEY, "start") > F.col("at")).select(*_KEY, "start")
+    later = matched.join(first, ["a", "b"]).where(F.struct(*_KEY, "start") > F.col("at")).select(*_KEY, "start", (F.col("start") + F.col("width")).alias("past"))
     order = Window.partitionBy(*_KEY).orderBy("start")
-    runs = later.withColumn("new", F.coalesce((F.col("start") > F.lag("start").over(order) + window).cast("int"), F.lit(1)))
+    runs = later.withColumn("new", F.coalesce((F.col("start") > F.max("past").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("new").over(order))
-    return runs.groupBy(*_KEY, "run").agg(F.min("start").alias("first"), (F.max("start") + window).alias("past")).drop("run")
+    return runs.groupBy(*_KEY, "run").agg(F.min("start").alias("first"), F.max("past").alias("past")).drop("run")
 
 
 def line_dedup(
-    df: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW, separator: str = "\n", runs: str = "removed_runs"
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = WINDOW, separator: str = "\n", runs: str = "removed_runs",
+    long_words: int | None = None,
 ) -> DataFrame:
     """``df`` without the later copies of runs of at least ``window`` lines; ``runs`` lists what was deleted.
 
-    A line goes if it lies in a window of ``window`` lines that stands earlier as well, by (id, line).  The input decides, not
-    what is left of it.  ``runs`` is an array of ``(first, past)``, empty where nothing was deleted; an existing column of that
-    name is replaced.  Null texts stay null; texts of fewer lines stay as they are; empty lines count like others.  A null id is the
+    A line goes if it lies in a window of ``window`` lines that stands earlier as well, by (id, line).  With ``long_words`` it goes
+    too if it lies in a shorter run of at least so many words that stands earlier, or if its text has fewer lines, has a word and
+    is a whole earlier text.  The input decides, not what is left of it.  ``runs`` is an array of ``(first, past)``, empty where nothing was deleted; an existing column of that
+    name is replaced.  Null texts stay null; without ``long_words`` texts of fewer lines stay as they are; empty lines count like others.  A null id is the
     smallest id; rows of equal id and text are one document and are changed alike; rows of equal id and different text are
     ordered by a hash of the text.
     """
-    found = settled(df.sparkSession, lambda: repeated_runs(df, id_column, text, window, separator))
+    found = settled(df.sparkSession, lambda: repeated_runs(df, id_column, text, window, separator, long_words))
     lists = found.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("first", "past"))).alias("_line_runs"))
     kept = [c for c in df.columns if c != runs]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))

@@ -216,6 +216,39 @@ def test_lines_edge_cases(spark):
     assert winnowing.line_dedup(df.limit(0)).count() == 0
 
 
+def long_runs_by_hand(rows, words, window=3):
+    """What is left: runs by window, shorter ones by words, whole texts of fewer lines by themselves."""
+    seen, out = set(), {}
+    for i, text in sorted(rows.items()):
+        lines = text.split("\n")
+        gone, new = set(), [("whole", text)] if len(lines) < window and text.split() else []
+        if new and new[0] in seen:
+            gone.update(range(len(lines)))
+        for width in range(1, window + 1):
+            for at in range(len(lines) - width + 1):
+                key = tuple(lines[at : at + width])
+                if width == window or sum(len(x.split()) for x in key) >= words:
+                    if key in seen:
+                        gone.update(range(at, at + width))
+                    seen.add(key)
+        seen.update(new)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_long_runs_of_few_lines(spark):
+    rng = random.Random(8)
+    lines = [" ".join(rng.choices("abcdefgh", k=k)) for k in (1, 2, 3, 5, 6, 9, 10, 11, 12, 25)] + ["", "  "]
+    texts = ["\n".join(rng.choices(lines, k=rng.choice((1, 1, 2, 2, 3, 5, 9)))) for _ in range(80)]
+    passage, pair = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(25)) + "\n" + " ".join(f"r{i}" for i in range(25))
+    rows = dict(enumerate([*texts, "", "", " \n", " \n", f"x\n{pair}\ny", f"z\n{passage}", f"{passage}\nw", f"v\n{pair}"]))
+    df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    for words in (10, winnowing.LONG_WORDS):
+        out = {r.doc_id: r.text for r in winnowing.line_dedup(df, long_words=words).collect()}
+        assert out == long_runs_by_hand(rows, words)
+        assert [out[i] for i in (86, 87)] == ["w", "v"]
+
+
 # --- vectors ------------------------------------------------------------------------------------
 
 

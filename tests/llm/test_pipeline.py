@@ -83,6 +83,14 @@ def test_stages(spark, tmp_path):
     assert sizes == {i: len(whole.encode(t, add_special_tokens=False).ids) + 1 for i, t in left.items()}
 
 
+def test_long_lines_and_short_copies_go(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, f"a\n{passage}"), (2, f"{passage}\nb"), (3, "short one"), (4, "short one"), (5, "short\none\nc"), (6, passage)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert out == {1: (rows[0][1], len(rows[0][1])), 2: ("b", 1), 3: ("short one", 9), 5: ("short\none\nc", 11)}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
