@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, exp, log, sqrt
+from math import comb, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -66,16 +66,37 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def runs_for(recall: float, depth: int = 2) -> int:
-    """Runs after which a pair just at the threshold has met with this probability.
+def runs_for(recall: float, depth: int = 2, similarity: float = SIMILARITY) -> int:
+    """Runs after which a pair just at the threshold has met at this depth with this probability.
 
-    At every level such a pair shares one chosen token on average; the chance to meet at a depth is that of a Poisson branching
-    process to survive so long.
+    The sketches of such a pair agree in a binomial number of places, and at every level each of them is chosen with the same
+    chance, so that one is on average; the chance to meet at a depth is that of the branching process to survive so long.
     """
-    alive = 1.0
+    agree = np.arange(SKETCH + 1)
+    chance = np.array([comb(SKETCH, k) * similarity**k * (1 - similarity) ** (SKETCH - k) for k in range(SKETCH + 1)])
+    alive = np.ones(SKETCH + 1)
     for _ in range(depth):
-        alive = 1 - exp(-alive)
-    return ceil(log(1 - recall) / log(1 - alive))
+        alive = 1 - (1 - alive / (similarity * SKETCH)) ** agree
+    seen = agree >= _least(similarity) * SKETCH
+    runs = 1
+    while (chance * (1 - alive) ** runs)[seen].sum() > 1 - recall:
+        runs += 1
+    return runs
+
+
+def _least(similarity: float) -> float:
+    """Sketches that agree less are below the similarity but for five standard deviations."""
+    return similarity - 5 * sqrt(similarity * (1 - similarity) / SKETCH)
+
+
+def step_runs(recall: float, similarity: float = SIMILARITY) -> list[int]:
+    """Runs that a set needs in all before each step; a step's buckets are up to ``2 * step - 1`` levels deep.
+
+    A pair is missed only if it dies in all runs of the step after the last one that had both its sets in one large bucket; the first step
+    has many more runs than its one level needs, and the others share what may be missed.
+    """
+    later = [runs_for(1 - (1 - recall) / MAX_STEPS, 2 * step - 1, similarity) for step in range(2, MAX_STEPS + 1)]
+    return [runs_for(recall, 2, similarity), *later]
 
 
 def choose(nodes: np.ndarray, sketches: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -117,17 +138,17 @@ def signatures(df: DataFrame, id_column: str, text: str, words: int = WORDS) ->
 def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
     """``(a, b)``: edges that connect, with probability ``recall``, every two sets of this similarity; they may connect more.
 
-    ``reps`` is ``(id, sketch, probe)``.  Every set starts at the root of every run and goes to the children of the
+    ``reps`` is ``(id, sketch, probe)``.  Every set starts at the root of every run of the first step and goes to the children of the
     tokens that its node chooses.  Buckets of at most ``bucket`` sets are compared all with all by their sketches.  Larger ones are
     split again, by two levels at a time, unless their sets agree so well on average with one of three of them that splitting is of no use: these, and what is
-    left at the last step, are joined as a whole by a star.  A bucket returns a spanning forest, never its pairs.
+    left at the last step, are joined as a whole by a star.  Deeper buckets are met with a smaller chance, so the sets of a bucket that is split
+    start in more runs, as many as hold the recall at the depth they go to.  A bucket returns a spanning forest, never its pairs.
     """
-    runs = runs_for(recall)
-    # sketches that agree less are below the similarity but for five standard deviations
-    least = similarity - 5 * sqrt(similarity * (1 - similarity) / SKETCH)
-    roots = mix64(np.arange(1, runs + 1, dtype=U64))
+    runs = step_runs(recall, similarity)
+    least = _least(similarity)
+    roots = mix64(np.arange(1, runs[-1] + 1, dtype=U64))
 
-    def start(batches):
+    def start(batches, roots):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -157,9 +178,12 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
                 yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
 
     sketches = reps.select("id", "sketch")
-    frontier = materialize(sketches.mapInArrow(start, "node bigint, id bigint, deep boolean").distinct())
     lists, edges = [], []
-    for depth in range(1, MAX_STEPS + 1):
+    frontier_type = "node bigint, id bigint, deep boolean"
+
+    def settle(frontier: DataFrame, step: int) -> DataFrame | None:
+        """``(node, id)`` of the buckets that are to be split; the others are noted."""
+        frontier = materialize(frontier.distinct())
         sizes = materialize(frontier.groupBy("node", "deep").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
         lists.append(
             frontier.join(sizes.where(F.col("m") <= bucket).select("node"), "node").groupBy("node")
@@ -167,7 +191,7 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
         )
         large = sizes.where(F.col("m") > bucket)
         if large.isEmpty():
-            break
+            return None
         members = materialize(frontier.join(large.select("node"), "node", "left_semi").select("node", "id"))
         # each set against three of its bucket; salted, so that a very large bucket is not one task
         probed = members.join(reps.select("id", "probe"), "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
@@ -180,13 +204,31 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
         alike = probed.join(salted, ["node", "salt"]).groupBy("node").agg(F.min("hub").alias("hub"), F.greatest(*shares).alias("share"))
         judged = materialize(large.join(alike, "node").select("node", "deep", "hub", (F.col("share") >= least).alias("alike")))
         told = materialize(members.join(judged, "node"))
-        hubbed = told.where("alike OR deep") if depth == MAX_STEPS else told.where("alike")
+        hubbed = told.where("alike OR deep") if step == MAX_STEPS else told.where("alike")
         edges.append(materialize(hubbed.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()))
-        rest = told.where("NOT alike AND deep")
-        if depth == MAX_STEPS or rest.isEmpty():
+        rest = told.where("NOT alike AND deep").select("node", "id")
+        return None if step == MAX_STEPS or rest.isEmpty() else rest
+
+    def children(rest: DataFrame) -> DataFrame:
+        return rest.join(sketches, "id").select("node", "id", "sketch").mapInArrow(split, frontier_type)
+
+    asked, going = sketches, None
+    for step in range(1, MAX_STEPS + 1):
+        # the runs that this step adds, walked down from the root
+        own = roots[0 if step == 1 else runs[step - 2] : runs[step - 1]]
+        frontier = asked.mapInArrow(lambda batches, own=own: start(batches, own), frontier_type)
+        for earlier in range(1, step):
+            left = settle(frontier, earlier)
+            if left is None:
+                frontier = None
+                break
+            frontier = children(left)
+        if going is not None:
+            frontier = children(going) if frontier is None else frontier.union(children(going))
+        going = settle(frontier, step)
+        if going is None:
             break
-        again = rest.join(sketches, "id").select("node", "id", "sketch")
-        frontier = materialize(again.mapInArrow(split, "node bigint, id bigint, deep boolean").distinct())
+        asked = sketches.join(materialize(going.select("id").distinct()), "id", "left_semi")
     found = lists[0]
     for more in lists[1:]:
         found = found.union(more)
@@ -281,7 +323,7 @@ def near_duplicates(
     id, it has no links and is kept.  Rows that repeat an id with the same text are one document; a null id is the smallest
     one; other ids must be distinct.
 
-    Links between different classes are found with probability ``recall`` at the threshold, and more above it; what
+    Links between different classes are found with probability ``recall`` at the threshold, at every depth of the buckets, and more above it; what
     is found in one candidate component is complete.
     """
     spark = df.sparkSession

@@ -106,6 +106,36 @@ def test_no_documents(spark):
     assert sorted((r.doc_id, r.group_id, r.kept) for r in chosen_path.near_duplicates(blank).collect()) == [(1, 1, True), (2, 2, True)]
 
 
+def test_pairs_in_deep_buckets(spark):
+    """Sets that share a third of their places with all others: their buckets are split down to the fifth level and deeper."""
+    rng = np.random.default_rng(11)
+    n = 5_000
+    first = rng.integers(0, 3, (n // 2, chosen_path.SKETCH))
+    second = first.copy()
+    for row in second:
+        at = rng.permutation(chosen_path.SKETCH)[:25]  # 103 of 128 agree
+        row[at] += 3
+    sketches = np.concatenate([first, second]).astype("<u4")
+    rows = [(i, bytearray(x.tobytes()), x[: chosen_path.PROBES].tolist()) for i, x in enumerate(sketches)]
+    reps = spark.createDataFrame(rows, "id bigint, sketch binary, probe array<bigint>").repartition(8)
+    root = roots(n, [(r.a, r.b) for r in chosen_path.candidate_edges(reps, bucket=32).collect()])
+    assert len(set(root)) > n // 4
+    assert sum(root[i] != root[i + n // 2] for i in range(n // 2)) == 0
+
+
+def test_runs_hold_the_recall_at_their_depth():
+    runs = chosen_path.step_runs(chosen_path.RECALL)
+    assert runs[0] == 19 and len(runs) == chosen_path.MAX_STEPS and runs == sorted(runs)
+    rng = np.random.default_rng(3)
+    agree = rng.binomial(chosen_path.SKETCH, 0.8, 20_000)
+    for step, target in ((2, 30), (5, 107)):
+        assert abs(runs[step - 1] - target) <= 3
+        alive = np.ones(len(agree))
+        for _ in range(2 * step - 1):
+            alive = 1 - (1 - alive / (0.8 * chosen_path.SKETCH)) ** agree
+        assert ((1 - alive) ** runs[step - 1]).mean() < 1e-5
+
+
 def test_set_similarity_by_blocks():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(40)]
