@@ -36,8 +36,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: the document with the smallest id of each group of near copies stays."""
     small_batches(spark)
-    kept = materialize(chosen_path.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct())
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+    found = chosen_path.near_duplicates(docs, prints="kept_print").where("kept")
+    kept = materialize(found.select(F.col("doc_id").alias("kept_id"), "kept_print").distinct())
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (chosen_path.text_print(docs["text"]) == kept["kept_print"])
+    return docs.join(kept, same, "left_semi").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from math import comb, sqrt
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import U64, components, grouped, hash64, materialize, mix64, settled, tasks
 from .epsilon_grid import forest
@@ -115,24 +115,34 @@ def _sketch_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, SKETCH)
 
 
+def _documents(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``(id, print, text)``; ``print`` is a hash of the text, as several texts may have one id."""
+    body = F.col(f"`{text}`")
+    return df.select(F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(_LEAST)).alias("id"), text_print(body).alias("print"), body.alias("text"))
+
+
+def text_print(body: Column) -> Column:
+    """The hash that tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(body, F.lit("")))
+
+
 def signatures(df: DataFrame, id_column: str, text: str, words: int = WORDS) -> DataFrame:
-    """``(id, d1, d2, n, sketch, probe)``: a 128-bit digest of each set, its size, its sketch and a few places of it."""
+    """``(id, print, d1, d2, n, sketch, probe)``: a 128-bit digest of each set, its size, its sketch and a few places of it."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                sets = shingle_sets(part.column(1), words)
+                sets = shingle_sets(part.column(2), words)
                 sketches = [sketch(s) for s in sets]
                 yield pa.RecordBatch.from_pydict({
-                    "id": part.column(0),
+                    "id": part.column(0), "print": part.column(1),
                     "d1": _signed(np.array([mix64(s).sum(dtype=U64) for s in sets], U64)),
                     "d2": _signed(np.array([mix64(s ^ U64(0xA0761D6478BD642F)).sum(dtype=U64) for s in sets], U64)),
                     "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array([s.astype("<u4").tobytes() for s in sketches], pa.binary()),
                     "probe": pa.array([s[:PROBES].astype(np.int64) for s in sketches], pa.list_(pa.int64())),
                 })
 
-    rows = df.select(F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(_LEAST)).alias("id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "id bigint, d1 bigint, d2 bigint, n bigint, sketch binary, probe array<bigint>")
+    return _documents(df, id_column, text).mapInArrow(run, "id bigint, print bigint, d1 bigint, d2 bigint, n bigint, sketch binary, probe array<bigint>")
 
 
 def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
@@ -268,16 +278,16 @@ def _similar(sets: list[np.ndarray], cut: int, within: bool, similarity: float)
 def _verified(df: DataFrame, id_column: str, text: str, members: DataFrame, similarity: float, words: int) -> DataFrame:
     """``(id, other, n)``: links of each representative with others of its candidate component, and a spanning forest.
 
-    ``members`` is ``(id, component, n)``.  A component is cut into blocks by a hash of the id so that a pair of blocks is bounded in
+    ``members`` is ``(id, component, n, doc, print)``, the last two the id and the hash of the representative's text.  A component is cut into blocks by a hash of the id so that a pair of blocks is bounded in
     rows and shingles; each pair of blocks is one group.
     """
     spark = df.sparkSession
     sizes = materialize(members.groupBy("component").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    dealt = materialize(members.select("id", "component").join(sizes, "component").select(
-        "id", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
-    docs = df.select(F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(_LEAST)).alias("id"), F.col(f"`{text}`").alias("text"))
-    chosen = docs.join(dealt, "id").dropDuplicates(["id"]).select("id", "component", "blocks", "block", "text")
+    dealt = materialize(members.drop("n").join(sizes, "component").select(
+        "id", "doc", "print", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
+    docs = _documents(df, id_column, text).withColumnRenamed("id", "doc")
+    chosen = docs.join(dealt, ["doc", "print"]).dropDuplicates(["id"]).select("id", "component", "blocks", "block", "text")
 
     def shingle(batches):
         for batch in batches:
@@ -313,7 +323,8 @@ def _verified(df: DataFrame, id_column: str, text: str, members: DataFrame, simi
 
 
 def near_duplicates(
-    df: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL,
+    prints: str | None = None,
 ) -> DataFrame:
     """``(id_column, class_id, copies, n_links, group_id, kept)`` of every row of ``df``.
 
@@ -321,7 +332,8 @@ def near_duplicates(
     of other classes whose Jaccard similarity is at least ``similarity``, checked exactly; ``group_id`` is the smallest id that is
     reached over such links; ``kept`` marks the row with that id.  A text without words is in no class: its class and group are its own
     id, it has no links and is kept.  Rows that repeat an id with the same text are one document; a null id is the smallest
-    one; other ids must be distinct.
+    one.  Different texts of one id are documents of their own, ordered by a hash of the text (``text_print``), which the
+    column ``prints`` gives if asked for; only the first document of a group is kept.
 
     Links between different classes are found with probability ``recall`` at the threshold, at every depth of the buckets, and more above it; what
     is found in one candidate component is complete.
@@ -330,24 +342,38 @@ def near_duplicates(
 
     def found_rows() -> DataFrame:
         signed = materialize(signatures(df, id_column, text, words))
-        classes = materialize(signed.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies")))
+        # a class is numbered: its smallest id may be that of other classes too
+        classes = materialize(
+            signed.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("id", "print")).alias("first"), F.countDistinct("id", "print").alias("copies"))
+            .select("d1", "d2", "first", "copies", F.monotonically_increasing_id().alias("rep"))
+        )
+        named = classes.select("rep", F.col("first.id").alias("id"), F.col("first.print").alias("print"), "d1", "d2")
         reps = materialize(
-            signed.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch", "probe")
+            signed.join(named, ["id", "print", "d1", "d2"]).dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "n", "sketch", "probe", F.col("id").alias("doc"), "print")
         )
         edges = settled(spark, lambda: candidate_edges(reps, similarity, recall))
-        members = materialize(components(edges).join(reps.select("id", "n"), "id"))
+        members = materialize(components(edges).join(reps.select("id", "n", "doc", "print"), "id"))
         found = _verified(df, id_column, text, members, similarity, words)
         links = found.where("other IS NULL").groupBy("id").agg(F.sum("n").alias("n_links"))
-        groups = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
+        groups = materialize(
+            components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
+            .join(reps.select("id", F.struct(F.col("doc").alias("id"), "print").alias("own")), "id").select("id", "component", "own")
+        )
+        leaders = groups.groupBy("component").agg(F.min("own").alias("leader"))
+        groups = groups.join(leaders, "component").select("id", "leader")
         of_class = materialize(
             classes.join(links, classes["rep"] == links["id"], "left").drop("id").join(groups, F.col("rep") == groups["id"], "left")
-            .select("d1", "d2", F.col("rep").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
-                    F.coalesce("component", "rep").alias("group_id"))
+            .select("d1", "d2", F.col("first.id").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
+                    F.coalesce("leader", "first").alias("leader"))
         )
-        rows = signed.select("id", "d1", "d2", "n")
-        keyed = rows.where("n > 0").join(of_class, ["d1", "d2"]).select("id", "class_id", "copies", "n_links", "group_id")
-        alone = rows.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("copies"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("group_id"))
-        out = keyed.unionByName(alone)
-        return out.select(F.when(F.col("id") != _LEAST, F.col("id")).alias(id_column), "class_id", "copies", "n_links", "group_id", (F.col("id") == F.col("group_id")).alias("kept"))
+        rows = signed.select("id", "print", "d1", "d2", "n")
+        keyed = rows.where("n > 0").join(of_class, ["d1", "d2"]).select(
+            "id", "print", "class_id", "copies", "n_links", F.col("leader.id").alias("group_id"), (F.struct("id", "print") == F.col("leader")).alias("kept"))
+        alone = rows.where("n = 0").select(
+            "id", "print", F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("copies"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("group_id"),
+            F.lit(True).alias("kept"))
+        return keyed.unionByName(alone).select(
+            F.when(F.col("id") != _LEAST, F.col("id")).alias(id_column), "class_id", "copies", "n_links", "group_id", "kept",
+            *([] if prints is None else [F.col("print").alias(prints)]))
 
     return settled(spark, found_rows)

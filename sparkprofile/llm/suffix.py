@@ -250,13 +250,13 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     ``(start, stop)``; ``kept`` is the rest of the bytes (binary: a cut may fall inside a character) and ``kept_text`` its whole
     characters.  Existing columns of these names are replaced.  Null texts are empty;
     shorter texts stay whole.  Equal texts are kept once with a count, so a large group of copies costs one text.  Rows that
-    repeat an id with the same text count as copies; a null id is the smallest one; other ids must be distinct.
+    repeat an id with the same text count as copies; different texts may have one id, also null.
     """
     spark = df.sparkSession
     rows = _classes(df, id_column, text)
-    classes = materialize(rows.groupBy("_text_t", "_text_u").agg(F.min("_id").alias("rep"), F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("weight")))
-    chosen = rows.join(classes.select("rep", F.col("_text_t").alias("_text_t2"), F.col("_text_u").alias("_text_u2"), "weight"), F.col("_id") == F.col("rep"))
-    chosen = chosen.where("_text_t = _text_t2 AND _text_u = _text_u2").select("rep", "weight", "text")
+    classes = materialize(rows.groupBy("_text_t", "_text_u").agg(F.min("_id").alias("_id"), F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("weight")).withColumn("rep", F.monotonically_increasing_id()))
+    # by id and digests: different texts may have one id, and the copies of a text are spread by their ids
+    chosen = rows.join(classes, ["_id", "_text_t", "_text_u"]).select("rep", "weight", "text")
     # one copy of each text, stored by rep once, so that no later round moves texts
     name = f"repeats_{uuid.uuid4().hex}"
     (chosen.dropDuplicates(["rep"]).write.bucketBy(tasks(spark), "rep").sortBy("rep").option("path", new_folder(spark, name)).format("parquet").saveAsTable(name))

@@ -99,6 +99,24 @@ def test_near_duplicates(spark, monkeypatch, seed, bucket):
         assert (r.class_id, r.n_links, r.group_id, r.kept) == (fix(c), n, fix(g), fix(i) == fix(g)), i
 
 
+def test_near_copies_among_texts_of_one_id(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, d), (7, f"{a} x"), (8, f"{b} y"), (9, f"{c} z"), (10, d.upper()), (11, f"{d} v"), (None, None)]
+    out = chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), prints="p").collect()
+    assert len(out) == len(rows)
+    null, seen = chosen_path._LEAST, {}
+    for r in out:
+        seen.setdefault((r.doc_id, r.n_links, r.group_id), []).append(r.kept)
+    assert seen == {
+        (None, 1, null): [True] * 4, (None, 0, null): [True], (7, 1, null): [False], (8, 1, null): [False], (9, 1, null): [False],
+        (7, 1, 7): [True], (10, 1, 7): [False], (11, 1, 7): [False]}
+    assert len({r.p for r in out if r.doc_id is None}) == 4
+    two = spark.createDataFrame([(None, a), (None, f"{a} x"), (3, f"{a} y"), (3, b)], "doc_id bigint, text string")
+    assert sorted((r.doc_id or 0, r.n_links, r.kept) for r in chosen_path.near_duplicates(two).collect()) in (
+        [(0, 2, False), (0, 2, True), (3, 0, True), (3, 2, False)],)
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert chosen_path.near_duplicates(df).count() == 0
@@ -204,6 +222,16 @@ def test_repeats_of_null_ids_and_empty_tables(spark):
     assert suffix.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_among_texts_of_one_id(spark):
+    rng = random.Random(6)
+    passage, own = "".join(rng.choices("abcdef", k=450)), ["".join(rng.choices("ghijkl", k=500)) for _ in range(6)]
+    ids = [None, None, None, 1, 1, 2]
+    texts = [own[0], own[1] + passage, own[2], own[3], own[4] + passage, own[5]]
+    df = spark.createDataFrame(list(zip(ids, texts, texts, strict=True)), "doc_id bigint, text string, original string")
+    got = {r.original: (r.n_bytes, r.n_removed, r.kept_text) for r in suffix.remove_repeats(df).collect()}
+    assert got == {t: (len(t), 450 if passage in t else 0, t.replace(passage, "")) for t in texts}
+
+
 def test_hashes_of_slices():
     h = suffix.Hasher()
     data = np.frombuffer(b"abcabcab" * 50, np.uint8)

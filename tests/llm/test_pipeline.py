@@ -91,6 +91,17 @@ def test_long_lines_and_short_copies_go(spark):
     assert out == {1: (rows[0][1], len(rows[0][1])), 2: ("b", 1), 3: ("short one", 9), 5: ("short\none\nc", 11)}
 
 
+def test_texts_of_one_id_stay_apart(spark):
+    rng = random.Random(2)
+    a, b, c = (" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(80)) for _ in range(3))
+    rows = [(None, a), (None, b), (None, f"{a} x"), (5, c), (5, f"{b} y")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    near = corpus_pipeline.near_copies(spark, docs, "").collect()
+    left = [(r.doc_id, r.text) for r in near]
+    assert len(left) == 3 and (None, b) in left and (5, c) in left and ((None, a) in left) != ((None, f"{a} x") in left)
+    assert sorted(r.text for r in corpus_pipeline.repeats(spark, spark.createDataFrame(near, SCHEMA), "").collect()) == sorted(t for _, t in left)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
