@@ -20,10 +20,10 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language identification: a text in no language (null, empty or without letters) goes; a missing label is filled in."""
+    """Language identification: a text in no language (null, empty or without letters) goes; ``lang`` is what is found, whatever the label."""
     small_batches(spark)
     found = langid.identify(docs, langid.fit(docs, "text", "lang")).where(F.col("lang_pred") != langid.UNDECIDED)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

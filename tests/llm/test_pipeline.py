@@ -102,6 +102,14 @@ def test_texts_of_one_id_stay_apart(spark):
     assert sorted(r.text for r in corpus_pipeline.repeats(spark, spark.createDataFrame(near, SCHEMA), "").collect()) == sorted(t for _, t in left)
 
 
+def test_wrong_labels_are_mended(spark):
+    en, de = "the cat sat on the mat and the dog went with them to the house", "der hund und die katze gingen nicht nach hause weil es warm war"
+    rows = [(i, f"{en if i % 2 else de} {i}", "en" if i % 2 else "de") for i in range(40)] + [(90, f"{de} {de}", "en"), (91, en, None), (92, "12 ?", "en")]
+    docs = spark.createDataFrame([(i, t, k, "s", len(t)) for i, t, k in rows], SCHEMA)
+    out = {r.doc_id: (r.text, r.lang) for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert out == {i: (t, {90: "de", 91: "en"}.get(i, k)) for i, t, k in rows if i != 92}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
