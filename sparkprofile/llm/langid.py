@@ -103,28 +103,29 @@ def expect(ratio: np.ndarray, shares: np.ndarray, rounds: int) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, text: str, lang: str, per_language: int = 5_000, smoothing: float = 0.5, buckets: int = BUCKETS) -> LanguageModel:
-    """Learn trigram likelihoods from about ``per_language`` labelled rows of each language, the documented bound.
+    """Learn trigram likelihoods from about ``per_language`` different labelled texts of each language, the documented bound.
 
-    The rows are picked by a hash of their text, all rows where a language has fewer.  Rows without text or
+    The texts are picked by their hash, all of them where a language has fewer; each is read once and weighted by its copies.  Rows without text or
     language teach nothing; without any row the model knows no language and predicts ``und``.
     """
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.countDistinct(F.xxhash64("text")).alias("n")).collect()}
     if not sizes:
         return LanguageModel([], np.ones((buckets, 0), np.float32))
     if 8 * buckets * len(sizes) > MODEL_BYTES:
         raise ValueError(f"{len(sizes)} languages need a model beyond {MODEL_BYTES} bytes; use fewer buckets")
     scale = 1 << 30
     bound = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, per_language / n) * scale)))])
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(scale)) < bound[F.col("lang")])
+    picked = rows.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(scale)) < bound[F.col("lang")])
+    sample = picked.groupBy("lang", F.xxhash64("text").alias("print")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).select("text", "lang", "copies")
 
     def counts(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for t, k, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k not in sums:
                     sums[k] = np.zeros(buckets, np.int64)
-                sums[k] += np.bincount(trigrams(t, buckets), minlength=buckets)
+                sums[k] += copies * np.bincount(trigrams(t, buckets), minlength=buckets)
         for k, v in sums.items():
             at = np.flatnonzero(v)
             yield pa.RecordBatch.from_pydict({"lang": [k] * len(at), "bucket": at.astype(np.int32), "n": v[at]})

@@ -129,6 +129,26 @@ def test_mixture_of_two_languages(spark):
     assert langid.identify(docs, model).count() == 8 and langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_copies_do_not_move_the_bound(spark):
+    """A language of few texts copied often keeps all of them, whatever their hashes; one of many copies of one text is in bounds."""
+    few = [f"{DE} {w}" for w in ("eins", "zwei", "drei")]
+    rows = [(f"{EN} {i}", "en") for i in range(30)] + [(t, "de") for t in few for _ in range(1_000)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", per_language=5)
+    counts = np.zeros(langid.BUCKETS)
+    for t in few:
+        np.add.at(counts, langid.trigrams(t), 1_000)
+    p = (counts + 0.5) / (counts.sum() + 0.5 * langid.BUCKETS)
+    other = langid.fit(spark.createDataFrame([r for r in rows if r[1] == "en"], "text string, lang string"), "text", "lang", per_language=5)
+    assert model.languages == ["de", "en"] and len(other.languages) == 1
+    own = np.flatnonzero(counts)
+    rest = np.setdiff1d(np.arange(langid.BUCKETS), np.concatenate([own, *(langid.trigrams(f"{EN} {i}") for i in range(30))]))[0]
+    en_rest = model.ratio[rest, 0] / model.ratio[rest, 1]
+    only = np.setdiff1d(own, np.concatenate([langid.trigrams(f"{EN} {i}") for i in range(30)]))
+    got = model.ratio[only, 0] / model.ratio[only, 1] / en_rest
+    assert np.allclose(got, p[only] / p[rest], rtol=1e-3)
+    assert model.predict(DE)[0] == "de" and model.predict(EN)[0] == "en"
+
+
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([(1, None, "en", "s", 1)], DOCS)
     model = langid.fit(empty, "text", "lang")
