@@ -17,7 +17,7 @@ MASKS = 1 << 16
 
 
 def sign_codes(df: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """``(id, code)``: 64 sign bits of a vector's first 64 components as a long.
+    """``(id, code)``: the sign bits of a vector of at most 64 components as a long; a wider one is an error, not cut.
 
     A null or non-finite component counts as not positive; a null vector has a null code and is left out of
     searches; shorter vectors leave the remaining bits zero.
@@ -30,8 +30,10 @@ def sign_codes(df: DataFrame, id_column: str, vector: str) -> DataFrame:
                 if v is None:
                     out.append(None)
                     continue
+                if len(v) > BITS:
+                    raise ValueError(f"a vector has {len(v)} components; codes hold the signs of at most {BITS}")
                 bits = np.zeros(BITS, np.uint8)
-                for i, x in enumerate(v[:BITS]):
+                for i, x in enumerate(v):
                     bits[i] = x is not None and np.isfinite(x) and x > 0
                 out.append(int(np.packbits(bits).view(">i8")[0]))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.int64())], ["id", "code"])

@@ -213,6 +213,13 @@ def test_sign_codes(spark):
     assert out == {1: -(2**63), 2: None, 3: 0}
 
 
+def test_sign_codes_do_not_cut_vectors(spark):
+    whole = spark.createDataFrame([(1, [-1.0] * 63 + [1.0])], "v bigint, e array<float>")
+    assert mih.sign_codes(whole, "v", "e").first().code == 1
+    with pytest.raises(Exception, match="65 components"):
+        mih.sign_codes(spark.createDataFrame([(1, [1.0] * 65)], "v bigint, e array<float>"), "v", "e").collect()
+
+
 # --- pieces -------------------------------------------------------------------------------------
 
 
