@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chosen_path, epsilon_grid, langid, maglev, mih, oracle, packing, rollup, suffix, viterbi, winnowing
+from . import chosen_path, epsilon_grid, langid, maglev, mih, oracle, packing, rollup, suffix, viterbi, whitening, winnowing
 from .common import materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,12 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op13_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(vec_id, component, n, deviation, whitened, explained, identity_error)`` of every usable embedding and component up to 8."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=8)
+
+
 ORACLE |= {
     "op4_chosen_path": oracle.NEAR_DUPLICATES, "op5_multi_index_hashing": oracle.TOP_K_CODES, "op6_rank_doubling": oracle.REPEATED_BYTES,
     "op9_epsilon_grid_order": oracle.NEAR_VECTORS, "op10_winnowing": winnowing.oracle(),
