@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chosen_path, epsilon_grid, langid, maglev, mih, oracle, packing, rollup, suffix, viterbi, whitening, winnowing
+from . import alignment, chosen_path, epsilon_grid, langid, maglev, mih, oracle, packing, rollup, suffix, viterbi, whitening, winnowing
 from .common import materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,16 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)`` of every document."""
+    found = alignment.align(
+        read(spark, sf_dir, "documents"), "text", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"]
+    )
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups"), 256))
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
 @query
 def op13_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(vec_id, component, n, deviation, whitened, explained, identity_error)`` of every usable embedding and component up to 8."""
