@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import re
-from collections.abc import Iterator, Sequence
-from itertools import chain
+import json
+from array import array
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import materialize
 
 MARK = "▁"
-SLICE_BYTES = 4 << 20  # texts that are handled together
-TABLE_BYTES = 64 << 20  # what a task keeps of the units it has seen
+SLICE_TOKENS = 400_000  # ids that are handled together
+TASK_PAIRS = 1_000_000  # counted pairs that a task holds before it sends them
 SLICE_PAIRS = 2_000_000  # id pairs whose counts are broadcast together
-#: A place where both tokenizations surely end: a lone space between two characters that are not white space.
-CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Texts (RE2 syntax) whose spaces are not all of that kind, or may not be.
-ODD = r"^ | $|\s | \s|[\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+MARKS = (",", ";", "|", "")  # before an id of a group, the first id of a group, the first id of its second side, the first id of a row
+MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -31,207 +29,181 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Pair:
-    """Both tokenizers and the bytes of their ids."""
+class Byte:
+    """A byte-level vocabulary read from a tokenizer file whose ids follow the order of its merges."""
 
-    def __init__(self, a_file: str, b_file: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import sentencepiece
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
 
-        self.a = Tokenizer.from_file(a_file)
-        self.a.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
         symbols = byte_symbols()
-        self.a_bytes = {
-            i: bytes(symbols[c] for c in t) if all(c in symbols for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()
+        special = {t["content"] for t in described["added_tokens"]}
+        ranks = {bytes(symbols[c] for c in t): i for t, i in described["model"]["vocab"].items() if t not in special}
+        merged = [m if isinstance(m, list) else m.split(" ") for m in described["model"]["merges"]]
+        order = [described["model"]["vocab"][a + b] for a, b in merged]
+        if order != sorted(order) or described["normalizer"] is not None or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("not a vocabulary of all bytes whose ids follow its merges")
+        self.tokens = {i: t for t, i in ranks.items()}
+        self.encoder = tiktoken.Encoding("byte", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        return self.encoder.encode_ordinary(text)
+
+
+class Piece:
+    """A SentencePiece model that puts a space before a text by itself."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = [self.model.id_to_piece(i) for i in range(len(self.model))]
+        self.tokens = {
+            i: bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace(MARK, " ").encode("utf-8") for i, n in enumerate(names)
         }
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
-        self.b_bytes = [
-            bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace(MARK, " ").encode("utf-8")
-            for i, n in ((i, self.b.id_to_piece(i)) for i in range(len(self.b)))
-        ]
-        names = [self.b.id_to_piece(i) for i in range(len(self.b))]
-        if any(MARK in n.lstrip(MARK) for n in names):
-            raise ValueError("pieces of this model cross words")
-
-    def encode(self, texts: Sequence[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of each text, which begins with a space: the second tokenizer adds that space itself."""
-        a = (e.ids for e in self.a.encode_batch(list(texts), add_special_tokens=False))
-        return zip(a, self.b.encode([t[1:] for t in texts], num_threads=1), strict=True)
-
-    def aligned(self, text: str, a: Sequence[int], b: Sequence[int]) -> list[tuple[Sequence[int], Sequence[int], list[tuple[int, int]]]] | None:
-        """The groups ``(a ids, b ids, links)``; None if the ids of either side do not spell the text."""
-        raw = text.encode("utf-8", "surrogatepass")
-        left, right = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(left) != raw or b"".join(right) != raw:
-            return None
-        left_ends, right_ends = np.cumsum([len(x) for x in left]).tolist(), np.cumsum([len(x) for x in right]).tolist()
-        left_at, right_at = {e: i for i, e in enumerate(left_ends)}, {e: i for i, e in enumerate(right_ends)}
-        groups, i0, j0 = [], 0, 0
-        for end in sorted(left_at.keys() & right_at.keys()):
-            i1, j1 = left_at[end] + 1, right_at[end] + 1
-            links, i, j = [], i0, j0
-            while i < i1 and j < j1:  # no end is shared inside a group, so one side moves at a time
-                links.append((a[i], b[j]))
-                if left_ends[i] < right_ends[j]:
-                    i += 1
-                elif left_ends[i] > right_ends[j]:
-                    j += 1
-                else:
-                    i, j = i + 1, j + 1
-            groups.append((a[i0:i1], b[j0:j1], links))
-            i0, j0 = i1, j1
-        return groups
-
-
-def spelled(groups) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group in order."""
-    return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b, _ in groups)
-
-
-class Units:
-    """The alignment of every distinct unit seen, so that each is encoded once.
-
-    A unit is what stands between two cuts, with its leading space; the groups of a text are those of its units.
-    Memory is bounded: the table is emptied before a slice once it has passed ``TABLE_BYTES``.
+
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text, num_threads=1)
+
+
+def written_ids(most: int) -> pa.Array:
+    """Every id below ``most`` after each of the ``MARKS``."""
+    return pa.array([f"{m}{i}" for i in range(most) for m in MARKS], pa.string())
+
+
+def lengths(tokens: dict[int, bytes]) -> np.ndarray:
+    """The number of bytes of each id."""
+    out = np.zeros(max(tokens) + 1, np.int32)
+    out[list(tokens)] = [len(t) for t in tokens.values()]
+    return out
+
+
+def encoded(df: DataFrame, text: str, a_file: str, b_file: str, pattern: str, carry: Sequence[str] = ()) -> DataFrame:
+    """``(*carry, a, b)``: little-endian unsigned 32-bit ids of space and text by both tokenizers.
+
+    Both are empty for rows whose text is null, empty, or not spelled by the ids of either side.
+    """
+    def run(batches):
+        left, right = Byte(a_file, pattern), Piece(b_file)
+        spell = right.tokens.__getitem__
+        for batch in batches:
+            a, b = [], []
+            for t in batch.column(0).to_pylist():
+                x = y = ()
+                if t:
+                    body, y = " " + t, right.encode(t)
+                    if b"".join(map(spell, y)) == body.encode("utf-8", "surrogatepass"):
+                        x = left.encode(body)  # spells every text: each byte is a token
+                    else:
+                        y = ()
+                a.append(array("I", x).tobytes())
+                b.append(array("I", y).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=[*batch.schema.names[1:], "a", "b"])
+
+    rows = df.select(F.col(f"`{text}`").cast("string").alias("_align_text"), *[F.col(f"`{c}`") for c in carry])
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carry)
+    return rows.mapInArrow(run, kinds + "a binary, b binary")
+
+
+@dataclass
+class Side:
+    """The ids of consecutive rows by one tokenizer."""
+
+    ids: np.ndarray
+    bounds: np.ndarray  # of the rows among the ids
+    ends: np.ndarray  # of the ids among the rows' bytes, which follow each other
+
+    @classmethod
+    def of(cls, column: pa.Array, sizes: np.ndarray) -> "Side":
+        rows = column.to_pylist()
+        ids = np.frombuffer(b"".join(rows), "<u4").astype(np.int64)
+        return cls(ids, np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int64), np.cumsum(sizes[ids]))
+
+
+class Aligned:
+    """Groups and links of consecutive rows.
+
+    ``at_a`` and ``at_b`` are the end-to-index dictionaries of both sides, addressed by byte offset: where an offset is a key of both, a
+    group ends.  Between two neighbouring keys of either side lie bytes of exactly one id of each, and two overlapping
+    ids share exactly one such stretch, so the stretches of a group are its links.
     """
 
-    def __init__(self, pair: Pair):
-        self.pair = pair
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.held = 0
-        self.texts: list[str] = []
-        self.sizes = np.zeros((0, 4), np.int64)  # a ids, b ids, groups, links
-        self.wrong = np.zeros(0, bool)
-        self.pair_number: dict[int, int] = {}
-        self.keys = np.zeros(0, np.int64)
-        self.first, self.past = np.zeros(0, np.int64), np.zeros(0, np.int64)  # each unit's places in the two below
-        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def full(self) -> bool:
-        return self.held > TABLE_BYTES
-
-    def numbers(self, units: pa.Array) -> np.ndarray:
-        coded = units.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [u for u in distinct if u not in self.number]
-        if new:
-            self._learn(new)
-        if not distinct:
-            return np.zeros(0, np.int64)
-        return np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-
-    def _learn(self, new: list[str]) -> None:
-        sizes, wrong, pairs, times, ends, known = [], [], [], [], [], len(self.pair_number)
-        for unit, (a, b) in zip(new, self.pair.encode(new), strict=True):
-            self.number[unit] = len(self.number)
-            groups = self.pair.aligned(unit, a, b)
-            wrong.append(groups is None)
-            groups = groups or []
-            links: dict[int, int] = {}
-            for x, y in chain.from_iterable(g[2] for g in groups):
-                key = (x << 32) | y
-                links[key] = links.get(key, 0) + 1
-            sizes.append((len(a), len(b), len(groups), sum(links.values())))
-            self.texts.append(spelled(groups))
-            pairs.extend(self.pair_number.setdefault(k, len(self.pair_number)) for k in links)
-            times.extend(links.values())
-            ends.append(len(pairs))
-            self.held += 300 + 4 * len(unit) + len(self.texts[-1]) + 100 * len(links)
-        past = np.array(ends, np.int64) + len(self.pairs)
-        self.first = np.concatenate([self.first, [len(self.pairs)], past[:-1]]).astype(np.int64)
-        self.past = np.concatenate([self.past, past])
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64).reshape(-1, 4)])
-        self.wrong = np.concatenate([self.wrong, np.array(wrong, bool)])
-        self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
-        self.times = np.concatenate([self.times, np.array(times, np.int64)])
-        if len(self.pair_number) > known:
-            more = list(self.pair_number)[known:]
-            self.keys = np.concatenate([self.keys, np.array(more, np.int64)])
-
-    def links_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``pairs`` of the links of the units, and how many each unit has."""
-        sizes = self.past[numbers] - self.first[numbers]
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        return np.arange(starts[-1]) + np.repeat(self.first[numbers] - starts[:-1], sizes), sizes
-
-
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive rows of about ``SLICE_BYTES`` of text."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    def __init__(self, a: Side, b: Side):
+        self.a, self.b = a, b
+        size = int(a.ends[-1]) + 1 if len(a.ends) else 1
+        at_a, at_b = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        at_a[a.ends], at_b[b.ends] = np.arange(len(a.ends)), np.arange(len(b.ends))
+        self.common = np.flatnonzero((at_a >= 0) & (at_b >= 0))  # sorted common keys
+        stretch = np.flatnonzero((at_a >= 0) | (at_b >= 0))
+        self.link_a, self.link_b = (np.cumsum(at[stretch] >= 0) - (at[stretch] >= 0) for at in (at_a, at_b))
+        self.group_a, self.group_b = at_a[self.common].astype(np.int64) + 1, at_b[self.common].astype(np.int64) + 1  # where groups end among the ids
+        offsets = np.concatenate([[0], a.ends])[a.bounds]
+        self.link_bounds, self.group_bounds = np.searchsorted(stretch, offsets, side="right"), np.searchsorted(self.common, offsets, side="right")
+        self.keys = (a.ids[self.link_a] << 32) | b.ids[self.link_b]
+
+    def spelled(self, written: pa.Array) -> pa.Array:
+        """``a1,a2|b1;a3|b2,b3`` of each row: one run of bytes that the rows' bounds cut; ``written`` as of :func:`written_ids`."""
+        a, b = self.a, self.b
+        size_a, size_b = np.diff(self.group_a, prepend=0), np.diff(self.group_b, prepend=0)
+        group_of_a, group_of_b = np.repeat(np.arange(len(size_a)), size_a), np.repeat(np.arange(len(size_b)), size_b)
+        place_a = np.arange(len(a.ids)) + (self.group_b - size_b)[group_of_a]
+        place_b = np.arange(len(b.ids)) + self.group_a[group_of_b]
+        total = len(a.ids) + len(b.ids)
+        number, before = np.zeros(total, np.int64), np.full(total, MARKS.index(","), np.int64)
+        number[place_a], number[place_b] = a.ids, b.ids
+        before[place_a[(self.group_a - size_a)]] = MARKS.index(";")
+        before[place_b[(self.group_b - size_b)]] = MARKS.index("|")
+        bounds = a.bounds + b.bounds
+        before[bounds[:-1][bounds[:-1] < bounds[1:]]] = MARKS.index("")
+        parts = written.take(pa.array(number * len(MARKS) + before))
+        offsets = np.frombuffer(parts.buffers()[1], np.int32)[: total + 1] if total else np.zeros(1, np.int32)
+        data = parts.buffers()[2] if total else pa.py_buffer(b"")
+        return pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(np.ascontiguousarray(offsets[bounds])), data)
+
+
+def slices(batch: pa.RecordBatch, sizes_a: np.ndarray, sizes_b: np.ndarray) -> Iterator[tuple[int, int, Aligned]]:
+    """``(first row, past, alignment)`` of consecutive rows of about ``SLICE_TOKENS`` ids; ``a`` and ``b`` are the last columns."""
+    a, b = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+    ends = np.cumsum(pc.binary_length(a).to_numpy().astype(np.int64)) // 4
     at = 0
-    while at < len(texts):
+    while at < batch.num_rows:
         before = ends[at - 1] if at else 0
-        past = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
-        yield at, past
+        past = max(at + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, side="right")))
+        yield at, past, Aligned(Side.of(a.slice(at, past - at), sizes_a), Side.of(b.slice(at, past - at), sizes_b))
         at = past
 
 
-def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The units of the texts, and where each text's units begin and end; a text without characters has none."""
-    texts = pc.fill_null(texts, "")
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
-    odd = empty | pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-    plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
-    others = [[] if not t else CUT.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
-    sizes = np.zeros(len(texts), np.int64)
-    sizes[~odd], sizes[odd] = pc.list_value_length(plain).to_numpy(), [len(o) for o in others]
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    words = pa.concat_arrays([plain.flatten(), pa.array(list(chain.from_iterable(others)), pa.string())])
-    order = np.argsort(np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]), kind="stable")
-    parted = np.concatenate([sizes[~odd], sizes[odd]])
-    begin = (np.cumsum(parted) - parted)[order]
-    words = words.take(pa.array(np.arange(bounds[-1]) + np.repeat(begin - bounds[:-1], sizes)))
-    return pc.binary_join_element_wise(" ", words, ""), bounds
-
+def per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[bounds])
 
-def _per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0)])
-    return total[bounds[1:]] - total[bounds[:-1]]
 
+def pair_counts(rows: DataFrame, sizes_a: np.ndarray, sizes_b: np.ndarray) -> DataFrame:
+    """``(a, b, n)``: in how many rows of :func:`encoded` the ids are linked at least once.
 
-def pair_counts(df: DataFrame, text: str, a_file: str, b_file: str) -> DataFrame:
-    """``(a, b, n)``: in how many rows the ids are linked at least once.
-
-    A task counts its own rows and sends one row per pair, again each time its bounded table of units is emptied.
+    A task adds up its own rows and sends one row per pair, again each time it holds ``TASK_PAIRS`` of them.
     """
     def run(batches):
-        units = Units(Pair(a_file, b_file))
-        counts = np.zeros(0, np.int64)
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
-        def flushed():
-            at = np.flatnonzero(counts)
-            keys = units.keys[at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(counts[at])], names=["a", "b", "n"]
-            )
+        def sent():
+            keys, n = held
+            return pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(n)], names=["a", "b", "n"])
 
         for batch in batches:
-            for lo, hi in slices(batch.column(0)):
-                if units.full():
-                    yield from flushed()
-                    units.clear()
-                    counts = np.zeros(0, np.int64)
-                words, bounds = cut(batch.column(0).slice(lo, hi - lo))
-                numbers = units.numbers(words)
-                row = np.repeat(np.arange(hi - lo), np.diff(bounds))
-                usable = _per_text(units.wrong[numbers].astype(np.int64), bounds) == 0
-                seen = np.unique(row * len(units.texts) + numbers) if len(numbers) else np.zeros(0, np.int64)
-                row, numbers = np.divmod(seen, max(1, len(units.texts)))
-                row, numbers = row[usable[row]], numbers[usable[row]]
-                places, sizes = units.links_of(numbers)
-                both = np.unique(np.repeat(row, sizes) * max(1, len(units.keys)) + units.pairs[places])
-                counts = np.concatenate([counts, np.zeros(len(units.keys) - len(counts), np.int64)])
-                counts += np.bincount(both % max(1, len(units.keys)), minlength=len(counts)).astype(np.int64)
-        yield from flushed()
-
-    found = df.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "a int, b int, n bigint")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
+            for lo, hi, found in slices(batch, sizes_a, sizes_b):
+                keys, number = np.unique(found.keys, return_inverse=True)
+                row = np.repeat(np.arange(hi - lo), np.diff(found.link_bounds))
+                once = np.unique(row * max(1, len(keys)) + number) % max(1, len(keys))
+                both, at = np.unique(np.concatenate([held[0], keys]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([held[1], np.bincount(once, minlength=len(keys))]), len(both)).astype(np.int64)
+                held = [both, n]
+                if len(both) > TASK_PAIRS:
+                    yield sent()
+                    held = [both[:0], n[:0]]
+        yield sent()
+
+    return rows.select("a", "b").mapInArrow(run, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _ranges(counts: DataFrame, most: int) -> list[tuple[int, int]]:
@@ -248,39 +220,43 @@ def _ranges(counts: DataFrame, most: int) -> list[tuple[int, int]]:
 
 
 def align(
-    df: DataFrame, text: str, a_file: str, b_file: str, carry: Sequence[str] = (), most_pairs: int = SLICE_PAIRS
+    df: DataFrame, text: str, a_file: str, b_file: str, pattern: str, carry: Sequence[str] = (), most_pairs: int = SLICE_PAIRS
 ) -> DataFrame:
     """``(*carry, n_a, n_b, n_groups, n_links, n_best, count_sum, groups)`` of every row.
 
-    Space and text are encoded by a byte-level vocabulary (``a_file``) and by a SentencePiece model that adds the space
-    itself (``b_file``), special tokens' strings being plain text.  Byte offsets where tokens of both end cut the ids into
-    groups (``groups``: ``a1,a2|b1;a3|b2,b3``); ids whose byte ranges overlap are linked.  The count of an id pair is the number of
-    rows that hold it linked: ``count_sum`` adds the counts of the row's links, ``n_best`` counts the links whose count is the
-    highest of their first id, ties included.  Rows whose text is null, empty, or not spelled by the ids of either side (a text
-    that holds the mark character, for one) have zeros and an empty ``groups``, and count nowhere.  Rows are taken as
-    they are: repeated rows and ids count each time, null ids stay, extra columns are dropped unless named in ``carry``.
+    Space and text are encoded by a byte-level vocabulary (``a_file``, its ``pattern`` cuts the text before the merges) and by a
+    SentencePiece model that adds the space itself (``b_file``), special tokens' strings being plain text.  Byte offsets where
+    tokens of both end cut the ids into groups (``groups``: ``a1,a2|b1;a3|b2,b3``); ids whose byte ranges overlap are linked.
+    The count of an id pair is the number of rows that hold it linked: ``count_sum`` adds the counts of the row's
+    links, ``n_best`` counts the links whose count is the highest of their first id, ties included.  Rows whose text is
+    null, empty, or not spelled by the ids of either side (a text that holds the mark character, for one) have zeros
+    and an empty ``groups``, and count nowhere.  Rows are taken as they are: repeated rows and ids count each time, null
+    ids stay, extra columns are dropped unless named in ``carry``.  Very long texts are held whole by their task.
 
-    Texts are cut at lone spaces between other characters, where both tokenizations always end; a distinct unit is encoded and aligned
-    once and reused, so very long texts cost their distinct units.  Only counts are shuffled, one row per pair and
+    The ids are written once (four bytes each) and read twice.  Only counts are shuffled, one row per pair and
     task.  The counts of at most ``most_pairs`` pairs are broadcast at a time, cut by first id, each range to a step of its own
     over the same rows; the steps follow one another within one stage.
     """
-    spark = df.sparkSession
-    rows = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").cast("string").alias("_align_text"))
-    counts = materialize(pair_counts(rows, "_align_text", a_file, b_file))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
-    measures = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
+    sizes_a, sizes_b = lengths(Byte(a_file, pattern).tokens), lengths(Piece(b_file).tokens)
+    rows = materialize(encoded(df, text, a_file, b_file, pattern, carry))
+    counts = materialize(pair_counts(rows, sizes_a, sizes_b))
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in carry)
+    ids, measures = "a binary, b binary", ", ".join(f"{m} bigint" for m in MEASURES)
     ranges = _ranges(counts, most_pairs)
-    out = rows
+    out = rows.select(*[F.col(f"`{c}`") for c in carry], *[F.lit(0).cast("bigint").alias(f"_{m}") for m in MEASURES], "a", "b")
     for step, bounds in enumerate(ranges):
-        keep = step + 1 < len(ranges)
-        schema = (kinds + ", " if kinds else "") + ("_align_text string, " if keep else "") + measures
-        out = out.mapInArrow(_step(spark, counts, bounds, step == 0, keep, len(carry), a_file, b_file), schema)
+        last = step + 1 == len(ranges)
+        out = out.mapInArrow(
+            _step(df.sparkSession, counts, bounds, step == 0, last, len(carry), sizes_a, sizes_b),
+            kinds + measures + (", groups string" if last else ", " + ids),
+        )
     return out
 
 
-def _step(spark: SparkSession, counts: DataFrame, bounds: tuple[int, int], first: bool, keep: bool, width: int, a_file: str, b_file: str):
-    """The task function that adds what the counts of one range of first ids make; the first step also aligns."""
+def _step(
+    spark: SparkSession, counts: DataFrame, bounds: tuple[int, int], first: bool, last: bool, width: int, sizes_a: np.ndarray, sizes_b: np.ndarray
+) -> Callable:
+    """The task function that adds what the counts of one range of first ids make."""
     table = counts.where((F.col("a") >= bounds[0]) & (F.col("a") < bounds[1])).toArrow()
     a, b, n = (table[c].to_numpy().astype(np.int64) for c in ("a", "b", "n"))
     order = np.lexsort((b, a))
@@ -290,42 +266,27 @@ def _step(spark: SparkSession, counts: DataFrame, bounds: tuple[int, int], first
     shared = spark.sparkContext.broadcast(((a << 32) | b, n, n == highest))
 
     def run(batches):
-        keys, count, best = shared.value
-        units = Units(Pair(a_file, b_file))
-        worth = np.zeros((0, 2), np.int64)  # of each unit: links that are best, sum of counts
+        known, count, best = shared.value
+        written = written_ids(max(len(sizes_a), len(sizes_b))) if last else None
         for batch in batches:
-            column = batch.column(width)
-            found = []
-            for lo, hi in slices(column):
-                if units.full():
-                    units.clear()
-                    worth = np.zeros((0, 2), np.int64)
-                words, bounds = cut(column.slice(lo, hi - lo))
-                numbers = units.numbers(words)
-                new = np.arange(len(worth), len(units.texts))
-                places, sizes = units.links_of(new)
-                wanted = units.keys[units.pairs[places]]
-                at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-                hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
-                value = np.zeros((len(wanted), 2), np.int64)
-                value[hit] = (np.stack([best[at], count[at]], 1) * units.times[places][:, None])[hit]
-                worth = np.concatenate([worth, _per_text(value, np.concatenate([[0], np.cumsum(sizes)]))])
-                usable = _per_text(units.wrong[numbers].astype(np.int64), bounds) == 0
-                sums = _per_text(np.concatenate([units.sizes[numbers], worth[numbers]], 1), bounds) * usable[:, None]
-                texts = [
-                    ";".join(map(units.texts.__getitem__, numbers[x:y].tolist())) if ok else ""
-                    for x, y, ok in zip(bounds[:-1], bounds[1:], usable, strict=True)
-                ] if first else [""] * (hi - lo)
-                found.append((sums, pa.array(texts, pa.string())))
-            if not found:
+            sums, texts = [], []
+            for lo, hi, found in slices(batch, sizes_a, sizes_b):
+                keys, number = np.unique(found.keys, return_inverse=True)
+                at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+                hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+                value, top = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+                value[hit], top[hit] = count[at[hit]], best[at[hit]]
+                own = [per_row(top[number], found.link_bounds), per_row(value[number], found.link_bounds)]
+                shape = [np.diff(found.a.bounds), np.diff(found.b.bounds), np.diff(found.group_bounds), np.diff(found.link_bounds)]
+                sums.append(np.stack([*(shape if first else [np.zeros(hi - lo, np.int64)] * 4), *own], 1))
+                if last:
+                    texts.append(found.spelled(written))
+            if not sums:
                 continue
-            sums, texts = np.concatenate([s for s, _ in found]), pa.concat_arrays([t for _, t in found])
-            columns, names = batch.columns[: width + keep], batch.schema.names[: width + keep]
-            if not first:
-                sums[:, :4] = 0
-                sums += np.stack([batch.column(i).to_numpy() for i in range(width + 1, width + 7)], 1)
-                texts = batch.column(width + 7)
-            measured = [pa.array(np.ascontiguousarray(sums[:, i])) for i in range(6)]
-            yield pa.RecordBatch.from_arrays([*columns, *measured, texts], names=[*names, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+            total = np.concatenate(sums) + np.stack([batch.column(i).to_numpy() for i in range(width, width + len(MEASURES))], 1)
+            measured = [pa.array(np.ascontiguousarray(total[:, i])) for i in range(len(MEASURES))]
+            rest = [pa.concat_arrays(texts)] if last else batch.columns[-2:]
+            names = [*batch.schema.names[:width], *MEASURES, *(["groups"] if last else ["a", "b"])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *measured, *rest], names=names)
 
     return run

@@ -117,7 +117,8 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)`` of every document."""
     found = alignment.align(
-        read(spark, sf_dir, "documents"), "text", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"]
+        read(spark, sf_dir, "documents"), "text", public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+        public_tokenizers.PATTERN, ["doc_id"],
     )
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups"), 256))
     return found.withColumn("groups_sha256", digest).drop("groups")
