@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import materialize
 
 MARK = "▁"
-SLICE_TOKENS = 400_000  # ids that are handled together
+SLICE_TOKENS = 200_000  # ids that are handled together
 TASK_PAIRS = 1_000_000  # counted pairs that a task holds before it sends them
 SLICE_PAIRS = 2_000_000  # id pairs whose counts are broadcast together
 MARKS = (",", ";", "|", "")  # before an id of a group, the first id of a group, the first id of its second side, the first id of a row

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, chosen_path, epsilon_grid, langid, maglev, mih, oracle, packing, rollup, suffix, viterbi, whitening, winnowing
+from . import alignment, ann, chosen_path, epsilon_grid, langid, maglev, mih, oracle, packing, rollup, suffix, viterbi, whitening, winnowing
 from .common import materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,13 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the ten nearest found of every embedding whose id is divisible by 100."""
+    embeddings = read(spark, sf_dir, "embeddings")
+    return ann.top_k(embeddings, embeddings.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+
+
 @query
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)`` of every document."""
