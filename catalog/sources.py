@@ -67,6 +67,38 @@ def scan_csv(t):
     return by_type(sp.scan_csv(t.spark, write_text(t, t.sparse, ",", nullValue="NA", escape='"')))
 
 
+TEXT_BY_LANGUAGE = """
+SELECT lang, source, count(*) AS n, sum(length(text)) AS characters, sum(n_chars) AS declared, min(md5(text)) AS least, max(md5(text)) AS most,
+       sum(len(text) - len(replace(text, chr(10), ''))) AS line_breaks
+FROM documents GROUP BY lang, source"""
+
+
+def by_language(df):
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return df.groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("characters"), F.sum("n_chars").alias("declared"),
+        F.min(F.md5("text")).alias("least"), F.max(F.md5("text")).alias("most"), F.sum(breaks).alias("line_breaks"),
+    )
+
+
+def written_documents(t, sep):
+    folder = t.scratch() + "/data"
+    options = {"header": True, "sep": sep, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    t.documents.select("doc_id", "lang", "source", "text", "n_chars").write.options(**options).csv(folder)
+    return folder
+
+
+@query("scan_csv_splits", TEXT_BY_LANGUAGE)
+def scan_csv_splits(t):
+    """Cells with line breaks, read by many tasks a file."""
+    return by_language(sp.scan_csv(t.spark, written_documents(t, ","), split=1 << 18))
+
+
+@query("scan_tsv_splits", TEXT_BY_LANGUAGE)
+def scan_tsv_splits(t):
+    return by_language(sp.scan_tsv(t.spark, written_documents(t, "\t"), split=1 << 18))
+
+
 @query("scan_tsv", SPARSE_BY_TYPE)
 def scan_tsv(t):
     return by_type(sp.load_dataset(t.spark, write_text(t, t.sparse, "\t", nullValue="N/A", escape='"'), "tsv"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.columns import STRING, col, columns_of, stack
 from ..operators.quality import duplicate_names, unnamed_columns
 from .arrow import register as register_arrow
+from .delimited import largest_file, read_in_splits, split_bytes
 
 # Suffixes, null tokens, rows the type inference looks at.
 FORMATS = {
@@ -55,14 +56,21 @@ def load_dataset(
     return df.select(*[col(c) for c in columns if c in df.columns]) if columns else df
 
 
-def scan_text(spark: SparkSession, path: str, sep: str = ",", **options) -> DataFrame:
+def scan_text(spark: SparkSession, path: str, sep: str = ",", split: int | None = None, **options) -> DataFrame:
     """Delimited text as strings, null tokens already null; malformed rows raise.
 
-    Quoted cells may hold separators, doubled quotes and line breaks.  Records with line breaks cannot be found from the middle of a
-    file, so a file is one task; ``multiLine=False`` reads files without such records in splits.
+    Quoted cells may hold separators, doubled quotes and line breaks.  Files larger than one split (``split`` bytes, Spark's
+    ``spark.sql.files.maxPartitionBytes`` if not given) are read by many tasks (:mod:`.delimited`), smaller ones whole, with equal results.  Other
+    encodings than UTF-8, escapes other than the doubled quote and an explicit ``multiLine=True`` read whole files;
+    ``multiLine=False`` takes every line for a record.
     """
     settings = {"header": True, "sep": sep, "mode": "FAILFAST", "quote": '"', "escape": '"', "multiLine": True, **options}
     raw = spark.read.options(**settings).csv(path)
+    plain = not {"multiLine", "encoding", "charset", "lineSep", "schema", "comment"} & set(options) and settings["escape"] == settings["quote"] != ""
+    if plain and settings["mode"] == "FAILFAST" and largest_file(spark, path) > (split or split_bytes(spark)):
+        extra = {k: v for k, v in options.items() if k not in ("header", "sep", "mode", "quote", "escape")}
+        header = str(settings["header"]).lower() == "true"
+        raw = read_in_splits(spark, path, raw.columns, sep, settings["quote"], header, extra, split)
     return raw.select(*[F.when(~col(c).isin(NULL_TOKENS), col(c)).alias(c) for c in raw.columns])
 
 
