@@ -114,7 +114,9 @@ def near_duplicates(
     Rows with equal, non-null labels link when their cosine in double precision is at least ``cosine``; ``n_links``
     counts the other rows linked directly, ``component_id`` is the smallest id reachable over links, ``kept`` marks the row with
     that id.  Vectors of different widths do not link; each width is joined on its own.  Vectors that are null, empty, zero,
-    or hold null or non-finite components, and rows with a null label, link with nothing.  Ids must be distinct.
+    or hold null or non-finite components, and rows with a null label, link with nothing.  Rows are numbered first, so that rows of
+    one id, or without an id, are told apart: each row has a row of its own in the result, and each row linked to counts.
+    Null ids are no smallest id unless a component has no other (``component_id`` is null then).
 
     Equal vectors of a label are one entry with a count.  Entries are sorted by label and the grid cells of their leading
     principal coordinates (cell width: the radius that the cosine means) and cut into blocks of consecutive entries.
@@ -122,22 +124,26 @@ def near_duplicates(
     they touch, and every pair of blocks is joined recursively in one task.  A task returns each row's number of links and a
     spanning forest, never the pairs, so a large group of near copies costs rows in proportion to its blocks.
     """
-    rows = df.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{vector}`").alias("v"))
-    sized = rows.where("label IS NOT NULL AND size(v) > 0")
+    rows = materialize(df.select(
+        F.monotonically_increasing_id().alias("id"), F.col(f"`{id_column}`").cast("bigint").alias("vec_id"), F.col(f"`{label}`").cast("string").alias("label"),
+        F.col(f"`{vector}`").alias("v"),
+    ))
+    sized = rows.where("label IS NOT NULL AND size(v) > 0").select("id", "label", "v")
     linked = None
     for r in sized.groupBy(F.size("v").alias("w")).count().collect():  # one row per width
         own = sized.where(F.size("v") == r["w"])
         part = settled(df.sparkSession, lambda own=own, width=r["w"]: _linked(own, width, cosine, dimensions, block))
         linked = part if linked is None else linked.unionByName(part)
-    out = rows.select("id")
+    out = rows.select("id", "vec_id")
     if linked is None:
-        out = out.withColumns({"n_links": F.lit(None).cast("bigint"), "component_id": F.lit(None).cast("bigint")})
+        named = out.withColumns({"n_links": F.lit(0).cast("bigint"), "component_id": F.col("vec_id")})
     else:
-        out = out.join(linked, "id", "left")
-    group = F.coalesce("component_id", "id")
-    return out.select(
-        F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), group.alias("component_id"), (group == F.col("id")).alias("kept")
-    )
+        placed = materialize(out.join(linked.withColumnRenamed("component_id", "component"), "id", "left"))
+        names = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("vec_id").alias("least"))
+        named = placed.join(names, "component", "left").select(
+            "vec_id", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("least")).alias("component_id"),
+        )
+    return named.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _linked(rows: DataFrame, width: int, cosine: float, dimensions: int, block: int) -> DataFrame:

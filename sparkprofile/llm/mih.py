@@ -85,50 +85,53 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     one candidate.  The index has a row per segment and distinct code.  In round r every unfinished query looks
     up the segment values at distance r; all codes nearer than m * (r + 1), with m segments, have then been met, so a
     query is finished when its k-th verified distance is below that, or when no value is left to look up.
-    Fewer than k other rows give fewer rows.  Ids must be distinct.
+    Fewer than k other rows give fewer rows.  Rows of equal id and code are one; rows of one id and several codes ask and answer by
+    each of them, and only a row's own code does not answer it.  A null id counts as the smallest.
     """
     return settled(codes.sparkSession, lambda: _search(codes, queries, k))
 
 
 def _search(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The rounds of :func:`top_k`."""
-    rows = codes.where("code IS NOT NULL")
+    rows = codes.where("code IS NOT NULL").select("id", "code").distinct()
     least = Window.partitionBy("code").orderBy("id")
     entries = materialize(
         rows.withColumn("n", F.row_number().over(least)).where(F.col("n") <= k + 1)
-        .groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("first", F.get("ids", F.lit(0)))
+        .groupBy("code").agg(F.transform(F.sort_array(F.collect_list(F.struct("id"))), lambda x: x["id"]).alias("ids")).withColumn("first", F.get("ids", F.lit(0)))
     )
     segments = segments_for(entries.count())
     pieces = F.array(*[F.struct(F.lit(i).alias("s"), _segment(F.col("code"), a, w).alias("value")) for i, (a, w) in enumerate(segments)])
     index = materialize(entries.select("code", "first", F.explode(pieces).alias("p")).select("p.s", "p.value", "code", "first"))
     asked = materialize(queries.where("code IS NOT NULL").select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct())
     open_queries, best, radius = asked, None, 0
+    asks = ["query_id", "query"]
     done = []
-    nearest = Window.partitionBy("query_id").orderBy("distance", "first")
+    nearest = Window.partitionBy(*asks).orderBy("distance", "first")
     while True:
         near = [(a, w) if radius <= w else (a, 0) for a, w in segments]
         if not any(w for _, w in near):
-            done.append(best.join(open_queries.select("query_id"), "query_id"))
+            done.append(best.join(open_queries, asks))
             break
         probes = _probes(open_queries, near, radius)
-        met = probes.join(index, ["s", "value"]).select(
-            "query_id", "code", "first", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance")
+        # Spark cannot know how many probes a query makes: no broadcast of them
+        met = probes.hint("merge").join(index, ["s", "value"]).select(
+            *asks, "code", "first", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance")
         )
         if best is not None:
-            met = met.union(best.join(open_queries.select("query_id"), "query_id").select("query_id", "code", "first", "distance"))
+            met = met.union(best.join(open_queries, asks).select(*asks, "code", "first", "distance"))
         # k + 1 codes hold the k nearest other rows: each code has at least one row, one of them may be the query
         best = materialize(
             met.distinct().withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).drop("n")
         )
-        ranked = best.join(entries.select("code", "ids"), "code").select("query_id", "distance", F.explode("ids").alias("neighbor_id"))
-        ranked = ranked.where("neighbor_id <> query_id")
-        found = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list("distance")).alias("d")).select(
-            "query_id", F.get("d", F.lit(k - 1)).alias("kth")
+        ranked = best.join(entries.select("code", "ids"), "code").select(*asks, "distance", F.explode("ids").alias("neighbor_id"))
+        ranked = ranked.where("NOT (neighbor_id <=> query_id AND distance = 0)")
+        found = ranked.groupBy(*asks).agg(F.sort_array(F.collect_list("distance")).alias("d")).select(
+            *asks, F.get("d", F.lit(k - 1)).alias("kth")
         )
         covered = len(segments) * (radius + 1) - 1
-        closed = materialize(found.where(F.col("kth") <= covered).select("query_id"))
-        done.append(best.join(closed, "query_id", "left_semi"))
-        open_queries = materialize(open_queries.join(closed, "query_id", "left_anti"))
+        closed = materialize(found.where(F.col("kth") <= covered).select(*asks))
+        done.append(best.join(closed, asks, "left_semi"))
+        open_queries = materialize(open_queries.join(closed, asks, "left_anti"))
         radius += 1
         if open_queries.isEmpty():
             break
@@ -136,9 +139,9 @@ def _search(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     for d in done:
         if d is not None:
             found = d if found is None else found.unionByName(d)
-    order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+    order = Window.partitionBy(*asks).orderBy("distance", "neighbor_id")
     return (
-        found.join(entries.select("code", "ids"), "code").select("query_id", "distance", F.explode("ids").alias("neighbor_id"))
-        .where("neighbor_id <> query_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found.join(entries.select("code", "ids"), "code").select(*asks, "distance", F.explode("ids").alias("neighbor_id"))
+        .where("NOT (neighbor_id <=> query_id AND distance = 0)").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("query_id", "neighbor_id", "distance", "rank")
     )

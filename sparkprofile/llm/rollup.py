@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import new_folder
 
 KEYS = ("source", "lang", "tokenizer")
 STATE = "doc_id bigint, source string, lang string, tokenizer string, tokens bigint"
+MARKER, COMPACTED = "commit-", "compacted"
 TOTALS = "source string, lang string, tokenizer string, documents bigint, tokens bigint"
 
 
@@ -62,9 +65,9 @@ def signed_changes(before: DataFrame | None, after: DataFrame | None) -> DataFra
 class TokenLedger:
     """The committed batches of signed changes below one shared folder.
 
-    A batch is written to a folder of its own and then renamed to ``batch-<id>``, which one file system call does:
-    it is there whole or not at all, whatever is lost meanwhile.  A batch that is already there is left alone, so
-    that committing it again changes nothing.
+    A batch is written to a folder of its own, whose name then goes into the marker ``commit-<id>``.  A marker is created only
+    if there is none (one file system call), so of several writers of one id exactly one commits, and committing an id
+    again changes nothing; a batch without a marker, or with one that is still empty, is not there yet.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
@@ -77,42 +80,66 @@ class TokenLedger:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
+    def _marked(self) -> dict[str, str]:
+        """The data folder of every committed id."""
+        out = {}
+        for f in self._fs.listStatus(self._path(".")):
+            name = f.getPath().getName()
+            if name.startswith(MARKER):
+                stream = self._fs.open(f.getPath())
+                try:
+                    out[name.removeprefix(MARKER)] = bytes(stream.readAllBytes()).decode()
+                finally:
+                    stream.close()
+        return {i: d for i, d in out.items() if d}
+
+    def _mark(self, batch_id: str, data: str) -> bool:
+        """Create the marker; False if another one is there."""
+        target = self._path(MARKER + batch_id)
+        try:
+            stream = self._fs.create(target, False)
+        except Py4JJavaError:
+            if self._fs.exists(target):
+                return False
+            raise
+        stream.write(data.encode())
+        stream.close()
+        return True
+
     def batches(self) -> list[str]:
-        """The ids committed so far."""
-        found = self._fs.listStatus(self._path("."))
-        names = [f.getPath().getName() for f in found]
-        return sorted(n.removeprefix("batch-") for n in names if n.startswith("batch-"))
+        """The ids committed so far, those of compacted batches included."""
+        return sorted(self._marked())
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch; False if it had been committed before."""
         if not batch_id or "/" in batch_id:
             raise ValueError("a batch id is a name without slashes")
-        target = self._path(f"batch-{batch_id}")
-        if self._fs.exists(target):
+        if self._fs.exists(self._path(MARKER + batch_id)):
             return False
-        staged = new_folder(self.spark, "staged")
-        changes.select(*KEYS, "documents", "tokens").write.parquet(staged)
-        source = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
-        # a rename onto a folder that another writer made meanwhile would move into it: look once more
-        if self._fs.exists(target):
-            self._fs.delete(source, True)
-            return False
-        if not self._fs.rename(source, target):
-            raise OSError(f"could not commit batch {batch_id}")
-        return True
+        data = f"data-{uuid.uuid4().hex}"
+        changes.select(*KEYS, "documents", "tokens").write.parquet(f"{self.folder}/{data}")
+        if self._mark(batch_id, data):
+            return True
+        self._fs.delete(self._path(data), True)
+        return False
 
     def totals(self) -> DataFrame:
         """``(source, lang, tokenizer, documents, tokens)`` after all batches; keys without documents are left out."""
-        ids = self.batches()
-        if not ids:
+        folders = sorted({d for d in self._marked().values() if d != COMPACTED})
+        if not folders:
             return self.spark.createDataFrame([], TOTALS)
-        rows = self.spark.read.schema(TOTALS).parquet(*[f"{self.folder}/batch-{i}" for i in ids])
+        rows = self.spark.read.schema(TOTALS).parquet(*[f"{self.folder}/{d}" for d in folders])
         return rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where(
             "documents <> 0 OR tokens <> 0"
         )
 
     def compact(self, batch_id: str) -> "TokenLedger":
-        """A new ledger whose only batch holds the totals of this one."""
+        """A new ledger with the totals of this one in one batch; every id committed here counts as committed there."""
+        before = self.batches()
+        if batch_id in before:
+            raise ValueError(f"batch {batch_id} is there already")
         out = TokenLedger(self.spark)
         out.commit(batch_id, self.totals())
+        for i in before:
+            out._mark(i, COMPACTED)
         return out
