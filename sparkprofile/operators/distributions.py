@@ -16,7 +16,7 @@ from ..functions.normal import log_normal_tail, normal_cdf, normal_quantile, wit
 from ..functions.session import materialize
 from ..functions.special import gamma_cdf, gamma_shape_mle, ks_p_value, shapiro_test
 from . import frequency as fq
-from .quantiles import long_quantiles
+from .quantiles import long_quantiles, wide_quantiles
 
 # Significance level, size limits of the tests, plot defaults, type rules.
 ALPHA = 0.05
@@ -72,7 +72,7 @@ def moments_pop(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def quartiles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, min, q25, median, q75, max, iqr)``."""
     names = numeric_columns(df, columns)
-    table = long_quantiles(numeric_long(df, names), (0.0, 0.25, 0.5, 0.75, 1.0))
+    table = wide_quantiles(df, names, (0.0, 0.25, 0.5, 0.75, 1.0))
     return name_rows(df, names, table).select(
         "column", F.col("q0").alias("min"), "q25", F.col("q50").alias("median"), "q75",
         F.col("q100").alias("max"), (F.col("q75") - F.col("q25")).alias("iqr"),

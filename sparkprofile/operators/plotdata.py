@@ -11,7 +11,7 @@ from ..functions.normal import normal_quantile
 from . import frequency as fq
 from .distributions import finite, kde, quartiles
 from .outliers import IQR_FACTOR
-from .quantiles import long_quantiles
+from .quantiles import wide_quantiles
 from .sampling import uniform_sample
 
 # Sample sizes of the plots, bars shown.
@@ -29,7 +29,7 @@ def box_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """
     names = numeric_columns(df, columns)
     long = numeric_long(df, names)
-    levels = long_quantiles(long, (0.25, 0.5, 0.75))
+    levels = wide_quantiles(df, names, (0.25, 0.5, 0.75))
     reach = IQR_FACTOR * (F.col("q75") - F.col("q25"))
     x = F.col("x")
     inside = x.between(F.col("q25") - reach, F.col("q75") + reach)

@@ -2,7 +2,7 @@
 
 A quantile needs one or two order statistics.  Spark's ``percentile`` keeps every distinct value of
 a column in one buffer and a global sort moves the whole table, so the order statistics are
-*selected* instead:
+*selected* instead: quantiles by counting bits (:mod:`.radix`), and quantiles together with median deviations so:
 
 1. one pass builds a mergeable sketch per column (``percentile_approx`` on a grid of levels); its
    cuts bound the ranks of all values, and the driver derives an interval for each order statistic;
@@ -11,7 +11,7 @@ a column in one buffer and a global sort moves the whole table, so the order sta
 
 Intervals that may hold too many distinct values are first narrowed by a sketch of their inside:
 at 1e12 rows that is one more pass.  The sketch only steers; the result is exact, and a rank that
-its interval misses is searched again over the whole value range.
+its interval misses is selected by its bits.
 """
 
 from __future__ import annotations
@@ -24,17 +24,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import name_rows, numeric_columns, numeric_long
 from ..functions.session import materialize
+from .radix import quantile_name, quantile_table, quantile_values, wide
 
 SKETCH_ACCURACY = 2_000
 SKETCH_CUTS = 1_000
 NARROW_ACCURACY = 20_000
 NARROW_CUTS = 10_000
 # Distinct values one interval may hold when it is read off.
-INTERVAL_VALUES = 4_000_000
-
-
-def quantile_name(p: float) -> str:
-    return "q" + f"{p * 100:g}".replace(".", "_")
+INTERVAL_VALUES = 200_000
 
 
 class RankBounds:
@@ -194,8 +191,10 @@ class Selection:
         intervals = {c: _merge(self._wanted(c)[0]) for c in self.bounds}
         self._read_values(intervals)
         missed = [c for c in self.bounds if c not in self.values]
-        if missed:  # a bound did not hold: look over the whole range, where no rank can be missed
-            self._read_values({c: [(self.bounds[c].low, self.bounds[c].high)] for c in missed})
+        if missed:  # a bound did not hold
+            levels = [*self.probabilities, 0.5]
+            found = quantile_values(self.present.where(F.col("column_id").isin(missed)).select("column_id", "x"), levels)
+            self.values.update({c: v[:-1] for c, v in found.items()})
         if self.deviation:
             self._finish_deviations()
 
@@ -335,8 +334,7 @@ class Selection:
         long = self.present.join(F.broadcast(medians), "column_id").select(
             "column_id", F.abs(F.col("x") - F.col("median")).alias("x")
         )
-        again = Selection(long, (0.5,), interval_values=self.interval_values)
-        self.deviations.update({c: v[0] for c, v in again.values.items()})
+        self.deviations.update({c: v[0] for c, v in quantile_values(long, (0.5,)).items()})
 
     def table(self) -> DataFrame:
         """``(column_id, q25, ...)``, with ``mad`` and ``mean, std`` when they were asked for."""
@@ -350,7 +348,12 @@ class Selection:
 
 def long_quantiles(long: DataFrame, probabilities: Sequence[float]) -> DataFrame:
     """``(column_id, q25, q50, ...)`` of the non-null x in ``long(column_id, x)``, by linear interpolation."""
-    return Selection(long, probabilities).table()
+    return quantile_table(long.select("column_id", "x"), probabilities)
+
+
+def wide_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
+    """``(column_id, q25, q50, ...)`` of numeric columns, numbered as listed."""
+    return quantile_table(wide(df, columns), probabilities)
 
 
 def quantiles(
@@ -361,8 +364,8 @@ def quantiles(
 ) -> DataFrame:
     """``(column, q25, q50, q75)`` per numeric column; ``approx=True`` is a single sketch pass."""
     names = numeric_columns(df, columns)
-    long = numeric_long(df, names)
     if approx:
+        long = numeric_long(df, names)
         cut = F.percentile_approx("x", F.array(*[F.lit(float(p)) for p in probabilities]), F.lit(10_000))
         table = (
             long.groupBy("column_id")
@@ -370,5 +373,5 @@ def quantiles(
             .select("column_id", *[F.col("q")[i].alias(quantile_name(p)) for i, p in enumerate(probabilities)])
         )
     else:
-        table = long_quantiles(long, probabilities)
+        table = wide_quantiles(df, names, probabilities)
     return name_rows(df, names, table).drop("column_id")

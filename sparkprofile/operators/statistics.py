@@ -11,7 +11,7 @@ from ..functions.columns import (
     percent, ratio, select_columns, stack, type_class,
 )
 from . import frequency as fq
-from .quantiles import long_quantiles
+from .quantiles import wide_quantiles
 
 # Fixed value: largest distinct share of a categorical column.
 CATEGORICAL_RATIO = 0.05
@@ -94,7 +94,7 @@ def numeric_stats(
     table = name_rows(
         df, names,
         moment_ids(long),
-        long_quantiles(long, (0.25, 0.5, 0.75)),
+        wide_quantiles(df, names, (0.25, 0.5, 0.75)),
         numeric_modes(df, names) if frequency is None else fq.modes(frequency, "x"),
     )
     return numeric_result(table)
