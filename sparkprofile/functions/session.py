@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .columns import col
 
 _made: dict[str, list[str]] = {}  # by application: the folders of its intermediate tables
+_names: dict[str, str] = {}  # by folder: the catalog table that stands for it
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,16 +30,35 @@ def shared_folder(spark: SparkSession) -> str:
     return "file:" + tempfile.mkdtemp(prefix="sparkprofile-")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own below the shared one."""
+def new_folder(spark: SparkSession, name: str, table: bool = False) -> str:
+    """A folder of its own below the shared one; ``table`` if a catalog table of that name will stand for it."""
     folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _made.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    if table:
+        _names[folder] = name
     return folder
 
 
 def made_tables(spark: SparkSession) -> int:
     """How many intermediate tables this application has made and not dropped."""
-    return len(_made.get(spark.sparkContext.applicationId, []))
+    return len(made_folders(spark))
+
+
+def made_folders(spark: SparkSession, since: int = 0) -> list[str]:
+    """The folders of the intermediate tables from number ``since`` on."""
+    return _made.get(spark.sparkContext.applicationId, [])[since:]
+
+
+def drop_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Delete these intermediate tables, with the catalog tables that stand for them."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        if folder in _names:
+            spark.sql(f"DROP TABLE IF EXISTS `{_names.pop(folder)}`")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in made:
+            made.remove(folder)
 
 
 def drop_tables(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
@@ -46,12 +66,8 @@ def drop_tables(spark: SparkSession, since: int = 0, until: int | None = None) -
 
     Results that were not written or collected before cannot be computed any more afterwards.
     """
-    folders = _made.get(spark.sparkContext.applicationId, [])
-    chosen = folders[since:until]
-    for folder in chosen:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    del folders[since:until]
+    chosen = _made.get(spark.sparkContext.applicationId, [])[since:until]
+    drop_folders(spark, chosen)
     return len(chosen)
 
 
