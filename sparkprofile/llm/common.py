@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.session import drop_tables, made_tables, materialize, new_folder, shared_folder
+from ..functions.session import drop_folders, drop_tables, made_folders, made_tables, materialize, new_folder, shared_folder
 
 __all__ = [
-    "WordIds", "components", "drop_tables", "grouped", "hash64", "made_tables", "materialize", "mix64", "new_folder", "read", "settled", "shared_folder", "small", "small_batches",
+    "WordIds", "components", "drop_folders", "drop_tables", "grouped", "hash64", "made_folders", "made_tables", "materialize", "mix64", "new_folder", "read", "settled", "shared_folder", "small", "small_batches",
     "tasks", "text_slices", "words",
 ]
 

@@ -259,7 +259,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     chosen = rows.join(classes, ["_id", "_text_t", "_text_u"]).select("rep", "weight", "text")
     # one copy of each text, stored by rep once, so that no later round moves texts
     name = f"repeats_{uuid.uuid4().hex}"
-    (chosen.dropDuplicates(["rep"]).write.bucketBy(tasks(spark), "rep").sortBy("rep").option("path", new_folder(spark, name)).format("parquet").saveAsTable(name))
+    (chosen.dropDuplicates(["rep"]).write.bucketBy(tasks(spark), "rep").sortBy("rep").option("path", new_folder(spark, name, table=True)).format("parquet").saveAsTable(name))
     texts = spark.table(name)
     spans = settled(spark, lambda: repeated_spans(texts, length))
     lists = spans.groupBy("rep").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
