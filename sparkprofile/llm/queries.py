@@ -107,7 +107,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text", "text")
     documents = documents.toDF("doc_id", "text", "original")
     removed = F.aggregate("removed_runs", F.lit(0).cast("bigint"), lambda n, r: n + (r["past"] - r["first"]).cast("bigint"))
-    return winnowing.line_dedup(documents).select(
+    return winnowing.line_dedup(documents, long_words=winnowing.LONG_WORDS).select(
         "doc_id", F.size(F.split(F.coalesce("original", F.lit("")), "\n", -1)).cast("bigint").alias("n_lines"),
         removed.alias("n_removed"), F.size("removed_runs").cast("bigint").alias("n_runs"), F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"),
     )
@@ -139,5 +139,5 @@ def op13_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE |= {
     "op4_chosen_path": oracle.NEAR_DUPLICATES, "op5_multi_index_hashing": oracle.TOP_K_CODES, "op6_rank_doubling": oracle.REPEATED_BYTES,
-    "op9_epsilon_grid_order": oracle.NEAR_VECTORS, "op10_winnowing": winnowing.oracle(),
+    "op9_epsilon_grid_order": oracle.NEAR_VECTORS, "op10_winnowing": winnowing.oracle(long_words=winnowing.LONG_WORDS),
 }
