@@ -102,10 +102,10 @@ def repeated_runs(
         F.max("_line_print").alias("p1"), F.min("place").alias("s0"), F.max("place").alias("s1"),
     )
     marks = materialize(seen.where("i0 < i1 OR p0 < p1 OR s0 < s1").select("mark"))
-    windows = _extended(positions.join(marks, "mark", "left_semi"), window, long_words)
+    windows = _extended(positions.join(marks.hint("merge"), "mark", "left_semi"), window, long_words)
     at = F.struct(*_KEY, "start")
     first = materialize(windows.groupBy("a", "b").agg(F.min(at).alias("at"), F.max(at).alias("last")).where("at < last").select("a", "b", "at"))
-    later = windows.join(first, ["a", "b"]).where(at > F.col("at")).select(*_KEY, "start", (F.col("start") + F.col("width")).alias("past"))
+    later = windows.join(first.hint("merge"), ["a", "b"]).where(at > F.col("at")).select(*_KEY, "start", (F.col("start") + F.col("width")).alias("past"))
     order = Window.partitionBy(*_KEY).orderBy("start")
     runs = later.withColumn("new", F.coalesce((F.col("start") > F.max("past").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("new").over(order))
@@ -133,7 +133,8 @@ def line_dedup(
         *[F.col(f"`{c}`") for c in kept],
         F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(_LEAST)).alias("_line_id"), F.xxhash64(body).alias("_line_print"),
     )
-    joined = keyed.join(lists, _KEY, "left")
+    # the lists grow with the texts, so this is a shuffle at every size and never a broadcast, like the joins above
+    joined = keyed.join(lists.hint("merge"), _KEY, "left")
     lines = F.split(F.col(f"`{text}`"), f"\\Q{separator}\\E", -1)
     gaps = F.arrays_zip(
         F.concat(F.array(F.lit(0)), F.col("_line_runs.past")).alias("lo"), F.concat(F.col("_line_runs.first"), F.array(F.size("_line_list"))).alias("hi")
