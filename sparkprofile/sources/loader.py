@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.columns import STRING, col, columns_of, stack
 from ..operators.quality import duplicate_names, unnamed_columns
-from .arrow import register as register_arrow
+from .arrow import read_arrow
 from .delimited import largest_file, read_in_splits, split_bytes
 
 # Suffixes, null tokens, rows the type inference looks at.
@@ -52,6 +52,8 @@ def load_dataset(
     }
     if kind not in readers:
         raise ValueError(f"unknown format {kind}")
+    if readers[kind] is scan_arrow and columns:
+        options = {"columns": columns, **options}
     df = readers[kind](spark, path, **options)
     return df.select(*[col(c) for c in columns if c in df.columns]) if columns else df
 
@@ -137,10 +139,17 @@ def scan_json(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.options(multiLine=True, **options).json(path)
 
 
-def scan_arrow(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Arrow IPC files; one input partition per record batch."""
-    register_arrow(spark)
-    return spark.read.format("arrow_ipc").options(**options).load(path)
+def scan_arrow(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, split: int | None = None, filters: Sequence[tuple] = ()
+) -> DataFrame:
+    """Arrow IPC files, read in runs of record batches: a partition has one batch at least and about ``split`` bytes at most.
+
+    Without ``split`` there are as many partitions as cores, or more where they would pass ``spark.sql.files.maxPartitionBytes``.
+    Only ``columns`` are read if given; names that are not there are left out.  ``filters`` are ``(column, test, value)`` with
+    the tests ``=``, ``<``, ``<=``, ``>``, ``>=``, ``in``, ``is null`` and ``is not null``; rows must pass all of them, as Spark
+    compares, and a batch is read whole only if a row of it may pass.
+    """
+    return read_arrow(spark, path, columns, split, filters)
 
 
 def invalid_utf8_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -102,3 +102,87 @@ def test_quoted_cells(spark, tmp_path):
 def test_types_come_from_all_rows(spark, tmp_path):
     path = write(tmp_path / "n.csv", "a\n" + "1\n" * 12_000 + "1.5\n")
     assert sp.scan_csv(spark, path).dtypes == [("a", "double")]
+
+
+def arrow_file(path, first, rows, batches=4):
+    schema = pa.schema([("a", pa.int64()), ("x", pa.float64()), ("s", pa.string())])
+    with pa.ipc.new_file(str(path), schema) as sink:
+        for k in range(batches):
+            a = list(range(first + k * rows, first + (k + 1) * rows))
+            x = [None if i % 5 == 0 else float("nan") if i % 7 == 0 else i / 2 for i in a]
+            sink.write_batch(pa.record_batch([pa.array(a, pa.int64()), pa.array(x, pa.float64()), pa.array([f"s{i % 3}" for i in a])], schema=schema))
+    return str(path)
+
+
+def test_arrow_filters_read_fewer_batches(tmp_path):
+    from pyspark.sql import types as T
+    from sparkprofile.sources.arrow import ArrowReader
+
+    path = arrow_file(tmp_path / "a.arrow", 0, 10)
+    schema = T.StructType().add("a", "long").add("x", "double").add("s", "string")
+
+    def read(*filters):
+        reader = ArrowReader([[path, 1000, 4]], schema, 1, filters)
+        found = [[r for b in reader.read(p) for r in b.to_pylist()] for p in reader.partitions()]
+        return [len(f) for f in found], [r["a"] for f in found for r in f]
+
+    assert read()[0] == [10, 10, 10, 10]
+    assert read(("a", ">", 35)) == ([0, 0, 0, 4], [36, 37, 38, 39])
+    assert read(("a", "in", [3, 12, None])) == ([1, 1, 0, 0], [3, 12])
+    assert read(("s", "=", "none"))[0] == read(("a", "=", None))[0] == [0, 0, 0, 0]
+    assert read(("x", "is null")) == read(("x", "is null"), ("a", ">=", 0)) == ([2, 2, 2, 2], list(range(0, 40, 5)))
+    assert read(("x", ">", 19.0))[1] == [7, 14, 21, 28, 39]  # NaN is larger than any number
+    assert len(read(("x", "<=", float("nan")))[1]) == len(read(("a", "<", 0.5))[1]) == 40  # left to Spark
+    assert len(ArrowReader([[path, 1000, 4]], schema, 500).partitions()) == 2
+
+
+def test_arrow_filters_compare_as_spark(spark, tmp_path):
+    """Single precision is compared in double precision; a text is not a number."""
+    batch = pa.record_batch([pa.array([0.1, 0.2, None], pa.float32()), pa.array(["05", "5", "x"])], names=["f", "s"])
+    with pa.ipc.new_file(str(tmp_path / "f.arrow"), batch.schema) as sink:
+        sink.write_batch(batch)
+    for filters, rows in [([("f", ">", 0.1)], 2), ([("f", "=", 0.1)], 0), ([("f", "<=", 1)], 2), ([("s", "in", ["05", "5"])], 2)]:
+        assert sp.scan_arrow(spark, str(tmp_path), filters=filters).count() == rows, filters
+
+
+def test_arrow_filters_give_what_spark_gives(spark, tmp_path):
+    arrow_file(tmp_path / "a.arrow", 0, 10)
+    arrow_file(tmp_path / "b.arrow", 40, 10)
+    (tmp_path / "notes.txt").write_text("not read")
+    df = sp.scan_arrow(spark, str(tmp_path))
+    rows = df.collect()
+    assert len(rows) == 80 and df.rdd.getNumPartitions() == 8
+    plain = spark.createDataFrame(rows, df.schema)
+    nan = float("nan")
+    for filters, test in [
+        ([("a", ">", 70), ("x", "is not null")], "a > 70 AND x IS NOT NULL"), ([("x", ">", 30.0)], "x > 30"), ([("x", "=", nan)], "isnan(x)"),
+        ([("x", "<=", nan)], "x IS NOT NULL"), ([("s", "=", "s1"), ("a", "<=", 12)], "s = 's1' AND a <= 12"), ([("a", "in", [1, 41, 99])], "a IN (1, 41, 99)"),
+        ([("a", "<", 1.5)], "a < 1.5"), ([("x", "in", [0.5, nan])], "x = 0.5 OR isnan(x)"),
+    ]:
+        found = sp.scan_arrow(spark, str(tmp_path), filters=filters)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.where(test).collect())), test
+        assert df.where("a = 3 OR s = 's1'").count() == plain.where("a = 3 OR s = 's1'").count()
+    assert sp.scan_arrow(spark, str(tmp_path), columns=["s"], filters=[("a", "=", 4)]).collect() == [("s1",)]
+    assert sp.load_dataset(spark, str(tmp_path / "a.arrow"), columns=["s", "missing"]).dtypes == [("s", "string")]
+    with pytest.raises(ValueError, match="unknown test"):
+        sp.scan_arrow(spark, str(tmp_path), filters=[("a", "like", 1)])
+
+
+def test_arrow_paths_are_sparks_own(spark, tmp_path):
+    path = arrow_file(tmp_path / "a b%1.arrow", 0, 2)
+    assert sp.scan_arrow(spark, path).count() == sp.scan_arrow(spark, f"file://{path}").count() == 8
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        sp.scan_arrow(spark, str(tmp_path / "none.arrow"))
+    from sparkprofile.sources.arrow import file_system
+
+    assert file_system("file:/a/b c")[1] == file_system("file:///a/b c")[1] == "/a/b c"
+
+
+def test_arrow_files_of_several_schemas(spark, tmp_path):
+    arrow_file(tmp_path / "a.arrow", 0, 2, 1)
+    with pa.ipc.new_file(str(tmp_path / "b.arrow"), pa.schema([("a", pa.int64())])) as sink:
+        sink.write_batch(pa.record_batch([pa.array([7])], names=["a"]))
+    with pa.ipc.new_file(str(tmp_path / "c.arrow"), pa.schema([("a", pa.int64())])):
+        pass  # no batch
+    rows = sorted(tuple(r) for r in sp.scan_arrow(spark, str(tmp_path)).select("a", "s").collect())
+    assert rows == [(0, "s0"), (1, "s1"), (7, None)]
