@@ -183,6 +183,14 @@ def scan_arrow(t):
     return by_status(sp.load_dataset(t.spark, folder, "arrow"))
 
 
+@query("scan_arrow_filters", ORDERS_BY_STATUS.replace("FROM orders", "FROM orders WHERE o_totalprice >= 250000 AND o_orderstatus IN ('F', 'O')"))
+def scan_arrow_filters(t):
+    folder = t.scratch()
+    t.orders.mapInArrow(arrow_writer(folder), "rows bigint").agg(F.sum("rows")).collect()
+    columns = ["o_orderstatus", "o_totalprice", "o_custkey"]
+    return by_status(sp.scan_arrow(t.spark, folder, columns, filters=[("o_totalprice", ">=", 250000), ("o_orderstatus", "in", ["F", "O"])]))
+
+
 @query(
     "invalid_utf8_rows",
     """

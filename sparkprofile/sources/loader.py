@@ -86,37 +86,42 @@ def scan_tsv(spark: SparkSession, path: str, infer_rows: int | None = None, **op
     return scan_csv(spark, path, infer_rows, "\t", **options)
 
 
-def _candidates(c: Column) -> list[tuple[str, Column]]:
-    """Types in the order they are tried, with the test a value must pass."""
-    return [
-        ("bigint", c.rlike(_INTEGER) & c.try_cast("bigint").isNotNull()),
-        ("double", (c.rlike(_FLOAT) | c.rlike(_SPECIAL)) & c.try_cast("double").isNotNull()),
-        ("boolean", F.lower(c).isin("true", "false")),
-        ("date", c.rlike(_DATE) & c.try_cast("date").isNotNull()),
-        ("timestamp_ntz", (c.rlike(_DATE) | c.rlike(_TIMESTAMP)) & c.try_cast("timestamp_ntz").isNotNull()),
-    ]
+TYPES = ["bigint", "double", "boolean", "date", "timestamp_ntz"]  # in the order they are tried; bit k of a mask stands for type k
+_BIGINT, _DOUBLE, _BOOLEAN, _DAY, _INSTANT = (1 << k for k in range(len(TYPES)))
+
+
+def _fitting(c: Column) -> Column:
+    """The types that a cell fits, as a bit mask; null where there is no value.
+
+    The classes exclude each other, so a cell is looked at until its class is found: numbers with one pattern.
+    """
+
+    def if_cast(kind: str, bits: int) -> Column:
+        return F.when(c.try_cast(kind).isNotNull(), bits).otherwise(0)
+
+    return (
+        F.when(c.isNull(), None)
+        .when(c.rlike(_INTEGER), if_cast("bigint", _BIGINT).bitwiseOR(F.lit(_DOUBLE)))
+        .when(c.rlike(_FLOAT) | c.rlike(_SPECIAL), if_cast("double", _DOUBLE))
+        .when(F.lower(c).isin("true", "false"), _BOOLEAN)
+        .when(c.rlike(_DATE), if_cast("date", _DAY).bitwiseOR(if_cast("timestamp_ntz", _INSTANT)))
+        .when(c.rlike(_TIMESTAMP), if_cast("timestamp_ntz", _INSTANT))
+        .otherwise(0)
+    )
 
 
 def infer_types(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cast string columns to the first type that every value fits.
 
-    One aggregation decides, over all rows, or over the first ``rows`` if given: then a later value that does not
+    One aggregation decides, one bit mask a column that every cell narrows, over all rows, or over the first ``rows`` if given: then a later value that does not
     fit raises when it is read (ANSI cast).  Columns without values stay strings.
     """
     names = columns_of(df, STRING)
     if not names:
         return df
-    tests = []
-    for i, c in enumerate(names):
-        tests.append(F.count(col(c)).alias(f"n{i}"))
-        tests += [F.count_if(ok).alias(f"{t}{i}") for t, ok in _candidates(col(c))]
     seen = df.select(*[col(c) for c in names])
-    found = (seen if rows is None else seen.limit(rows)).agg(*tests).first()
-    types = {}
-    for i, c in enumerate(names):
-        if found[f"n{i}"]:
-            order = [t for t, _ in _candidates(col(c))]
-            types[c] = next((t for t in order if found[f"{t}{i}"] == found[f"n{i}"]), "string")
+    found = (seen if rows is None else seen.limit(rows)).agg(*[F.bit_and(_fitting(col(c))).alias(f"m{i}") for i, c in enumerate(names)]).first()
+    types = {c: next((t for k, t in enumerate(TYPES) if (found[f"m{i}"] or 0) >> k & 1), "string") for i, c in enumerate(names)}
     return df.select(*[col(c).cast(types[c]).alias(c) if types.get(c, "string") != "string" else col(c) for c in df.columns])
 
 

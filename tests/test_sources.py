@@ -186,3 +186,18 @@ def test_arrow_files_of_several_schemas(spark, tmp_path):
         pass  # no batch
     rows = sorted(tuple(r) for r in sp.scan_arrow(spark, str(tmp_path)).select("a", "s").collect())
     assert rows == [(0, "s0"), (1, "s1"), (7, None)]
+
+
+def test_type_of_single_cells_and_pairs(spark):
+    kinds = {
+        "5": "bigint", "+5": "bigint", "9" * 20: "double", "5.": "double", ".5": "double", "1e400": "double", "inf": "double", "TRUE": "boolean",
+        "2020-02-29": "date", "2021-02-29": "string", "2020-01-01 10:00": "timestamp_ntz", "2020-01-01T25:00:00": "string", "-": "string", "1 2": "string",
+    }
+    pairs = {
+        ("5", "1.5"): "double", ("5", "9" * 20): "double", ("2020-01-01", "2020-01-01 10:00"): "timestamp_ntz", ("5", "true"): "string",
+        ("2020-01-01", "5"): "string", ("5", None): "bigint", (None, None): "string", ("2020-01-01", "2021-02-29"): "string",
+    }
+    wanted = [*((v, v, t) for v, t in kinds.items()), *((*p, t) for p, t in pairs.items())]
+    schema = ", ".join(f"c{i} string" for i in range(len(wanted)))
+    df = spark.createDataFrame([[w[0] for w in wanted], [w[1] for w in wanted]], schema)
+    assert [t for _, t in sp.infer_types(df).dtypes] == [w[2] for w in wanted]
