@@ -7,6 +7,7 @@ the shuffle, so a value held by a third of all rows costs one partial row per in
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -14,8 +15,8 @@ from ..functions.columns import col, name_rows, numeric_long, stack
 from ..functions.session import materialize
 
 
-# Texts tied at the k-th count that are looked up by broadcast (28 bytes each).
-LOOKUP_TEXTS = 200_000
+# Bytes of a text that travel with its digest; texts that agree in them are told apart by 16 times as many.
+HEAD_BYTES = 16
 
 
 def value_text(df: DataFrame, name: str) -> Column:
@@ -119,52 +120,90 @@ def top_k(frequency: DataFrame, value: str, k: int, by: str = "column_id") -> Da
     return frequency.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def text_leaders(df: DataFrame, columns: Sequence[str], k: int) -> tuple[DataFrame, DataFrame]:
-    """The k most frequent texts per column, and distinct counts, without shuffling the texts.
+def _keyed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column_id, value, h1, h2)`` of the non-null values: texts with their 128-bit digests."""
+    digests = [F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(20011), "value").alias("h2")]
+    return text_long(df, columns).where(F.col("value").isNotNull()).select("column_id", "value", *digests)
+
+
+def _head(width: int) -> Column:
+    """The first bytes of a text: bytes order as Spark orders texts, whatever they encode."""
+    return F.substring(F.col("value").cast("binary"), 1, width)
+
 
-    Returns ``(column_id, rank, value, count)`` and ``(column_id, unique_count)``.  Texts are counted
-    by 128-bit digest.  Fewer than k digests lie above the k-th largest count; they are looked up by
-    broadcast.  Texts tied at that count are looked up the same way while they are few; when the
-    count is one, they are all texts not looked up yet, of which every partition keeps the k smallest.
-    Only columns with very many texts tied at a larger count are counted by the texts themselves.
+def text_leaders(df: DataFrame, columns: Sequence[str], k: int) -> tuple[DataFrame, DataFrame]:
+    """The k most frequent texts per column, and distinct counts; whole texts are neither shuffled nor sorted.
+
+    Returns ``(column_id, rank, value, count)`` and ``(column_id, unique_count)``.  Texts are counted by
+    128-bit digest, with their first 16 bytes.  How many texts occur how often (at most sqrt(2 x rows)
+    different counts a column) gives the k-th largest count: fewer than k texts lie above it.  Of the
+    texts tied at it the smallest are selected by their first bytes; only those that agree with
+    the last one in all of them are read again with 16 times as many, until the place is settled.
+    At most k texts a column are looked up in the end, however many are tied.
     """
-    value = F.col("value")
-    keyed = (
-        text_long(df, columns)
-        .where(value.isNotNull())
-        .select("column_id", "value", F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(20011), value).alias("h2"))
-    )
-    counts = materialize(keyed.groupBy("column_id", "h1", "h2").agg(F.count(F.lit(1)).alias("count")))
-    largest = F.row_number().over(W.partitionBy("column_id").orderBy(F.desc("count")))
-    cuts = counts.withColumn("place", largest).where(F.col("place") <= k).groupBy("column_id").agg(F.min("count").alias("cut"))
+    spark, keyed, width = df.sparkSession, _keyed(df, columns), HEAD_BYTES
+    count = F.count(F.lit(1)).alias("count")
+    counts = materialize(keyed.groupBy("column_id", "h1", "h2", _head(width).alias("head")).agg(count))
+    larger = W.partitionBy("column_id").orderBy(F.desc("count")).rowsBetween(W.unboundedPreceding, -1)
+    sizes = counts.groupBy("column_id", "count").agg(F.count(F.lit(1)).alias("texts"))
+    above = F.coalesce(F.sum("texts").over(larger), F.lit(0))
+    reached = F.col("above") < k
     facts = (
-        counts.join(F.broadcast(cuts), "column_id")
-        .groupBy("column_id", "cut")
-        .agg(F.count(F.lit(1)).alias("unique_count"), F.count_if(F.col("count") == F.col("cut")).alias("tied"))
+        sizes.withColumn("above", above)
+        .groupBy("column_id")
+        .agg(
+            F.sum("texts").alias("unique_count"),
+            F.min(F.when(reached, F.col("count"))).alias("cut"),
+            F.max(F.when(reached, F.col("above"))).alias("above"),
+        )
         .collect()  # one row per column
     )
-    spark = df.sparkSession
     unique = spark.createDataFrame([(r.column_id, r.unique_count) for r in facts], "column_id int, unique_count bigint")
-    direct = [r.column_id for r in facts if r.cut > 1 and r.tied > LOOKUP_TEXTS]
-    single = [r.column_id for r in facts if r.cut == 1]
-    limits = spark.createDataFrame([(r.column_id, r.cut) for r in facts if r.column_id not in direct], "column_id int, cut bigint")
-    wanted = counts.join(F.broadcast(limits), "column_id").where(
-        (F.col("count") > F.col("cut")) | ((F.col("count") == F.col("cut")) & (F.col("cut") > 1))
-    )
-    wanted = wanted.select("column_id", "h1", "h2", "count")  # at most k + LOOKUP_TEXTS rows per column
-    found = (
-        keyed.join(F.broadcast(wanted), ["column_id", "h1", "h2"]).select("column_id", "value", "count").distinct()
-    )
-    if single:
-        rest = keyed.where(F.col("column_id").isin(single)).join(F.broadcast(wanted), ["column_id", "h1", "h2"], "left_anti")
-        smallest = F.row_number().over(W.partitionBy("column_id").orderBy("value"))
-        once = rest.select("column_id", "value").withColumn("place", smallest).where(F.col("place") <= k)
-        found = found.unionByName(once.select("column_id", "value", F.lit(1).cast("bigint").alias("count")))
-    if direct:
-        found = found.unionByName(text_frequency(df, columns).where(F.col("column_id").isin(direct)))
+    cuts = spark.createDataFrame([(r.column_id, r.cut) for r in facts], "column_id int, cut bigint")
+    ranked = counts.join(F.broadcast(cuts), "column_id")
+    wanted = ranked.where(F.col("count") > F.col("cut")).select("column_id", "h1", "h2", "count")
+    tied = ranked.where(F.col("count") == F.col("cut"))
+    cut_of, places = {r.column_id: r.cut for r in facts}, {r.column_id: k - r.above for r in facts}
+    while places:
+        sure, bounds = _smallest_heads(tied, places, width)
+        chosen = spark.createDataFrame(sure, "column_id int, head binary")
+        wanted = wanted.unionByName(
+            tied.join(F.broadcast(chosen), ["column_id", "head"]).select("column_id", "h1", "h2", "count")
+        )
+        places = {i: left for i, (_, left) in bounds.items()}
+        if places:
+            limits = spark.createDataFrame(
+                [(i, cut_of[i], bytearray(head)) for i, (head, _) in bounds.items()], "column_id int, cut bigint, bound binary"
+            )
+            rest = keyed.join(F.broadcast(limits), "column_id").where(_head(width) == F.col("bound"))
+            width *= 16
+            longer = rest.groupBy("column_id", "h1", "h2", _head(width).alias("head"), "cut").agg(count)
+            tied = materialize(longer.where(F.col("count") == F.col("cut")))
+    found = keyed.join(F.broadcast(wanted), ["column_id", "h1", "h2"]).select("column_id", "value", "count").distinct()
     return top_k(found, "value", k), unique
 
 
+def _smallest_heads(tied: DataFrame, places: dict[int, int], width: int) -> tuple[list, dict]:
+    """Heads whose texts surely fill the places of a column, and the head at which they run out, if more texts share it.
+
+    Every task keeps as many heads of a column as it has places: a bounded heap, not a sort.
+    """
+    heads = materialize(tied.groupBy("column_id", "head").agg(F.count(F.lit(1)).alias("texts")))
+    firsts = [heads.where(F.col("column_id") == i).orderBy("head").limit(left) for i, left in places.items()]
+    rows = reduce(DataFrame.union, firsts).collect()  # at most k heads a column
+    sure, bounds = [], {}
+    for i, left in places.items():
+        for row in sorted((r for r in rows if r.column_id == i), key=lambda r: bytes(r["head"])):
+            if row.texts > left and len(row["head"]) == width:
+                bounds[i] = (bytes(row["head"]), left)
+                break
+            sure.append((i, row["head"]))
+            left -= row.texts
+            if left <= 0:
+                break
+    return sure, bounds
+
+
 def entropy_ids(frequency: DataFrame) -> DataFrame:
     """``(column_id, entropy)`` in bits: log2(n) - sum(c * log2(c)) / n."""
     n, weighted = F.sum("count"), F.sum(F.col("count") * F.log2(F.col("count").cast("double")))

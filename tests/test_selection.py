@@ -190,9 +190,9 @@ def test_rolling_average_of_a_short_series(spark):
     assert [r.rolling for r in out][:3] == [None, 0.5, 1.5]  # window of two
 
 
-@pytest.mark.parametrize("lookup", [200_000, 1])
-def test_text_leaders_equal_direct_counts(spark, lookup):
-    """Above, tied and single texts, by lookup and by direct counting."""
+@pytest.mark.parametrize("head", [16, 1])
+def test_text_leaders_equal_direct_counts(spark, head):
+    """Above, tied and single texts; ties that differ late, in other alphabets, or by length only."""
     from sparkprofile.operators import frequency as fq
 
     rng = np.random.default_rng(4)
@@ -202,15 +202,30 @@ def test_text_leaders_equal_direct_counts(spark, lookup):
         "some": [f"t{min(i, 297)}" for i in range(300)],
         "few": rng.choice(list("abc"), 300),
         "gaps": [None if i % 3 else f"t{i % 7}" for i in range(300)],
+        "twice": [f"{'same beginning ' * 20}{(i * 7) % 150:05d}" for i in range(300)],
+        "nested": ["ab" * (1 + i % 60) for i in range(300)],
+        "signs": [("", "é", "\U0001f600", "\uffff", "z\x00", "z")[i % 6] + "x" * (i % 30) for i in range(300)],
+        "none": [None] * 300,
     })
-    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "single string, tied string, some string, few string, gaps string")
     names = list(pdf)
-    with mock.patch.object(fq, "LOOKUP_TEXTS", lookup):
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{c} string" for c in names))
+    with mock.patch.object(fq, "HEAD_BYTES", head):
         top, unique = fq.text_leaders(df.repartition(5), names, 4)
         mine = {(r.column_id, r["rank"]): (r.value, r["count"]) for r in top.collect()}
         distinct = {r.column_id: r.unique_count for r in unique.collect()}
     for i, name in enumerate(names):
         counts = pdf[name].dropna().value_counts()
-        expected = sorted(counts.items(), key=lambda item: (-item[1], item[0]))[:4]
-        assert [mine[i, k + 1] for k in range(len(expected))] == expected
-        assert distinct[i] == len(counts)
+        expected = sorted(counts.items(), key=lambda item: (-item[1], item[0].encode()))[:4]
+        assert [mine[i, k + 1] for k in range(len(expected))] == expected, name
+        assert (i, len(expected) + 1) not in mine
+        assert distinct.get(i, 0) == len(counts)
+
+
+def test_text_leaders_look_up_few_texts(spark):
+    """Whatever is tied, no plan sorts or shuffles texts: only the winners are looked up."""
+    from sparkprofile.operators import frequency as fq
+
+    df = spark.range(40_000).selectExpr("concat('a long text of which most occur twice ', lpad(id % 20000, 6, '0')) AS t")
+    top, unique = fq.text_leaders(df, ["t"], 3)
+    assert [(r.value[-6:], r["count"]) for r in top.orderBy("rank").collect()] == [("000000", 2), ("000001", 2), ("000002", 2)]
+    assert unique.first().unique_count == 20_000
