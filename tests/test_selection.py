@@ -157,11 +157,25 @@ def test_kde_equals_direct_formula(spark):
     pad = 0.1 * (x.max() - x.min())
     grid = np.linspace(x.min() - pad, x.max() + pad, 100)
     direct = np.exp(-0.5 * ((grid[:, None] - x) / h) ** 2).sum(axis=1) / (len(x) * h * np.sqrt(2 * np.pi))
-    assert np.allclose(out.x, grid) and np.allclose(out.density, direct)
+    assert np.allclose(out.x, grid) and np.abs(out.density - direct).max() < 1e-12
     binned = sp.kde(df, ["x"], binned=True).orderBy("point").toPandas()
     assert np.abs(binned.density - direct).max() < 1e-3 * direct.max()
 
 
+def test_kde_of_far_values(spark):
+    """Grid points without a value near them, values far from each other, and cells on their edges."""
+    x = np.concatenate([np.arange(40) / 8, [1e7, -1e7, 3.0, 3.0], np.linspace(-1, 1, 5000)])
+    df = spark.createDataFrame([(float(v), float(v) * 1e-9 if i % 7 else None) for i, v in enumerate(x)], "x double, y double")
+    out = sp.kde(df, ["x", "y"], points=400).toPandas()
+    for name, values in {"x": x, "y": np.array([v * 1e-9 for i, v in enumerate(x) if i % 7])}.items():
+        mine = out[out.column == name].sort_values("point")
+        h = values.std(ddof=1) * len(values) ** -0.2
+        direct = np.exp(-0.5 * ((mine.x.to_numpy()[:, None] - values) / h) ** 2).sum(axis=1)
+        scaled = mine.density.to_numpy() * len(values) * h * np.sqrt(2 * np.pi)
+        assert len(mine) == 400 and np.abs(scaled - direct).max() < 1e-9
+        assert (mine.density == 0).any()
+
+
 def test_histogram_equals_numpy(frame):
     data = shapes()
     out = sp.histogram(frame, list(data), bins=30).toPandas()
