@@ -91,11 +91,19 @@ SCORED = """
 z AS (SELECT "column", n, mean, sd_pop, sd, c, x, up, up - c AS low, (x - mean) / {sd} AS z, abs((x - mean) / {sd}) AS a
       FROM r JOIN s USING ("column")),
 t AS (SELECT *, """ + tail_sql("a") + """ AS q FROM z)"""
+# The distribution of sqrt(n) D up to the term in n^(-3/2); below 3e-14 from 4 on.
 KS_P = """
-root AS (SELECT *, (sqrt(n) + 0.12 + 0.11 / sqrt(n)) * d AS y FROM gap),
-p AS (SELECT *, CASE WHEN y < 1
-        THEN 1 - sqrt(2 * pi()) / y * (exp(-pi() * pi() / (8 * y * y)) + exp(-9 * pi() * pi() / (8 * y * y)) + exp(-25 * pi() * pi() / (8 * y * y)))
-        ELSE greatest(0, 2 * (exp(-2 * y * y) - exp(-8 * y * y) + exp(-18 * y * y) - exp(-32 * y * y))) END AS p FROM root)"""
+root AS (SELECT *, sqrt(n) * d AS y FROM gap),
+series AS (SELECT *, y * y AS v,
+    (SELECT {'e0': sum(e), 'e1': sum(a * e), 'e2': sum(a * a * e), 'e3': sum(a * a * a * e)}
+     FROM (SELECT a, exp(-a / (2 * y * y)) AS e FROM (SELECT pow(pi() * (k + 0.5), 2) AS a FROM range(-16, 16) t(k)))) AS h,
+    (SELECT {'e1': sum(a * e), 'e2': sum(a * a * e)}
+     FROM (SELECT a, exp(-a / (2 * y * y)) AS e FROM (SELECT pow(pi() * k, 2) AS a FROM range(-16, 17) t(k)))) AS w FROM root),
+p AS (SELECT *, CASE WHEN y >= 4 THEN 0 WHEN y < 0.04 THEN 1 ELSE least(1, greatest(0, 1 - sqrt(pi() / 2) * (
+        h.e0 / y + (h.e1 - v * h.e0) / (6 * pow(y, 4) * sqrt(n))
+        + (((6 * pow(v, 3) + 2 * v * v) * h.e0 + (2 * v * v - 5 * v) * h.e1 + (1 - 2 * v) * h.e2) / (72 * pow(y, 7)) - w.e1 / (36 * pow(y, 3))) / n
+        + (((5 - 30 * v) * h.e3 + (212 * v * v - 60 * v) * h.e2 + (135 * v * v - 96 * pow(v, 3)) * h.e1 - (30 * pow(v, 3) + 90 * pow(v, 4)) * h.e0)
+           / (6480 * pow(y, 10)) + (3 * v * w.e1 - w.e2) / (216 * pow(y, 6))) / pow(n, 1.5)))) END AS p FROM series)"""
 
 
 @query(

@@ -28,6 +28,13 @@ def test_kolmogorov():
     assert s.kolmogorov_tail(1.0) == pytest.approx(0.2699996716, abs=1e-9)
     assert s.kolmogorov_tail(0.9999999) == pytest.approx(s.kolmogorov_tail(1.0000001), abs=1e-6)
     assert s.ks_p(0.1, 140) == pytest.approx(s.ks_p(0.1, 141), abs=0.01)
+    for n in (500, 501, 1000, 5000):  # the series equals the exact distribution
+        for x in (0.3, 0.45, 0.6, 0.85, 1.0, 1.36, 1.7, 2.2):
+            d = x / math.sqrt(n)
+            assert s.pelz_good(n, x) == pytest.approx(s.kolmogorov_exact(n, d), abs=1e-6), (n, x)
+    assert s.pelz_good(10**12, 1.36) == pytest.approx(1 - s.kolmogorov_tail(1.36), abs=1e-5)
+    assert s.ks_p(3.9999 / 100, 10_000) == pytest.approx(s.ks_p(4.0001 / 100, 10_000), abs=1e-13)
+    assert s.ks_p(1e-9, 10_000) == 1.0 and 0 < s.ks_p(0.05, 10_000) < 1e-20
 
 
 def test_gamma_functions():
