@@ -219,6 +219,72 @@ def gamma_shape(mean: float, mean_log: float) -> float:
     return k
 
 
+def gamma_likelihood(shape: float, mean: float, mean_log: float) -> float:
+    """Mean log-likelihood at this shape and the best scale, by the means of the distances and of their logarithms."""
+    return (shape - 1.0) * mean_log - shape - shape * math.log(mean / shape) - math.lgamma(shape)
+
+
+class GammaProfile:
+    """The likelihood of one column as a function of the location: what is known of it, and which one to try next.
+
+    Locations are distances below the smallest value, in deviations of the column.  ``trial`` is None when nothing is left to try.
+    """
+
+    def __init__(self, mean: float, low: float, unit: float):
+        self.mean, self.low, self.unit = mean, low, unit
+        self.above = (mean - low) / unit  # the mean's distance from the smallest value
+        self.trial: float | None = None
+        # the limit of shape one and location at the smallest value
+        self.found = [(-1.0 - math.log(mean - low), 1.0, low, mean - low)] if mean > low else []
+
+    def _keep(self, distance: float, mean_log: float) -> float:
+        """Note the fit at this distance; its likelihood, or minus infinity below shape one."""
+        mean = self.above + distance
+        shape = gamma_shape(mean, mean_log)
+        if math.isnan(shape) or shape < 1.0:
+            return -math.inf
+        value = gamma_likelihood(shape, mean, mean_log)
+        fit = (value - math.log(self.unit), shape, self.low - distance * self.unit, mean / shape * self.unit)
+        self.found.append(fit)
+        return value
+
+    def start(self, distances: list[float], mean_logs: list[float], zero_log: float | None) -> None:
+        """Use the first pass: the mean logarithms at these distances, and of the values themselves if all are positive."""
+        shape = gamma_shape(self.mean, zero_log) if zero_log is not None else math.nan
+        if not math.isnan(shape):
+            self.found.append((gamma_likelihood(shape, self.mean, zero_log), shape, 0.0, self.mean / shape))
+        values = [self._keep(d, m) for d, m in zip(distances, mean_logs)]
+        best = max(range(len(values)), key=values.__getitem__)
+        if values[best] > -math.inf:
+            self.left, self.right = (math.log(distances[j]) for j in (max(best - 1, 0), min(best + 1, len(distances) - 1)))
+            self.trial = distances[best]
+
+    def step(self, mean_log: float, inverse: float, square: float) -> None:
+        """Use the means at ``trial``: a Newton step in its logarithm, halving when that leaves the bracket."""
+        distance, mean = self.trial, self.above + self.trial
+        self._keep(distance, mean_log)
+        shape, here = gamma_shape(mean, mean_log), math.log(distance)
+        if math.isnan(shape):
+            self.trial = None
+            return
+        slope = (shape - 1.0) * inverse - shape / mean  # of the likelihood as the distance grows
+        shape_slope = (1.0 / mean - inverse) / (1.0 / shape - trigamma(shape))
+        bend = shape_slope * (inverse - 1.0 / mean) - (shape - 1.0) * square + shape / (mean * mean)
+        if slope > 0 or shape < 1.0:
+            self.left = here
+        else:
+            self.right = here
+        first, second = slope * distance, bend * distance * distance + slope * distance  # by the logarithm
+        following = here - first / second if second < 0 else math.nan
+        if not self.left < following < self.right:
+            following = (self.left + self.right) / 2
+        self.trial = None if abs(following - here) < 1e-9 else math.exp(following)
+
+    def best(self) -> tuple[float, float, float]:
+        """Shape, location and scale of the largest likelihood found."""
+        return max(self.found)[1:]
+
+
 # Royston's polynomials (Applied Statistics 44, 1995, algorithm R94), lowest power first.
 R94_LAST = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
 R94_SECOND = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
@@ -296,11 +362,6 @@ def ks_p_value(d: pd.Series, n: pd.Series) -> pd.Series:
     return _rowwise(ks_p, d, n)
 
 
-@F.pandas_udf(T.DoubleType())
-def gamma_shape_mle(mean: pd.Series, mean_log: pd.Series) -> pd.Series:
-    return _rowwise(gamma_shape, mean, mean_log)
-
-
 @F.pandas_udf(T.DoubleType())
 def gamma_cdf(x: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
     """Gamma distribution function, vectorised per parameter pair of the batch."""
