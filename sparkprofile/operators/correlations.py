@@ -21,6 +21,8 @@ STRENGTH_BANDS = [(0.8, "very strong"), (0.6, "strong"), (0.4, "moderate")]
 STRONG = 0.6
 # Partners per stacked row; keeps the aggregation buffer inside whole-stage codegen.
 SLOTS = 8
+# Side of a tile of rank products: 16 sums for each stacked row.
+TILE = 4
 # A rank table of at most this many distinct values is broadcast (24 bytes each).
 BROADCAST_VALUES = 200_000
 # Copies of a very common value in the rank lookup.
@@ -130,59 +132,97 @@ def spearman(
         ]
     )
     # without gaps ranking number i is that of column number i
-    ranked = attach_ranks(prepared, [f"r{i}" for i in rankings.values()], None if gaps else ordered)
-    values = {f"r{i}": F.col(f"rank_r{i}") for i in rankings.values()}
-    moments = pair_moments(ranked, [(f"r{i}", f"r{j}") for i, j in sides.values()], values)
+    ranked, sizes = centred_ranks(prepared, [f"r{i}" for i in rankings.values()], None if gaps else ordered)
+    # both rankings of a pair hold the rows where both sides are present
     labels = df.sparkSession.createDataFrame(
-        [(f"r{i}", f"r{j}", a, b) for (a, b), (i, j) in sides.items()],
-        "rank1 string, rank2 string, column1 string, column2 string",
+        [(a, b, i, j, sizes[i]) for (a, b), (i, j) in sides.items()], "column1 string, column2 string, i int, j int, n bigint"
+    )
+    sums = rank_products(ranked, list(sides.values()), len(rankings))
+    squares = sums.where("i = j")
+    moments = labels
+    for table in (
+        sums.select("i", "j", F.col("s").alias("xy")), squares.select("i", F.col("s").alias("xx")), squares.select("j", F.col("s").alias("yy")),
+    ):
+        moments = moments.join(F.broadcast(table), [c for c in "ij" if c in table.columns])
+    named = moments.select(
+        "column1", "column2", "n", ratio(F.col("xy"), F.col("n")).alias("cov"),
+        F.sqrt(ratio(F.col("xx"), F.col("n"))).alias("sd1"), F.sqrt(ratio(F.col("yy"), F.col("n"))).alias("sd2"),
     )
-    named = labels.join(
-        F.broadcast(moments.withColumnsRenamed({"column1": "rank1", "column2": "rank2"})), ["rank1", "rank2"]
-    ).drop("rank1", "rank2")
     return _finish(named, "spearman", small_p=F.lit(None).cast("double"))
 
 
-def attach_ranks(df: DataFrame, columns: Sequence[str], ordered: DataFrame | None = None) -> DataFrame:
-    """``df`` with ``rank_<column>``, the tie-averaged rank of each non-null value.
+def rank_products(ranked: DataFrame, pairs: Sequence[tuple[int, int]], rankings: int) -> DataFrame:
+    """``(i, j, s)``: the sum of products of centred ranks of each pair, and of each ranking with itself.
+
+    Centred ranks have mean zero exactly, so plain sums lose nothing and take the place of running means.  One scan: a row
+    becomes one row per tile of ``TILE`` by ``TILE`` rankings that holds a pair.
+    """
+    wanted = {*pairs, *((i, i) for i in range(rankings))}
+    tiles: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, j in sorted(wanted):
+        tiles.setdefault((i // TILE, j // TILE), []).append((i, j))
+    at = [F.col(f"rank_r{i}") for i in range(rankings)] + [F.lit(None).cast("double")] * TILE
+    rows = [
+        [F.lit(g), *at[p * TILE : (p + 1) * TILE], *at[q * TILE : (q + 1) * TILE]] for g, (p, q) in enumerate(tiles)
+    ]
+    sides = range(TILE)
+    schema = "g int" + "".join(f", x{k} double" for k in sides) + "".join(f", y{k} double" for k in sides)
+    wide = stack(ranked, rows, schema).groupBy("g").agg(
+        *[F.sum(F.col(f"x{k}") * F.col(f"y{m}")).alias(f"s{k}_{m}") for k in sides for m in sides]
+    )
+    cells = stack(
+        wide, [[F.col("g"), F.lit(k), F.lit(m), F.col(f"s{k}_{m}")] for k in sides for m in sides], "g int, k int, m int, s double"
+    )
+    places = ranked.sparkSession.createDataFrame(
+        [(g, i % TILE, j % TILE, i, j) for g, inside in enumerate(tiles.values()) for i, j in inside], "g int, k int, m int, i int, j int"
+    )
+    return places.join(F.broadcast(cells), ["g", "k", "m"]).select("i", "j", "s")
+
+
+def centred_ranks(
+    df: DataFrame, columns: Sequence[str], ordered: DataFrame | None = None
+) -> tuple[DataFrame, list[int]]:
+    """``rank_<column>`` for every row of ``df``: the tie-averaged rank of each non-null value less the mean rank; and the non-null values of each column.
 
     Columns whose rank table has few values look it up by broadcast.  All others go together, whatever their number: rows get an
     id, turn into long form, meet their ranks in one join and are put together again by id.  A value that holds
     more than one shuffle partition's share of its column is joined under several salts.
     """
-    ranks = (fq.column_ranks(df, columns) if ordered is None else fq.rank_rows(ordered)).select(
-        "x", "count", ((F.col("lo") + 1 + F.col("hi")) / F.lit(2.0)).alias("rank"), "column_id"
-    )
+    ranks = (fq.column_ranks(df, columns) if ordered is None else fq.rank_rows(ordered)).select("x", "count", "lo", "hi", "column_id")
     ranks = materialize(ranks, by="column_id")  # each lookup below reads the folder of its column
     sizes = {
         r.column_id: (r.values, r.rows)
         for r in ranks.groupBy("column_id").agg(F.count(F.lit(1)).alias("values"), F.sum("count").alias("rows")).collect()
     }  # one row per column
+    present = [sizes.get(i, (0, 0))[1] for i in range(len(columns))]
+    total = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in present]), F.col("column_id") + 1)
+    ranks = ranks.withColumn("rank", (F.col("lo") + F.col("hi") - total) / F.lit(2.0))  # a column's mean rank is (total + 1) / 2
     large = [i for i in range(len(columns)) if sizes.get(i, (0, 0))[0] > BROADCAST_VALUES]
     for i, c in enumerate(columns):
         if i not in large:
             small = ranks.where(F.col("column_id") == i).select(F.col("x").alias(c), F.col("rank").alias(f"rank_{c}"))
-            df = df.join(F.broadcast(small), c, "left")
+            df = df.join(F.broadcast(small), c, "left").drop(c)
     if not large:
-        return df
+        return df, present
     rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
     long = stack(
         rows, [[F.col("_row"), F.lit(i), F.col(columns[i])] for i in large], "_row bigint, column_id int, x double"
     ).where(F.col("x").isNotNull())
     table = ranks.where(F.col("column_id").isin(large))
-    share = F.element_at(F.create_map(*[F.lit(v) for i in large for v in (i, sizes[i][1])]), F.col("column_id"))
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # at most one value per column and shuffle partition
-    hot = table.where(F.col("count") * partitions > share).select("column_id", "x", F.lit(True).alias("hot"))
+    hot = table.where(F.col("count") * partitions > total).select("column_id", "x", F.lit(True).alias("hot"))
     salted = long.join(F.broadcast(hot), ["column_id", "x"], "left").withColumn(
         "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).otherwise(0)
     )
     copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     lookup = table.join(F.broadcast(hot), ["column_id", "x"], "left").select("column_id", "x", "rank", F.explode(copies).alias("salt"))
-    found = salted.join(lookup, ["column_id", "x", "salt"]).groupBy("_row").agg(
+    # x first: the sort of the join compares 8-byte prefixes of its first key
+    # every row has its own id: combining before the shuffle would only fill memory
+    found = salted.join(lookup, ["x", "column_id", "salt"]).select("_row", "column_id", "rank").repartition("_row").groupBy("_row").agg(
         *[F.max(F.when(F.col("column_id") == i, F.col("rank"))).alias(f"rank_{columns[i]}") for i in large]
     )
-    return rows.join(found, "_row", "left").drop("_row")
+    return rows.drop(*[columns[i] for i in large]).join(found, "_row", "left").drop("_row"), present
 
 
 def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Exact quantiles and median deviations by selection, ranks, and what is built on them."""
 
+import re
 from unittest import mock
 
 import numpy as np
@@ -243,3 +244,27 @@ def test_text_leaders_look_up_few_texts(spark):
     top, unique = fq.text_leaders(df, ["t"], 3)
     assert [(r.value[-6:], r["count"]) for r in top.orderBy("rank").collect()] == [("000000", 2), ("000001", 2), ("000002", 2)]
     assert unique.first().unique_count == 20_000
+
+
+def test_rank_lookup_sorts_by_value_and_regroups_once(spark):
+    draw = np.random.default_rng(5)
+    values = np.round(draw.normal(size=(500, 6)), 1)
+    values[:, 5] = 3.0
+    df = spark.createDataFrame([tuple(map(float, r)) for r in values], ", ".join(f"r{i} double" for i in range(6)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with mock.patch.object(co, "BROADCAST_VALUES", 0):
+            ranked, present = co.centred_ranks(df, df.columns)
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert present == [500] * 6 and all(c.startswith("rank_") for c in ranked.columns)
+    assert re.search(r"Sort \[\S*\bx#", plan) and not re.search(r"Sort \[\S*column_id#", plan)
+    # one shuffle by row on either side of the last join, the ranks before they are grouped
+    assert plan.count("hashpartitioning(_row#") == 2 and "REPARTITION_BY_COL" in plan
+    pairs = [(i, j) for i in range(6) for j in range(i + 1, 6)]
+    sums = {(r.i, r.j): r.s for r in co.rank_products(ranked, pairs, 6).collect()}
+    ranks = pd.DataFrame(values).rank().to_numpy()
+    expected = (ranks - ranks.mean(0)).T @ (ranks - ranks.mean(0))
+    assert sums == pytest.approx({(i, j): expected[i, j] for i in range(6) for j in range(i, 6)}, abs=1e-6)
+    assert {(r.column1, r.column2) for r in sp.spearman(df).collect()} == {(f"r{i}", f"r{j}") for i, j in pairs if j < 5}
