@@ -2,12 +2,14 @@
 
 import csv
 import io
+import os
 import random
 
 import pytest
 
 import sparkprofile as sp
-from sparkprofile.sources.delimited import LineReader
+from sparkprofile.functions.session import made_folders
+from sparkprofile.sources.delimited import TASKS_PER_CORE, LineReader
 from sparkprofile.sources.loader import scan_text
 
 
@@ -111,3 +113,16 @@ def test_lines_as_a_state_machine():
         line = "".join(draw.choice('a",') for _ in range(draw.randrange(9)))
         for inside in (False, True):
             assert reader.inside_after(line, inside) == by_hand(line, inside), (line, inside)
+
+
+def test_a_task_takes_many_small_splits(spark, tmp_path):
+    """Splits far smaller than Spark's own are dealt to a few tasks, and records are written parsed."""
+    path = tmp_path / "a.csv"
+    path.write_bytes(text_of(nasty(77, 1500), "\r\n").encode())
+    assert path.stat().st_size > 200 * 150
+    parts = scan_text(spark, str(path), split=200)
+    folder = made_folders(spark)[-1]
+    files = [f for f in os.listdir(folder) if f.endswith(".parquet")]
+    assert len(files) <= TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert "r" in spark.read.parquet(folder).columns
+    assert rows_of(parts) == rows_of(scan_text(spark, str(path), multiLine=True)) and parts.count() == 1500
