@@ -88,6 +88,24 @@ INV_F = (
 )
 
 
+def with_normal_quantile(df: DataFrame, p: str, name: str) -> DataFrame:
+    """``df`` with column ``name``, the inverse of :func:`normal_cdf` for the column ``p``, 0 < p < 1.
+
+    The polynomials' argument is a column of its own, so that its logarithm is taken once a row and not once a coefficient.
+    """
+    q, r = "_centre", "_argument"
+    centre = f"{q} * {_poly(INV_A, r)} / {_poly(INV_B, r)}"
+    shoulder = f"{_poly(INV_C, f'({r} - 1.6D)')} / {_poly(INV_D, f'({r} - 1.6D)')}"
+    tail = f"{_poly(INV_E, f'({r} - 5D)')} / {_poly(INV_F, f'({r} - 5D)')}"
+    outer = f"sign({q}) * CASE WHEN {r} <= 5D THEN {shoulder} ELSE {tail} END"
+    return (
+        df.withColumn(q, F.col(p) - 0.5)
+        .withColumn(r, F.expr(f"CASE WHEN abs({q}) <= 0.425D THEN 0.180625D - {q} * {q} ELSE sqrt(-ln(least(`{p}`, 1D - `{p}`))) END"))
+        .withColumn(name, F.expr(f"CASE WHEN abs({q}) <= 0.425D THEN {centre} ELSE {outer} END"))
+        .drop(q, r)
+    )
+
+
 def normal_quantile(p: str) -> Column:
     """Inverse of :func:`normal_cdf` for the column ``p``, 0 < p < 1."""
     q = f"(`{p}` - 0.5D)"

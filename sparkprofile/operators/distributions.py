@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import name_rows, numeric_columns, numeric_long, ratio, stack
-from ..functions.normal import log_normal_tail, normal_cdf, normal_quantile, with_normal_tail
+from ..functions.normal import log_normal_tail, normal_cdf, with_normal_quantile, with_normal_tail
 from ..functions.session import materialize
 from ..functions.special import GammaProfile, gamma_cdf, ks_p_value, shapiro_test
 from . import frequency as fq
@@ -286,13 +286,13 @@ def shapiro_ids(ordered: DataFrame, shape: DataFrame) -> DataFrame:
     chunks = ranks.select(
         "column_id", "x", "hi", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"), F.lit(TIE_CHUNK).cast("bigint"))).alias("start")
     ).repartition("column_id", "start")
-    scored = (
+    placed = (
         chunks.join(F.broadcast(small), "column_id")
         .select("column_id", "x", "n", "sd_pop",
                 F.explode(F.sequence(F.col("start"), F.least(F.col("start") + TIE_CHUNK - 1, F.col("hi")))).alias("i"))
         .withColumn("p", (F.col("i") - 0.375) / (F.col("n") + 0.25))
-        .withColumn("m", normal_quantile("p"))
     )
+    scored = with_normal_quantile(placed, "p", "m")
 
     def at(position: Column, value: str) -> Column:
         return F.max(F.when(F.col("i") == position, F.col(value)))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import sparkprofile as sp
+from sparkprofile.functions.normal import normal_quantile, with_normal_quantile
 
 
 def one(df):
@@ -282,3 +283,12 @@ def test_intermediate_tables_are_dropped(spark):
         assert sp.rolling_average(df, "t", "v", window=3).count() == 50
         assert set(os.listdir(place)) > before
     assert set(os.listdir(place)) == before
+
+
+def test_normal_quantile_takes_one_logarithm(spark):
+    levels = [1e-12, 1e-4, 0.05, 0.3, 0.5, 0.7, 0.95, 1 - 1e-9]
+    df = spark.createDataFrame([(p,) for p in levels], "p double").repartition(1)
+    out = with_normal_quantile(df, "p", "z").withColumn("old", normal_quantile("p"))
+    assert all(r.z == r.old for r in out.collect())
+    plan = with_normal_quantile(df, "p", "z")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LOG(") + plan.count("ln(") + plan.count("LN(") == 1
