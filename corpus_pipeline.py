@@ -65,8 +65,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix-array dedup: bytes in repeated long strings are cut out; a document of which nothing is left goes."""
-    cut = suffix.remove_repeats(docs).withColumnRenamed("kept_text", "text")
+    """Suffix-array dedup: repeated passages of at least 50 words or 400 bytes are cut out; a document of which nothing is left goes."""
+    cut = suffix.remove_repeats(
+        docs, length=suffix.PASSAGE, window=suffix.PASSAGE_WINDOW, run_words=suffix.PASSAGE_WORDS, run_bytes=suffix.LENGTH
+    ).withColumnRenamed("kept_text", "text")
     return _measured(cut.where((F.col("n_removed") == 0) | (F.trim("text") != "")))
 
 

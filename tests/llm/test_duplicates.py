@@ -215,6 +215,21 @@ def test_repeated_bytes(spark, monkeypatch, seed, segment):
     assert len(rows) == len(texts)
 
 
+def test_repeats_with_a_wide_window_and_long_runs_only(spark):
+    texts = patched(3, 80)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in suffix.remove_repeats(df, length=80, window=70).collect()}
+    for i, want in enumerate(repeats_by_hand(texts, 80)):
+        assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) == want, i
+    runs = {r.doc_id: r for r in suffix.remove_repeats(df, length=80, run_words=12, run_bytes=160).collect()}
+    for i, r in rows.items():
+        raw = (texts[i] or "").encode()
+        kept = [s for s in r.spans if s.stop - s.start >= 160 or suffix.whole_words(raw, s.start, s.stop) >= 12]
+        assert runs[i].spans == kept and runs[i].n_removed == sum(s.stop - s.start for s in kept), i
+    assert sum(r.n_spans for r in runs.values()) < sum(r.n_spans for r in rows.values())
+    assert [suffix.whole_words(b"ab cd ef", a, b) for a, b in ((0, 8), (1, 8), (2, 7), (3, 5), (4, 5), (0, 0))] == [3, 2, 1, 1, 0, 0]
+
+
 def test_repeats_of_null_ids_and_empty_tables(spark):
     text = "".join(random.Random(1).choices("abcdef", k=500))
     df = spark.createDataFrame([(None, text), (1, text), (1, text), (2, "short")], "doc_id bigint, text string")

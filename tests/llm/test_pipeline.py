@@ -102,6 +102,24 @@ def test_texts_of_one_id_stay_apart(spark):
     assert sorted(r.text for r in corpus_pipeline.repeats(spark, spark.createDataFrame(near, SCHEMA), "").collect()) == sorted(t for _, t in left)
 
 
+def test_repeated_passages_of_fifty_words_go(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    long, short, spaceless = text(51), text(49), "".join(rng.choices("klmnop", k=400))
+    assert 250 < len(short) < len(long) < 400
+    rows = []
+    for i, passage in enumerate((long, long, short, short, spaceless, spaceless)):
+        rows.append((i, text(30), passage, text(30)))
+    docs = spark.createDataFrame([(i, f"{a} {p} {b}", "en", "s", 1) for i, a, p, b in rows], SCHEMA)
+    out = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, docs, "").collect()}
+    for i, a, p, b in rows:
+        assert (p in out[i]) == (p == short), i
+        if p == short:
+            assert out[i] == f"{a} {p} {b}"
+        else:
+            assert a[:-6] in out[i] and b[6:] in out[i]
+
+
 def test_wrong_labels_are_mended(spark):
     en, de = "the cat sat on the mat and the dog went with them to the house", "der hund und die katze gingen nicht nach hause weil es warm war"
     rows = [(i, f"{en if i % 2 else de} {i}", "en" if i % 2 else "de") for i in range(40)] + [(90, f"{de} {de}", "en"), (91, en, None), (92, "12 ?", "en")]
