@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from math import comb, sqrt
 
 import numpy as np
@@ -99,6 +100,27 @@ def step_runs(recall: float, similarity: float = SIMILARITY) -> list[int]:
     return [runs_for(recall, 2, similarity), *later]
 
 
+@cache
+def picks_to_settle(runs: int, recall: float, similarity: float = SIMILARITY) -> int:
+    """Picks in small buckets after so many runs that settle a set: whoever is similar to it has met it in one of them.
+
+    A similar set stays unmet only if all these picks fell on places where the two sketches disagree.  However many of the other
+    places are common ones, so many picks of disagreeing places have a chance that, for both sets of a pair and all steps, is what
+    ``step_runs`` leaves of the share that may be missed.
+    """
+    miss = (1 - recall) / MAX_STEPS / (2 * MAX_STEPS)
+    differ = np.arange(SKETCH + 1)
+    weight = np.array([comb(SKETCH, k) * (1 - similarity) ** k * similarity ** (SKETCH - k) for k in range(SKETCH + 1)])
+    weight[differ > (1 - _least(similarity)) * SKETCH] = 0
+    tries, rate = runs * differ, 1 / (similarity * SKETCH)
+    term = (1 - rate) ** tries
+    below, picks = term.copy(), 1
+    while (weight * (1 - below)).sum() > miss:
+        term = term * np.maximum(tries - picks + 1, 0) / picks * rate / (1 - rate)
+        below, picks = below + term, picks + 1
+    return picks
+
+
 def choose(nodes: np.ndarray, sketches: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """``(row, child)``: the tokens that each row's node picks from its sketch, on average one over the similarity."""
     tokens = mix64(sketches.astype(U64) * U64(SKETCH) + np.arange(SKETCH, dtype=U64))
@@ -149,8 +171,9 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
     """``(a, b)``: edges that connect, with probability ``recall``, every two sets of this similarity; they may connect more.
 
     ``reps`` is ``(id, sketch, probe)``.  Every set starts at the root of every run of the first step and goes to the children of the
-    tokens that its node chooses.  Buckets of at most ``bucket`` sets are compared all with all by their sketches.  Larger ones are
-    split again, by two levels at a time, unless their sets agree so well on average with one of three of them that splitting is of no use: these, and what is
+    tokens that its node chooses.  Buckets of at most ``bucket`` sets are compared all with all by their sketches.  A set that has made enough
+    picks in such buckets leaves the larger ones, which hold sets that share common shingles and little else.  What is still large is
+    split again, by two levels at a time, unless its sets agree so well on average with one of three of them that splitting is of no use: these, and what is
     left at the last step, are joined as a whole by a star.  Deeper buckets are met with a smaller chance, so the sets of a bucket that is split
     start in more runs, as many as hold the recall at the depth they go to.  A bucket returns a spanning forest, never its pairs.
     """
@@ -165,7 +188,7 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
                 s, ids = _sketch_rows(part.column(1)), part.column(0).to_numpy()
                 for root in roots:
                     row, child = choose(np.full(len(s), root), s, similarity)
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(child)), pa.array(ids[row]), pa.array(np.ones(len(row), bool))], names=["node", "id", "deep"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(child)), pa.array(ids[row])], names=["node", "id"])
 
     def split(batches):
         for batch in batches:
@@ -174,10 +197,17 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
                 s, ids = _sketch_rows(part.column(2)), part.column(1).to_numpy()
                 row, child = choose(part.column(0).to_numpy().view(U64), s, similarity)
                 again, grandchild = choose(child, s[row], similarity)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(_signed(np.concatenate([child, grandchild]))), pa.array(ids[np.concatenate([row, row[again]])]),
-                    pa.array(np.arange(len(child) + len(grandchild)) >= len(child)),
-                ], names=["node", "id", "deep"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(grandchild)), pa.array(ids[row[again]])], names=["node", "id"])
+
+    def unsettled(batches, done):
+        needed = picks_to_settle(done, recall, similarity)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                s, picks = _sketch_rows(part.column(1)), -part.column(2).to_numpy()
+                for root in roots[:done]:
+                    picks = picks + np.bincount(choose(np.full(len(s), root), s, similarity)[0], minlength=len(s))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(picks < needed))], names=["id"])
 
     def compare(batches) -> Iterator[pa.RecordBatch]:
         for _, table in grouped(batches, ["leaf"]):
@@ -188,21 +218,36 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
                 yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
 
     sketches = reps.select("id", "sketch")
-    lists, edges = [], []
-    frontier_type = "node bigint, id bigint, deep boolean"
+    lists, edges, common = [], [], []
+    frontier_type = "node bigint, id bigint"
+    still = None  # the sets that the runs so far have not settled, of those in large buckets
 
-    def settle(frontier: DataFrame, step: int) -> DataFrame | None:
-        """``(node, id)`` of the buckets that are to be split; the others are noted."""
-        frontier = materialize(frontier.distinct())
-        sizes = materialize(frontier.groupBy("node", "deep").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    def sized(frontier: DataFrame) -> DataFrame | None:
+        """``(node, id)`` of the large buckets; the small ones are noted."""
+        sizes = materialize(frontier.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
         lists.append(
             frontier.join(sizes.where(F.col("m") <= bucket).select("node"), "node").groupBy("node")
             .agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids")
         )
         large = sizes.where(F.col("m") > bucket)
-        if large.isEmpty():
+        return None if large.isEmpty() else materialize(frontier.join(large.select("node"), "node", "left_semi").select("node", "id"))
+
+    def settle(frontier: DataFrame, step: int, done: int) -> DataFrame | None:
+        """``(node, id)`` of the buckets that are to be split; the others are noted."""
+        nonlocal still
+        members = sized(materialize(frontier.distinct()))
+        if members is None:
+            return None
+        if step == 1:
+            common.append(members.groupBy("id").agg(F.count(F.lit(1)).alias("picks")))
+            counted = common[0]
+            for more in common[1:]:
+                counted = counted.union(more)
+            counted = sketches.join(counted.groupBy("id").agg(F.sum("picks").alias("picks")), "id").select("id", "sketch", "picks")
+            still = materialize(counted.mapInArrow(lambda batches: unsettled(batches, done), "id bigint"))
+        members = sized(materialize(members.join(still, "id", "left_semi").select("node", "id")))
+        if members is None:
             return None
-        members = materialize(frontier.join(large.select("node"), "node", "left_semi").select("node", "id"))
         # each set against three of its bucket; salted, so that a very large bucket is not one task
         probed = members.join(reps.select("id", "probe"), "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
         pivots = materialize(probed.groupBy("node").agg(
@@ -212,11 +257,11 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
         salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         shares = [F.avg(F.size(F.filter(F.zip_with("probe", p, lambda x, y: x == y), lambda x: x)) / PROBES) for p in ("p0", "p1", "p2")]
         alike = probed.join(salted, ["node", "salt"]).groupBy("node").agg(F.min("hub").alias("hub"), F.greatest(*shares).alias("share"))
-        judged = materialize(large.join(alike, "node").select("node", "deep", "hub", (F.col("share") >= least).alias("alike")))
+        judged = materialize(alike.select("node", "hub", (F.col("share") >= least).alias("alike")))
         told = materialize(members.join(judged, "node"))
-        hubbed = told.where("alike OR deep") if step == MAX_STEPS else told.where("alike")
+        hubbed = told if step == MAX_STEPS else told.where("alike")
         edges.append(materialize(hubbed.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()))
-        rest = told.where("NOT alike AND deep").select("node", "id")
+        rest = told.where("NOT alike").select("node", "id")
         return None if step == MAX_STEPS or rest.isEmpty() else rest
 
     def children(rest: DataFrame) -> DataFrame:
@@ -228,14 +273,14 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
         own = roots[0 if step == 1 else runs[step - 2] : runs[step - 1]]
         frontier = asked.mapInArrow(lambda batches, own=own: start(batches, own), frontier_type)
         for earlier in range(1, step):
-            left = settle(frontier, earlier)
+            left = settle(frontier, earlier, runs[step - 1])
             if left is None:
                 frontier = None
                 break
             frontier = children(left)
         if going is not None:
             frontier = children(going) if frontier is None else frontier.union(children(going))
-        going = settle(frontier, step)
+        going = settle(frontier, step, runs[step - 1])
         if going is None:
             break
         asked = sketches.join(materialize(going.select("id").distinct()), "id", "left_semi")
@@ -244,7 +289,7 @@ def candidate_edges(reps: DataFrame, similarity: float = SIMILARITY, recall: flo
         found = found.union(more)
     # most buckets come up in many runs with the same members: compare each set of members once
     leaves = materialize(found.distinct().select(F.xxhash64("ids").alias("leaf"), F.explode("ids").alias("id")).distinct())
-    rows = leaves.join(sketches, "id").select("leaf", "id", "sketch").repartition(tasks(reps.sparkSession), "leaf").sortWithinPartitions("leaf", "id")
+    rows = leaves.join(sketches.hint("merge"), "id").select("leaf", "id", "sketch").repartition(tasks(reps.sparkSession), "leaf").sortWithinPartitions("leaf", "id")
     out = rows.mapInArrow(compare, "a bigint, b bigint")
     for e in edges:
         out = out.union(e)
@@ -287,7 +332,7 @@ def _verified(df: DataFrame, id_column: str, text: str, members: DataFrame, simi
     dealt = materialize(members.drop("n").join(sizes, "component").select(
         "id", "doc", "print", "component", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
     docs = _documents(df, id_column, text).withColumnRenamed("id", "doc")
-    chosen = docs.join(dealt, ["doc", "print"]).dropDuplicates(["id"]).select("id", "component", "blocks", "block", "text")
+    chosen = docs.join(dealt.hint("merge"), ["doc", "print"]).dropDuplicates(["id"]).select("id", "component", "blocks", "block", "text")
 
     def shingle(batches):
         for batch in batches:
@@ -349,7 +394,7 @@ def near_duplicates(
         )
         named = classes.select("rep", F.col("first.id").alias("id"), F.col("first.print").alias("print"), "d1", "d2")
         reps = materialize(
-            signed.join(named, ["id", "print", "d1", "d2"]).dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "n", "sketch", "probe", F.col("id").alias("doc"), "print")
+            signed.join(named.hint("merge"), ["id", "print", "d1", "d2"]).dropDuplicates(["rep"]).select(F.col("rep").alias("id"), "n", "sketch", "probe", F.col("id").alias("doc"), "print")
         )
         edges = settled(spark, lambda: candidate_edges(reps, similarity, recall))
         members = materialize(components(edges).join(reps.select("id", "n", "doc", "print"), "id"))

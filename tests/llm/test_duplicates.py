@@ -141,6 +141,42 @@ def test_pairs_in_deep_buckets(spark):
     assert sum(root[i] != root[i + n // 2] for i in range(n // 2)) == 0
 
 
+def test_sets_that_share_a_common_passage_are_not_split(spark, monkeypatch):
+    """A third of the places is common to all: the other picks find the pairs, so that few rows are split and none is lost."""
+    rng = np.random.default_rng(12)
+    n = 2_000
+    first = rng.integers(1_000, 1 << 32, (n, chosen_path.SKETCH))
+    for row in first:
+        row[rng.permutation(chosen_path.SKETCH)[:43]] = 7
+    second = first.copy()
+    for row in second[: n // 2]:
+        row[rng.choice(np.flatnonzero(row != 7), 25, replace=False)] += 1  # what differs is never in the passage
+    rows = [(i, bytearray(x.tobytes()), x[: chosen_path.PROBES].tolist()) for i, x in enumerate(np.concatenate([first, second[: n // 2]]).astype("<u4"))]
+    reps = spark.createDataFrame(rows, "id bigint, sketch binary, probe array<bigint>").repartition(8)
+    split, wrapped = spark.sparkContext.accumulator(0), chosen_path.choose
+
+    def counted(nodes, sketches, similarity):
+        row, child = wrapped(nodes, sketches, similarity)
+        if len(np.unique(nodes)) > 1:
+            split.add(len(row))
+        return row, child
+
+    monkeypatch.setattr(chosen_path, "choose", counted)
+    root = roots(n + n // 2, [(r.a, r.b) for r in chosen_path.candidate_edges(reps, bucket=64).collect()])
+    assert sum(root[i] != root[i + n] for i in range(n // 2)) == 0
+    assert split.value < 80 * n
+
+
+def test_picks_that_settle_a_set():
+    rng = np.random.default_rng(5)
+    needed = [chosen_path.picks_to_settle(r, chosen_path.RECALL) for r in (19, 30, 106)]
+    assert needed == sorted(needed)
+    differ = rng.binomial(chosen_path.SKETCH, 0.2, 2_000_000)
+    for runs, k in zip((19, 30, 106), needed, strict=True):
+        assert (rng.binomial(runs * differ, 1 / (0.8 * chosen_path.SKETCH)) >= k).sum() <= 5
+        assert k < 1.1 * runs * chosen_path.SKETCH / (0.8 * chosen_path.SKETCH)
+
+
 def test_runs_hold_the_recall_at_their_depth():
     runs = chosen_path.step_runs(chosen_path.RECALL)
     assert runs[0] == 19 and len(runs) == chosen_path.MAX_STEPS and runs == sorted(runs)
